@@ -1,10 +1,10 @@
-"""HTML column functions: resource links and page metadata by tokenising regexes.
+"""HTML functions: resource links and page metadata by tokenising regexes.
 
 Spark has no HTML parser, so these read the tokens that matter (opening tags,
 comments, script and style bodies) with possessive regexes: those neither
 backtrack nor recurse, so a hostile or huge page costs linear time and no stack.
-Known limits against a tree parser: ``<base>`` is not applied (nor wanted) and
-tags that an error-repairing parser would invent are not seen.
+Known limit against a tree parser: tags that an error-repairing parser would
+invent are not seen.
 """
 
 from __future__ import annotations
@@ -14,101 +14,86 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitemarks.functions.urls import resolve_url, split_url
+from sitemarks.functions.regexes import text
+from sitemarks.functions.urls import let_sql, resolve_sql, split_sql
 
 #: Tag and attribute pairs that load something into a page (fixed values).
 RESOURCE_TAGS = {"script": "src", "link": "href", "iframe": "src"}
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _COMMENT = r"<!--(?:.*?-->|.*+)"
-_RAW = r"<(?:script|style)(?=[\s/>])" + _ATTRS + r">(?:.*?</(?:script|style)\s*+>|.*+)"
+_RAW_END = r"(?:.*?</(?:script|style)\s*+>|.*+)"
+_RAW = r"<(?:script|style)(?=[\s/>])" + _ATTRS + ">" + _RAW_END
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});?"
 _BLANK = r"[\s\x1c-\x1f]"
+_NAMES = "map({})".format(", ".join(f"{text(n)}, {text(chr(c))}" for n, c in sorted(name2codepoint.items())))
 
 
-def tag_tokens(html: Column, tags) -> Column:
+def tags_sql(html: str, tags) -> str:
     """Opening tags of the given kinds in document order; comments and raw text are skipped."""
-    raw = [t for t in tags if t in ("script", "style")]
-    plain = "|".join(t for t in tags if t not in raw)
-    raw_open = "|".join(dict.fromkeys(raw + ["script", "style"]))
+    plain = "|".join(t for t in tags if t not in ("script", "style")) or "(?!)"
     # The empty group 2 takes part for script and style only; the back-reference then lets the body be skipped.
-    opening = rf"(<(?:(?:{raw_open})(?=[\s/>])()|(?:{plain})(?=[\s/>])){_ATTRS}>)" if plain else (
-        rf"(<(?:(?:{raw_open})(?=[\s/>])()){_ATTRS}>)"
-    )
-    regex = rf"(?is){_COMMENT}|{opening}(?:\2(?:.*?</(?:script|style)\s*+>|.*+))?+"
-    found = F.filter(F.regexp_extract_all(html, F.lit(regex), F.lit(1)), lambda t: t != "")
-    if "style" in raw:
-        return found
-    return F.filter(found, lambda t: ~t.rlike(r"(?i)^<style\b"))
+    opening = rf"(<(?:(?:script|style)(?=[\s/>])()|(?:{plain})(?=[\s/>])){_ATTRS}>)"
+    regex = rf"(?is){_COMMENT}|{opening}(?:\2{_RAW_END})?+"
+    found = f"regexp_extract_all({html}, {text(regex)}, 1)"
+    unwanted = "|".join(t for t in ("script", "style") if t not in tags)
+    extra = f" AND NOT _k RLIKE {text(rf'(?i)^<(?:{unwanted})(?=[\s/>])')}" if unwanted else ""
+    return f"filter({found}, _k -> _k <> ''{extra})"
 
 
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([A-Za-z]+)", 1))
+def tag_name_sql(tag: str) -> str:
+    return f"lower(regexp_extract({tag}, '^<([A-Za-z]+)', 1))"
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Raw value of the first such attribute of an opening tag, NULL when absent."""
+def attribute_sql(tag: str, name: str) -> str:
+    """Value of the first such attribute of an opening tag as written, NULL when absent or empty."""
     other = rf"""(?!{name}[\s=/>])[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
     regex = rf"""(?is)^<[a-z]++(?:[\s/"']++|{other})*+{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-    raw = F.regexp_extract(tag, regex, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    value = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", value)
+    value = f"CASE WHEN left(_w, 1) IN ('\"', '\\'') THEN substr(_w, 2, length(_w) - 2) ELSE _w END"
+    return let_sql("_w", f"regexp_extract({tag}, {text(regex)}, 1)", f"nullif({value}, '')")
 
 
-def unescape(text: Column) -> Column:
+def unescape_sql(expr: str) -> str:
     """Character references replaced by their characters (numeric and the HTML 4 names)."""
-    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
-
-    def decoded(ref: Column) -> Column:
-        body = F.regexp_extract(ref, _ENTITY, 1)
-        hexa = F.lower(F.substr(body, F.lit(1), F.lit(2))) == "#x"
-        code = F.when(hexa, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2))).try_cast("int")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        numeric = F.when(valid, char).otherwise(F.lit("�"))
-        return F.when(body.startswith("#"), numeric).otherwise(F.coalesce(F.element_at(names, body), ref))
-
-    refs = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    pieces = F.split(text, _ENTITY, -1)
-    tail = F.concat(F.transform(refs, decoded), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, tail, lambda piece, char: F.concat(piece, F.coalesce(char, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    entity = text(_ENTITY)
+    code = (
+        "try_cast(CASE WHEN lower(left(_b, 2)) = '#x' THEN conv(substr(_b, 3), 16, 10) ELSE substr(_b, 2) END AS int)"
+    )
+    valid = "_c > 0 AND _c <= 1114111 AND NOT _c BETWEEN 55296 AND 57343"
+    char = f"CASE WHEN {valid} THEN decode(unhex(lpad(hex(_c), 8, '0')), 'UTF-32') ELSE '�' END"
+    decoded = let_sql(
+        "_b",
+        f"regexp_extract(_e, {entity}, 1)",
+        f"CASE WHEN startswith(_b, '#') THEN {let_sql('_c', code, char)} ELSE coalesce(element_at({_NAMES}, _b), _e) END",
+    )
+    chars = f"concat(transform(regexp_extract_all(_x, {entity}, 0), _e -> {decoded}), array(''))"
+    joined = f"array_join(zip_with(split(_x, {entity}, -1), {chars}, (_l, _d) -> concat(_l, coalesce(_d, ''))), '')"
+    return let_sql("_x", expr, f"CASE WHEN contains(_x, '&') THEN {joined} ELSE _x END")
 
 
-def strip_blanks(text: Column) -> Column:
+def strip_sql(expr: str) -> str:
     """Trim like Python's ``str.strip``: every Unicode blank, not just the space."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return f"regexp_replace({expr}, {text(rf'(?U)^{_BLANK}+|{_BLANK}+$')}, '')"
 
 
-def page_resources(html: Column, page_url: Column, tags: dict[str, str] = RESOURCE_TAGS) -> Column:
+def page_resources(html: str, page_url: str, tags: dict[str, str] = RESOURCE_TAGS) -> Column:
     """Absolute URLs a page loads: distinct, in document order of first appearance."""
-    base = split_url(page_url)
+    cases = " ".join(f"WHEN {text(name)} THEN {attribute_sql('_g', attr)}" for name, attr in tags.items())
+    links = f"transform({tags_sql(html, list(tags))}, _g -> CASE {tag_name_sql('_g')} {cases} END)"
+    present = f"filter({links}, _h -> _h IS NOT NULL)"
+    absolute = f"transform(transform({present}, _h -> {unescape_sql('_h')}), _a -> {resolve_sql('_base', '_a')})"
+    return F.expr(let_sql("_base", split_sql(page_url), f"array_distinct({absolute})"))
 
-    def link(tag: Column) -> Column:
-        value = F.lit(None).cast("string")
-        for name, attr in tags.items():
-            value = F.when(tag_name(tag) == name, attribute(tag, attr)).otherwise(value)
-        return value
 
-    def absolute(b: Column) -> Column:
-        links = F.filter(F.transform(tag_tokens(html, list(tags)), link), lambda v: v.isNotNull() & (v != ""))
-        return F.array_distinct(F.transform(F.transform(links, unescape), lambda v: resolve_url(b, v)))
-
-    return F.element_at(F.transform(F.array(base), absolute), 1)
-
-
-def page_title(html: Column) -> Column:
+def page_title(html: str) -> Column:
     """Text of the first ``<title>``, trimmed; NULL when absent or blank. An unclosed title runs to the end."""
     skip = rf"[^<]++|{_COMMENT}|{_RAW}|<(?!title[\s/>])"
     regex = rf"(?is)\A(?:{skip})*+<title(?=[\s/>]){_ATTRS}>(.*?)(?:</title|\z)"
-    return F.nullif(strip_blanks(unescape(F.regexp_extract(html, regex, 1))), F.lit(""))
+    return F.expr(f"nullif({strip_sql(unescape_sql(f'regexp_extract({html}, {text(regex)}, 1)'))}, '')")
 
 
-def page_description(html: Column) -> Column:
+def page_description(html: str) -> Column:
     """Content of the first ``<meta name="description">``, trimmed; NULL when absent or blank."""
-    metas = F.filter(
-        tag_tokens(html, ["meta"]), lambda t: (tag_name(t) == "meta") & (attribute(t, "name") == "description")
-    )
-    content = attribute(F.get(metas, F.lit(0)), "content")
-    return F.nullif(strip_blanks(unescape(content)), F.lit(""))
+    named = f"filter({tags_sql(html, ['meta'])}, _g -> {attribute_sql('_g', 'name')} = 'description')"
+    content = let_sql("_d0", f"get({named}, 0)", attribute_sql("_d0", "content"))
+    return F.expr(f"nullif({strip_sql(unescape_sql(content))}, '')")

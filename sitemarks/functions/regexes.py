@@ -11,9 +11,6 @@ import re
 from re import _constants as sre
 from re import _parser as sre_parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: d: only \n ends a line, i + U: Unicode case folding and classes, m: multi-line anchors.
 JAVA_FLAGS = "(?dimU)"
 
@@ -80,20 +77,18 @@ def _mandatory(parsed) -> list[tuple[str, ...]]:
     return found
 
 
-def folded(text: Column) -> Column:
+def text(value: str) -> str:
+    """A string literal in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def folded(expr: str) -> str:
     """Text lower-cased so that an ASCII literal is found wherever the signature flags would."""
-    odd = F.lit(False)
-    for ch in FOLD_FROM:
-        odd = odd | F.contains(text, F.lit(ch))
-    return F.lower(F.when(odd, F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text))
-
-
-def may_match(folded_text: Column, clauses) -> Column:
-    """True unless a mandatory literal is missing from the folded text."""
-    result = F.lit(True)
-    for alternatives in clauses:
-        hit = F.lit(False)
-        for literal in alternatives:
-            hit = hit | F.contains(folded_text, F.lit(literal))
-        result = result & hit
-    return result
+    odd = " OR ".join(f"contains({expr}, {text(ch)})" for ch in FOLD_FROM)
+    return f"lower(CASE WHEN {odd} THEN translate({expr}, {text(FOLD_FROM)}, {text(FOLD_TO)}) ELSE {expr} END)"
+
+
+def may_match(folded_expr: str, clauses) -> str:
+    """SQL condition: false only when a mandatory literal is missing from the folded text."""
+    tests = [" OR ".join(f"contains({folded_expr}, {text(x)})" for x in options) for options in clauses]
+    return " AND ".join(f"({t})" for t in tests) or "true"

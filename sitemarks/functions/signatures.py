@@ -1,67 +1,63 @@
-"""Signature compiler: catalogue rules become Column expressions with literal regexes.
+"""Signature compiler: catalogue rules become expressions with literal regexes.
 
 Literal regexes are compiled once per task and need no join. Each regex is
 guarded by its mandatory literals (see ``regexes.required_literals``): a plain
 byte search over the folded text, so a page without vendor markup runs no regex.
+
+All functions take and return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from sitemarks.functions.html import strip_blanks
-from sitemarks.functions.regexes import folded, java_regex, may_match
+from sitemarks.functions.html import strip_sql
+from sitemarks.functions.regexes import folded, java_regex, may_match, text
 from sitemarks.schemas import EVIDENCE_DDL
 from sitemarks.sources.catalog import Catalog, Rule
 
 MATCH_CHARS = 300
+NO_TEXTS = "cast(array() AS array<string>)"
+NO_EVIDENCE = f"cast(array() AS array<{EVIDENCE_DDL}>)"
+
+
+def _regex(catalog: Catalog, pattern: str) -> str:
+    return text(java_regex(catalog.patterns[pattern]))
 
 
-def _guard(catalog: Catalog, pattern: str, folded_text: Column | None) -> Column:
-    return F.lit(True) if folded_text is None else may_match(folded_text, catalog.literals(pattern))
+def _guarded(catalog: Catalog, pattern: str, folded_expr: str | None, expr: str, empty: str) -> str:
+    if folded_expr is None:
+        return expr
+    return f"CASE WHEN {may_match(folded_expr, catalog.literals(pattern))} THEN {expr} ELSE {empty} END"
 
 
-def first_match(catalog: Catalog, pattern: str, text: Column, folded_text: Column | None) -> Column:
+def first_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
     """First match of a pattern, '' when there is none (no signature matches '')."""
-    found = F.regexp_extract(text, java_regex(catalog.patterns[pattern]), 0)
-    if folded_text is None:
-        return found
-    return F.when(_guard(catalog, pattern, folded_text), found).otherwise("")
+    return _guarded(catalog, pattern, folded_expr, f"regexp_extract({expr}, {_regex(catalog, pattern)}, 0)", "''")
 
 
-def all_matches(catalog: Catalog, pattern: str, text: Column, folded_text: Column | None) -> Column:
+def all_matches(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
     """Every match of a pattern in order of appearance."""
-    found = F.regexp_extract_all(text, F.lit(java_regex(catalog.patterns[pattern])), F.lit(0))
-    if folded_text is None:
-        return found
-    return F.when(_guard(catalog, pattern, folded_text), found).otherwise(F.array().cast("array<string>"))
+    found = f"regexp_extract_all({expr}, {_regex(catalog, pattern)}, 0)"
+    return _guarded(catalog, pattern, folded_expr, found, NO_TEXTS)
 
 
-def is_match(catalog: Catalog, pattern: str, text: Column, folded_text: Column | None) -> Column:
-    hit = text.rlike(java_regex(catalog.patterns[pattern]))
-    return hit if folded_text is None else _guard(catalog, pattern, folded_text) & hit
+def is_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
+    return _guarded(catalog, pattern, folded_expr, f"{expr} RLIKE {_regex(catalog, pattern)}", "false")
 
 
-def _id(text: Column, regex: str, group: int) -> Column:
+def _id(expr: str, regex: str, group: int) -> str:
     """Account id in a capture group: NULL when empty or beyond a 64-bit integer."""
-    return F.nullif(F.regexp_extract(text, java_regex(regex), group), F.lit("")).try_cast("bigint")
+    return f"try_cast(nullif(regexp_extract({expr}, {text(java_regex(regex))}, {group}), '') AS bigint)"
 
 
-def _evidence(rule: Rule, match: Column, source: str, hub_id: Column | None, confidence: Column) -> Column:
-    return F.struct(
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.pattern_id).alias("pattern_id"),
-        F.substr(match, F.lit(1), F.lit(MATCH_CHARS)).alias("match"),
-        F.lit(source).alias("source"),
-        (F.lit(None).cast("bigint") if hub_id is None else hub_id).alias("hub_id"),
-        confidence.alias("confidence"),
-        F.lit(None).cast("string").alias("context"),
-    ).cast(EVIDENCE_DDL)
+def _evidence(rule: Rule, match: str, source: str, hub_id: str, confidence: str) -> str:
+    return (
+        f"named_struct('category', {text(rule.category)}, 'pattern_id', {text(rule.pattern_id)}, "
+        f"'match', substr({match}, 1, {MATCH_CHARS}), 'source', {text(source)}, 'hub_id', {hub_id}, "
+        f"'confidence', {confidence}, 'context', cast(NULL AS string))"
+    )
 
 
-def _as_evidence(rule: Rule, source: str, confidence: Column):
-    return lambda match: _evidence(rule, match, source, None, confidence)
+_NO_ID = "cast(NULL AS bigint)"
 
 
 class HtmlRules:
@@ -81,151 +77,117 @@ class HtmlRules:
         self._all = {r.pattern for r in self.rules if r.match_all}
 
     def _name(self, pattern: str) -> str:
-        names = self.full + self.tests
-        return f"_sig_{names.index(pattern)}"
-
-    @property
-    def names(self) -> list[str]:
-        return [self._name(p) for p in self.full + self.tests]
+        return f"_sig_{(self.full + self.tests).index(pattern)}"
 
-    def matches(self, html: Column, folded_html: Column | None) -> list[Column]:
+    def matches(self, html: str, folded_html: str | None) -> list[str]:
         out = []
         for pattern in self.full:
             find = all_matches if pattern in self._all else first_match
-            out.append(find(self.catalog, pattern, html, folded_html).alias(self._name(pattern)))
+            out.append(f"{find(self.catalog, pattern, html, folded_html)} AS {self._name(pattern)}")
         for pattern in self.tests:
-            out.append(is_match(self.catalog, pattern, html, folded_html).alias(self._name(pattern)))
+            out.append(f"{is_match(self.catalog, pattern, html, folded_html)} AS {self._name(pattern)}")
         return out
 
-    def _hit(self, pattern: str) -> Column:
-        column = F.col(self._name(pattern))
+    def _hit(self, pattern: str) -> str:
+        name = self._name(pattern)
         if pattern in self.tests:
-            return column
-        return F.size(column) > 0 if pattern in self._all else column != ""
+            return name
+        return f"size({name}) > 0" if pattern in self._all else f"{name} <> ''"
 
-    def evidence(self, html: Column) -> Column:
+    def evidence(self, html: str) -> str:
         """Evidence in rule order, as one array."""
-        runs: list[Column] = []
-        singles: list[Column] = []
+        runs: list[str] = []
+        singles: list[str] = []
 
         def close():
             if singles:
-                runs.append(F.array_compact(F.array(*singles)))
+                runs.append(f"array_compact(array({', '.join(singles)}))")
                 singles.clear()
 
         for rule in self.rules:
-            condition = self._hit(rule.pattern)
+            condition = f"({self._hit(rule.pattern)})"
             if rule.unless:
-                condition = condition & ~self._hit(rule.unless)
+                condition += f" AND NOT ({self._hit(rule.unless)})"
             if rule.requires:
-                condition = condition & self._hit(rule.requires)
-            confidence = F.lit(rule.confidence)
+                condition += f" AND ({self._hit(rule.requires)})"
+            confidence = text(rule.confidence)
             if rule.upgrade_if:
-                confidence = F.when(self._hit(rule.upgrade_if), F.lit(rule.upgrade_to)).otherwise(confidence)
-            found = F.col(self._name(rule.pattern))
+                confidence = f"CASE WHEN {self._hit(rule.upgrade_if)} THEN {text(rule.upgrade_to)} ELSE {confidence} END"
+            found = self._name(rule.pattern)
             if rule.pattern in self._all:
                 close()
-                items = found if rule.match_all else F.slice(found, 1, 1)
-                items = F.when(condition, items).otherwise(F.array().cast("array<string>"))
-                runs.append(F.transform(items, _as_evidence(rule, "html", confidence)))
+                items = found if rule.match_all else f"slice({found}, 1, 1)"
+                one = _evidence(rule, "_m", "html", _NO_ID, confidence)
+                runs.append(f"transform(CASE WHEN {condition} THEN {items} ELSE {NO_TEXTS} END, _m -> {one})")
             else:
                 # The group is read from the page, not from the match: a regex may look around itself.
-                hub_id = _id(html, self.catalog.patterns[rule.pattern], rule.id_group) if rule.id_group else None
-                singles.append(F.when(condition, _evidence(rule, found, "html", hub_id, confidence)))
+                hub_id = _id(html, self.catalog.patterns[rule.pattern], rule.id_group) if rule.id_group else _NO_ID
+                singles.append(f"CASE WHEN {condition} THEN {_evidence(rule, found, 'html', hub_id, confidence)} END")
         close()
-        return F.concat(*runs) if runs else F.array().cast(f"array<{EVIDENCE_DDL}>")
+        return f"concat({', '.join(runs)})" if runs else NO_EVIDENCE
 
 
-def url_evidence(catalog: Catalog, url: Column, folded_url: Column | None) -> Column:
+def url_evidence(catalog: Catalog, url: str, folded_url: str | None) -> str:
     """Evidence of one network URL in rule order; the match is the whole URL."""
     found = []
     for rule in catalog.rules.get("url", ()):
-        hub_id = None
-        if rule.id_group:
-            hub_id = _id(url, catalog.patterns[rule.pattern], rule.id_group)
+        hub_id = _id(url, catalog.patterns[rule.pattern], rule.id_group) if rule.id_group else _NO_ID
         if rule.id_fallback and catalog.id_fallback:
-            fallback = _id(url, catalog.id_fallback, 1)
-            hub_id = fallback if hub_id is None else F.coalesce(F.nullif(hub_id, F.lit(0)), fallback, hub_id)
+            hub_id = f"coalesce(nullif({hub_id}, 0), {_id(url, catalog.id_fallback, 1)}, {hub_id})"
         hit = is_match(catalog, rule.pattern, url, folded_url)
-        found.append(F.when(hit, _evidence(rule, url, "url", hub_id, F.lit(rule.confidence))))
-    return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{EVIDENCE_DDL}>")
+        found.append(f"CASE WHEN {hit} THEN {_evidence(rule, url, 'url', hub_id, text(rule.confidence))} END")
+    return f"array_compact(array({', '.join(found)}))" if found else NO_EVIDENCE
 
 
-def any_url_literal(catalog: Catalog, folded_url: Column) -> Column:
+def any_url_literal(catalog: Catalog, folded_url: str) -> str:
     """False only when no URL rule can match."""
-    hit = F.lit(False)
-    for clause in {c for r in catalog.rules.get("url", ()) for c in (tuple(catalog.literals(r.pattern)[:1]),)}:
-        hit = hit | may_match(folded_url, clause)
-    return hit
+    clauses = dict.fromkeys(tuple(catalog.literals(r.pattern)[:1]) for r in catalog.rules.get("url", ()))
+    return " OR ".join(f"({may_match(folded_url, clause)})" for clause in clauses) or "false"
 
 
-def network_evidence_array(catalog: Catalog, urls: Column, prefilter: bool = True) -> Column:
+def network_evidence_array(catalog: Catalog, urls: str, prefilter: bool = True) -> str:
     """Evidence of an array of network URLs, URL by URL in order."""
-    lines = F.filter(F.transform(urls, strip_blanks), lambda u: u.isNotNull() & (u != ""))
+    lines = f"filter(transform({urls}, _n -> {strip_sql('_n')}), _n -> _n IS NOT NULL AND _n <> '')"
     if not prefilter:
-        return F.flatten(F.transform(lines, lambda u: url_evidence(catalog, u, None)))
-    pairs = F.transform(lines, lambda u: F.struct(u.alias("url"), folded(u).alias("folded")))
-    likely = F.filter(pairs, lambda p: any_url_literal(catalog, p["folded"]))
-    return F.flatten(F.transform(likely, lambda p: url_evidence(catalog, p["url"], p["folded"])))
+        return f"flatten(transform({lines}, _n -> {url_evidence(catalog, '_n', None)}))"
+    pairs = f"transform({lines}, _n -> named_struct('url', _n, 'folded', {folded('_n')}))"
+    likely = f"filter({pairs}, _q -> {any_url_literal(catalog, '_q.folded')})"
+    return f"flatten(transform({likely}, _q -> {url_evidence(catalog, '_q.url', '_q.folded')}))"
 
 
-def cookie_evidence_array(catalog: Catalog, cookies: Column) -> Column:
+def cookie_evidence_array(catalog: Catalog, cookies: str) -> str:
     """Evidence of ``Set-Cookie`` values: cookie names only, never their contents."""
     parts = []
     for rule in catalog.rules.get("cookie", ()):
-
-        present = F.filter(cookies, lambda v: v.isNotNull())
-        parts.append(F.flatten(F.transform(present, _cookie_names(catalog, rule))))
-    return F.concat(*parts) if parts else F.array().cast(f"array<{EVIDENCE_DDL}>")
-
-
-def _cookie_names(catalog: Catalog, rule: Rule):
-    def named(name: Column) -> Column:
-        level = F.lit(rule.confidence)
+        level = text(rule.confidence)
         if rule.upgrade_match:
-            level = F.when(F.lower(name) == rule.upgrade_match, F.lit(rule.upgrade_to)).otherwise(level)
-        return _evidence(rule, name, "header", None, level)
+            level = f"CASE WHEN lower(_o) = {text(rule.upgrade_match)} THEN {text(rule.upgrade_to)} ELSE {level} END"
+        names = all_matches(catalog, rule.pattern, "_v", folded("_v"))
+        one = f"transform({names}, _o -> {_evidence(rule, '_o', 'header', _NO_ID, level)})"
+        parts.append(f"flatten(transform(filter({cookies}, _v -> _v IS NOT NULL), _v -> {one}))")
+    return f"concat({', '.join(parts)})" if parts else NO_EVIDENCE
 
-    return lambda value: F.transform(all_matches(catalog, rule.pattern, value, folded(value)), named)
 
-
-def set_cookie_values(headers: Column, set_cookies: Column | None = None) -> Column:
+def set_cookie_values(headers: str, set_cookies: str | None = None) -> str:
     """All ``Set-Cookie`` values of a response: the collected list, else the header in either spelling."""
-    value = F.coalesce(
-        F.nullif(F.element_at(headers, "set-cookie"), F.lit("")), F.element_at(headers, "Set-Cookie")
-    )
-    from_map = F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
+    value = f"coalesce(nullif(element_at({headers}, 'set-cookie'), ''), element_at({headers}, 'Set-Cookie'))"
+    from_map = f"array_compact(array({value}))"
     if set_cookies is None:
         return from_map
-    return F.when(F.size(F.coalesce(set_cookies, F.array().cast("array<string>"))) > 0, set_cookies).otherwise(from_map)
+    return f"CASE WHEN size(coalesce({set_cookies}, {NO_TEXTS})) > 0 THEN {set_cookies} ELSE {from_map} END"
 
 
-def first_wins(evidence: Column) -> Column:
+def first_wins(evidence: str) -> str:
     """Drop later evidence with the same category, pattern, source and match; keeps the order.
 
     Sort-based (n log n): duplicates become neighbours, the earliest survives,
     and the survivors are put back into their order.
     """
-    keyed = F.array_sort(
-        F.transform(
-            evidence,
-            lambda e, i: F.struct(
-                e["category"].alias("c"), e["pattern_id"].alias("p"), e["source"].alias("s"), e["match"].alias("m"),
-                i.alias("i"), e.alias("e"),
-            ),
-        )
+    keyed = (
+        f"sort_array(transform({evidence}, (_e, _i) -> named_struct('k', named_struct('c', _e.category, "
+        "'p', _e.pattern_id, 's', _e.source, 'm', _e.match), 'i', _i, 'e', _e)))"
     )
-
-    def survivors(rows: Column) -> Column:
-        def leads(row: Column, i: Column) -> Column:
-            before = F.get(rows, i - 1)
-            same = F.lit(True)
-            for part in "cpsm":
-                same = same & before[part].eqNullSafe(row[part])
-            return (i == 0) | ~same
-
-        kept = F.transform(F.filter(rows, leads), lambda row: F.struct(row["i"].alias("i"), row["e"].alias("e")))
-        return F.transform(F.array_sort(kept), lambda row: row["e"])
-
-    several = F.element_at(F.transform(F.array(keyed), survivors), 1)
-    return F.when(F.size(evidence) > 1, several).otherwise(evidence)
+    leads = "(_r, _i) -> _i = 0 OR NOT (get(_rows, _i - 1).k <=> _r.k)"
+    kept = f"sort_array(transform(filter(_rows, {leads}), _r -> named_struct('i', _r.i, 'e', _r.e)))"
+    several = f"element_at(transform(array({keyed}), _rows -> transform({kept}, _r -> _r.e)), 1)"
+    return f"CASE WHEN size({evidence}) > 1 THEN {several} ELSE {evidence} END"

@@ -40,7 +40,7 @@ def classify_attempts(attempts: DataFrame, count_http_status: bool = False) -> D
     """Add ``domain`` and ``is_blocking``."""
     return attempts.withColumns(
         {
-            "domain": url_domain(F.col("url")),
+            "domain": url_domain("url"),
             "is_blocking": is_blocking(F.col("success"), F.col("status_code"), F.col("error"), count_http_status),
         }
     )

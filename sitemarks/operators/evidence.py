@@ -11,11 +11,11 @@ Two forms with the same result:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemarks.functions.html import page_resources, strip_blanks
-from sitemarks.functions.regexes import folded
+from sitemarks.functions.html import page_resources, strip_sql
+from sitemarks.functions.regexes import folded, text
 from sitemarks.functions.signatures import (
     HtmlRules,
     any_url_literal,
@@ -42,15 +42,14 @@ def with_html_evidence(
     kept = [c for c in pages.columns]
     df = pages.withColumn("_html", F.coalesce("html", F.lit("")))
     if prefilter:
-        df = df.withColumn("_folded", folded(F.col("_html")))
-    matches = rules.matches(F.col("_html"), F.col("_folded") if prefilter else None)
-    df = df.select(*kept, "_html", *matches)
-    return df.select(*kept, rules.evidence(F.col("_html")).alias(out))
+        df = df.withColumn("_folded", F.expr(folded("_html")))
+    df = df.selectExpr(*kept, "_html", *rules.matches("_html", "_folded" if prefilter else None))
+    return computed_once(df.select(*kept, F.expr(rules.evidence("_html")).alias(out)), out)
 
 
 def with_network(pages: DataFrame, out: str = "network") -> DataFrame:
     """Network URLs per page: the captured list where there is one, else the page's own resources."""
-    links = page_resources(F.coalesce("html", F.lit("")), F.col("requested_url"))
+    links = page_resources("coalesce(html, '')", "requested_url")
     if "network" in pages.columns:
         links = F.coalesce("network", links)
     return pages.withColumn(out, links)
@@ -65,27 +64,27 @@ def with_evidence(pages: DataFrame, catalog: Catalog | None = None, prefilter: b
     catalog = catalog or load_catalog()
     kept = [c for c in pages.columns if c != "network"]
     df = with_html_evidence(with_network(pages), catalog, "_html_ev", prefilter)
-    found = F.concat("_html_ev", network_evidence_array(catalog, F.col("network"), prefilter))
-    cookies = cookie_evidence_array(catalog, page_cookies(pages))
-    df = df.select(*kept, found.alias("_found"), cookies.alias("_cookies"))
-    return computed_once(df.select(*kept, F.concat(first_wins(F.col("_found")), "_cookies").alias("evidence")), "evidence")
+    found = f"concat(_html_ev, {network_evidence_array(catalog, 'network', prefilter)}) AS _found"
+    cookies = f"{cookie_evidence_array(catalog, page_cookies(pages))} AS _cookies"
+    df = df.selectExpr(*kept, found, cookies)
+    return computed_once(df.selectExpr(*kept, f"concat({first_wins('_found')}, _cookies) AS evidence"), "evidence")
 
 
 def computed_once(df: DataFrame, column: str) -> DataFrame:
     """Keep the optimizer from repeating a costly column.
 
-    A filter on something derived from the column would be pushed below its
-    projection with the whole expression inlined, so every regex would run once
-    for the filter and once more for the output. Predicates on generator output
-    are not pushed, and a one-element explode costs next to nothing.
+    A filter on something derived from the column (also the one Spark infers
+    below an explode) would be pushed under its projection with the whole
+    expression inlined, so every regex would run once for the filter and once
+    more for the output. Predicates on generator output are not pushed, and a
+    one-element explode costs next to nothing.
     """
     others = [c for c in df.columns if c != column]
     return df.select(*others, F.explode(F.array(column)).alias(column))
 
 
-def page_cookies(pages: DataFrame) -> Column:
-    set_cookies = F.col("set_cookies") if "set_cookies" in pages.columns else None
-    return set_cookie_values(F.col("headers"), set_cookies)
+def page_cookies(pages: DataFrame) -> str:
+    return set_cookie_values("headers", "set_cookies" if "set_cookies" in pages.columns else None)
 
 
 def explode_evidence(df: DataFrame, array: str = "evidence", *keys: str) -> DataFrame:
@@ -104,10 +103,10 @@ def html_evidence(pages: DataFrame, catalog: Catalog | None = None, prefilter: b
 def network_evidence(network: DataFrame, catalog: Catalog | None = None, prefilter: bool = True) -> DataFrame:
     """Long-form evidence of a network log ``page_id, pos, url`` (before any dedup). No shuffle."""
     catalog = catalog or load_catalog()
-    df = network.select("page_id", "pos", strip_blanks(F.col("url")).alias("url")).filter("url <> ''")
+    df = network.selectExpr("page_id", "pos", f"{strip_sql('url')} AS url").filter("url <> ''")
     if prefilter:
-        df = df.withColumn("_folded", folded(F.col("url"))).filter(any_url_literal(catalog, F.col("_folded")))
-    found = url_evidence(catalog, F.col("url"), F.col("_folded") if prefilter else None)
+        df = df.withColumn("_folded", F.expr(folded("url"))).filter(any_url_literal(catalog, "_folded"))
+    found = F.expr(url_evidence(catalog, "url", "_folded" if prefilter else None))
     return df.select("page_id", "pos", F.posexplode(found).alias("_rule", "_e")).select(
         "page_id", "pos", (F.col("_rule") + 1).alias("rule_pos"), "_e.*"
     )
@@ -116,7 +115,7 @@ def network_evidence(network: DataFrame, catalog: Catalog | None = None, prefilt
 def cookie_evidence(pages: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """Long-form evidence of the response cookies."""
     found = cookie_evidence_array(catalog or load_catalog(), page_cookies(pages))
-    return explode_evidence(pages.select("page_id", found.alias("evidence")))
+    return explode_evidence(computed_once(pages.selectExpr("page_id", f"{found} AS evidence"), "evidence"))
 
 
 def evidence_rows(pages: DataFrame, network: DataFrame, catalog: Catalog | None = None) -> DataFrame:
@@ -154,11 +153,13 @@ def catalog_matches(pages: DataFrame, catalog: Catalog, prefilter: bool = True)
     so it stays a projection over the scan instead of a nested-loop join.
     """
     df = pages.select("page_id", F.coalesce("html", F.lit("")).alias("_html"))
-    text = F.col("_folded") if prefilter else None
     if prefilter:
-        df = df.withColumn("_folded", folded(F.col("_html")))
-    hits = [F.when(is_match(catalog, p, F.col("_html"), text), F.lit(p)) for p in catalog.patterns]
-    return df.select("page_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern_id"))
+        df = df.withColumn("_folded", F.expr(folded("_html")))
+    matched = [
+        f"CASE WHEN {is_match(catalog, p, '_html', '_folded' if prefilter else None)} THEN {text(p)} END"
+        for p in catalog.patterns
+    ]
+    return df.selectExpr("page_id", f"explode(array_compact(array({', '.join(matched)}))) AS pattern_id")
 
 
 def catalog_profile(pages: DataFrame, catalog: Catalog) -> DataFrame:

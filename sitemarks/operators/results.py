@@ -46,57 +46,43 @@ FLAT_COLUMNS = (
 )
 
 
-def flag_conditions(category: Column, match: Column, confidence: Column) -> dict[str, Column]:
-    """Per flag, the condition one piece of evidence must meet to raise it."""
-    sure = confidence.isin("strong", "definitive")
-    return {
-        "tracking": (category == "tracking")
-        | ((category == "cookies") & F.lower(match).contains(TRACKING_COOKIE)),
-        "cms_hosting": (category == "cms") & sure,
-        **{name: category == wanted for name, wanted in FEATURES.items()},
-    }
+#: Overall confidence from the flags and what the evidence holds.
+CONFIDENCE_LADDER = (
+    "CASE WHEN tracking AND _loader THEN 'definitive' WHEN tracking THEN 'strong' "
+    "WHEN _sure THEN 'moderate' ELSE 'weak' END"
+)
+#: Any flag is raised. Evidence of files or of other cookies alone does not count.
+IS_DETECTED = f"({' OR '.join(FLAGS)})"
 
 
-def _definitive_loader(pattern_id: Column, confidence: Column) -> Column:
-    return (pattern_id == DEFINITIVE_LOADER) & (confidence == "definitive")
+def is_sure(prefix: str = "") -> str:
+    return f"{prefix}confidence IN ('strong', 'definitive')"
 
 
-def confidence_level(tracking: Column, definitive_loader: Column, any_sure: Column) -> Column:
-    """The overall confidence ladder."""
-    return (
-        F.when(tracking & definitive_loader, "definitive")
-        .when(tracking, "strong")
-        .when(any_sure, "moderate")
-        .otherwise("weak")
-    )
+def definitive_loader(prefix: str = "") -> str:
+    return f"{prefix}pattern_id = '{DEFINITIVE_LOADER}' AND {prefix}confidence = 'definitive'"
 
 
-def is_detected() -> Column:
-    """Any flag is raised. Evidence of files or of other cookies alone does not count."""
-    hit = F.lit(False)
-    for flag in FLAGS:
-        hit = hit | F.col(flag)
-    return hit
+def flag_conditions(prefix: str = "") -> dict[str, str]:
+    """Per flag, the condition one piece of evidence must meet to raise it."""
+    return {
+        "tracking": f"{prefix}category = 'tracking' OR "
+        f"({prefix}category = 'cookies' AND contains(lower({prefix}match), '{TRACKING_COOKIE}'))",
+        "cms_hosting": f"{prefix}category = 'cms' AND {is_sure(prefix)}",
+        **{name: f"{prefix}category = '{wanted}'" for name, wanted in FEATURES.items()},
+    }
 
 
 def with_summary(df: DataFrame) -> DataFrame:
     """Add flags, confidence, detection and ordered distinct account ids from the evidence array."""
-    ev = F.col("evidence")
-
-    def raised(flag: str) -> Column:
-        return F.exists(ev, lambda e: flag_conditions(e["category"], e["match"], e["confidence"])[flag])
-
-    flags = [raised(flag).alias(flag) for flag in FLAGS]
-    loader = F.exists(ev, lambda e: _definitive_loader(e["pattern_id"], e["confidence"]))
-    sure = F.exists(ev, lambda e: e["confidence"].isin("strong", "definitive"))
-    ids = F.array_distinct(F.transform(F.filter(ev, lambda e: e["hub_id"].isNotNull()), lambda e: e["hub_id"]))
-    df = df.select("*", *flags, loader.alias("_loader"), sure.alias("_sure"), ids.alias("hub_ids"))
-    level = confidence_level(F.col("tracking"), F.col("_loader"), F.col("_sure"))
-    return df.select(
-        *[c for c in df.columns if c not in ("_loader", "_sure")],
-        level.alias("confidence"),
-        is_detected().alias("hubspot_detected"),
+    conditions = {**flag_conditions("e."), "_loader": definitive_loader("e."), "_sure": is_sure("e.")}
+    df = df.selectExpr(
+        "*",
+        *[f"exists(evidence, e -> {condition}) AS {name}" for name, condition in conditions.items()],
+        "array_distinct(array_compact(transform(evidence, e -> e.hub_id))) AS hub_ids",
     )
+    kept = [c for c in df.columns if c not in ("_loader", "_sure")]
+    return df.selectExpr(*kept, f"{CONFIDENCE_LADDER} AS confidence", f"{IS_DETECTED} AS hubspot_detected")
 
 
 def final_url_rule(original_url: Column, final_url: Column, http_status: Column) -> Column:
@@ -106,7 +92,7 @@ def final_url_rule(original_url: Column, final_url: Column, http_status: Column)
 
 def detect(pages: DataFrame, catalog: Catalog | None = None, prefilter: bool = True) -> DataFrame:
     """Page archive in, result table out: one row per page, computed without a shuffle."""
-    html = F.coalesce("html", F.lit(""))
+    html = "coalesce(html, '')"
     base = pages.select(
         *pages.columns,
         page_title(html).alias("page_title"),
@@ -131,12 +117,9 @@ def summarise_rows(pages: DataFrame, evidence: DataFrame) -> DataFrame:
     Flags are aggregated with map-side combine, so evidence-heavy pages shuffle
     one partial row per task. Only page ids are read from ``pages``.
     """
-    conditions = flag_conditions(F.col("category"), F.col("match"), F.col("confidence"))
+    conditions = {**flag_conditions(), "_loader": definitive_loader(), "_sure": is_sure()}
     sums = evidence.groupBy("page_id").agg(
-        *[F.bool_or(c).alias(name) for name, c in conditions.items()],
-        F.bool_or(_definitive_loader(F.col("pattern_id"), F.col("confidence"))).alias("_loader"),
-        F.bool_or(F.col("confidence").isin("strong", "definitive")).alias("_sure"),
-        F.count("*").alias("evidence_count"),
+        *[F.bool_or(F.expr(c)).alias(name) for name, c in conditions.items()], F.count("*").alias("evidence_count")
     )
     df = pages.select("page_id").join(sums, "page_id", "left")
     names = [*FLAGS, "_loader", "_sure"]
@@ -145,12 +128,8 @@ def summarise_rows(pages: DataFrame, evidence: DataFrame) -> DataFrame:
         *[F.coalesce(n, F.lit(False)).alias(n) for n in names],
         F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
     )
-    return df.select(
-        "page_id",
-        *FLAGS,
-        confidence_level(F.col("tracking"), F.col("_loader"), F.col("_sure")).alias("confidence"),
-        is_detected().alias("hubspot_detected"),
-        "evidence_count",
+    return df.selectExpr(
+        "page_id", *FLAGS, f"{CONFIDENCE_LADDER} AS confidence", f"{IS_DETECTED} AS hubspot_detected", "evidence_count"
     )
 
 
@@ -177,14 +156,14 @@ def failure_results(
         .agg(F.bool_or("success").alias("_ok"), F.max("ts").alias("fetched_at"))
         .filter("NOT _ok")
     )
-    first = normalize_url(F.col("original_url"))
-    tried = F.array(first)
+    tried = F.array("_first")
     if try_variations:
-        tried = F.concat(tried, url_variations(first, max_variations))
+        tried = F.concat(tried, url_variations("_first", max_variations))
     text = F.lit("Failed after all retry attempts")
     if try_variations:
         text = F.concat(text, F.lit(" and "), (F.size("attempted_urls") - 1).cast("string"), F.lit(" URL variations"))
-    df = failed.select("original_url", "fetched_at", tried.alias("attempted_urls"))
+    df = failed.select("original_url", "fetched_at", normalize_url("original_url").alias("_first"))
+    df = df.select("original_url", "fetched_at", tried.alias("attempted_urls"))
     blank = {
         "page_id": F.lit(None).cast("bigint"),
         "final_url": F.col("original_url"),

@@ -264,18 +264,22 @@ def progress_by_window(
     )
 
 
-def stall_gaps(attempts: DataFrame, threshold_seconds: int = STALL_SECONDS) -> DataFrame:
+def stall_gaps(attempts: DataFrame, threshold_seconds: int = STALL_SECONDS, now: str | None = None) -> DataFrame:
     """Stretches of more than ``threshold_seconds`` without any completion or failure.
 
     Rows are reduced to the first and last event per interval of the threshold's
     length. Two events in one interval are never a stall apart, so only gaps
     between neighbouring intervals are compared, and no run is sorted row by row.
+    ``now`` (a timestamp) also reports a stall that is still going on.
     """
     micros = F.unix_micros("ts")
     bucket = F.floor(micros / (threshold_seconds * 1_000_000))
     spans = attempts.groupBy("run_id", bucket.alias("_bucket")).agg(F.min("ts").alias("_min"), F.max("ts").alias("_max"))
     ahead = Window.partitionBy("run_id").orderBy("_bucket")
-    df = spans.select("run_id", F.col("_max").alias("last_update"), F.lead("_min").over(ahead).alias("next_update"))
+    upcoming = F.lead("_min").over(ahead)
+    if now is not None:
+        upcoming = F.coalesce(upcoming, F.lit(now).cast("timestamp"))
+    df = spans.select("run_id", F.col("_max").alias("last_update"), upcoming.alias("next_update"))
     stalled = F.unix_micros("next_update") - F.unix_micros("last_update")
     return df.withColumn("stall_seconds", stalled / 1e6).filter(stalled > threshold_seconds * 1_000_000)
 

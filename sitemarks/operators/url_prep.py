@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitemarks.functions.html import strip_blanks
+from sitemarks.functions.html import strip_sql
 from sitemarks.functions.urls import DEFAULT_MAX_VARIATIONS, url_domain, url_variations
 from sitemarks.operators.ordered import with_row_number
 
@@ -15,8 +15,7 @@ LITERAL_BASE = 1 << 62
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """``input_pos, line`` to ``input_pos, original_url``: trimmed, without blanks and ``#`` comments."""
-    url = strip_blanks(F.col("line"))
-    return lines.select("input_pos", url.alias("original_url")).filter(
+    return lines.selectExpr("input_pos", f"{strip_sql('line')} AS original_url").filter(
         (F.col("original_url") != "") & ~F.col("original_url").startswith("#")
     )
 
@@ -56,7 +55,7 @@ def pending_urls(urls: DataFrame, completed: DataFrame) -> DataFrame:
 
 def variations(urls: DataFrame, max_variations: int = DEFAULT_MAX_VARIATIONS, column: str = "url") -> DataFrame:
     """One row per variation to try, numbered from 1 in priority order."""
-    tried = url_variations(F.col(column), max_variations)
+    tried = url_variations(column, max_variations)
     return urls.select("*", F.posexplode(tried).alias("_pos", "variation_url")).withColumn(
         "variation_no", F.col("_pos") + 1
     ).drop("_pos")
@@ -68,6 +67,6 @@ def domain_waves(urls: DataFrame, max_per_domain: int, column: str = "url", posi
     Rows are numbered across slices of a domain, so a domain with a third of all
     URLs is not sorted by one task.
     """
-    with_domain = urls.withColumn("domain", url_domain(F.col(column)))
+    with_domain = urls.withColumn("domain", url_domain(column))
     numbered = with_row_number(with_domain, ["domain"], [position], "_no")
     return numbered.withColumn("wave", F.floor((F.col("_no") - 1) / max_per_domain) + 1).drop("_no")

@@ -100,10 +100,11 @@ def derive_sites(pages: DataFrame) -> DataFrame:
     for n, header in enumerate(COOKIE_HEADERS):
         if header:
             headers = F.when(pid % 5 == n, F.create_map(*map(F.lit, header))).otherwise(headers)
-    requested = normalize_url(original)
-    return pages.select(
+    df = pages.select("page_id", original.alias("original_url"), "html")
+    requested = normalize_url("original_url")
+    return df.select(
         "page_id",
-        original.alias("original_url"),
+        "original_url",
         requested.alias("requested_url"),
         requested.alias("final_url"),
         F.when(pid % 10 == 9, 404).otherwise(200).alias("http_status"),

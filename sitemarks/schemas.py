@@ -1,6 +1,4 @@
-"""Declared schemas. Nothing in the engine infers one."""
-
-from pyspark.sql import types as T
+"""Declared schemas as DDL text. Nothing in the engine infers one."""
 
 EVIDENCE_FIELDS = (
     "category string, pattern_id string, match string, source string, "
@@ -8,24 +6,24 @@ EVIDENCE_FIELDS = (
 )
 EVIDENCE_DDL = f"struct<{EVIDENCE_FIELDS.replace(' string', ':string').replace(' bigint', ':bigint')}>"
 
-PAGE_ARCHIVE = T.StructType.fromDDL(
+PAGE_ARCHIVE = (
     "page_id bigint, original_url string, requested_url string, final_url string, http_status int, "
     "headers map<string,string>, set_cookies array<string>, network array<string>, html string, "
     "fetched_at timestamp"
 )
 
 #: One captured request of a rendered page (JSON contract, field names fixed).
-NETWORK_EVENT = T.StructType.fromDDL(
+NETWORK_EVENT = (
     "url string, method string, status int, headers map<string,string>, setCookies array<string>, body string"
 )
 
-ATTEMPT_LOG = T.StructType.fromDDL(
+ATTEMPT_LOG = (
     "run_id string, egress string, attempt_id bigint, ts timestamp, url string, original_url string, "
     "variation_no int, retry_no int, success boolean, status_code int, error string"
 )
 
 #: Exported result (JSON contract, field names fixed).
-RESULT_JSON = T.StructType.fromDDL(
+RESULT_JSON = (
     "original_url string, final_url string, timestamp string, hubspot_detected boolean, hubIds array<bigint>, "
     "summary struct<tracking:boolean,cmsHosting:boolean,features:struct<forms:boolean,chat:boolean,"
     "ctasLegacy:boolean,meetings:boolean,video:boolean,emailTrackingIndicators:boolean>,confidence:string>, "

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from sitemarks.schemas import ATTEMPT_LOG, PAGE_ARCHIVE
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType = PAGE_ARCHIVE) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = PAGE_ARCHIVE) -> DataFrame:
     """The page archive (Parquet, ORC or JSON lines). CSV carries no maps or arrays and is not offered."""
     return spark.read.schema(schema).format(fmt).load(path)
 
@@ -17,7 +16,7 @@ def stream_pages(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    schema: StructType = PAGE_ARCHIVE,
+    schema: str = PAGE_ARCHIVE,
     max_files: int = 1000,
     pattern: str | None = None,
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitemarks.functions.html import strip_sql
 from sitemarks.operators.ordered import with_row_number
 from sitemarks.operators.url_prep import clean_lines
 
@@ -29,6 +30,4 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_completed(spark: SparkSession, path: str) -> DataFrame:
     """The completed-URL log: distinct handling is left to the anti join."""
-    from sitemarks.functions.html import strip_blanks
-
-    return spark.read.text(path).select(strip_blanks(F.col("value")).alias("original_url")).filter("original_url <> ''")
+    return spark.read.text(path).selectExpr(f"{strip_sql('value')} AS original_url").filter("original_url <> ''")
