@@ -96,4 +96,5 @@ def page_description(html: str) -> Column:
     """Content of the first ``<meta name="description">``, trimmed; NULL when absent or blank."""
     named = f"filter({tags_sql(html, ['meta'])}, _g -> {attribute_sql('_g', 'name')} = 'description')"
     content = let_sql("_d0", f"get({named}, 0)", attribute_sql("_d0", "content"))
-    return F.expr(f"nullif({strip_sql(unescape_sql(content))}, '')")
+    value = f"nullif({strip_sql(unescape_sql(content))}, '')"
+    return F.expr(f"CASE WHEN contains({html}, 'description') THEN {value} END")

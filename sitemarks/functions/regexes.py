@@ -88,7 +88,54 @@ def folded(expr: str) -> str:
     return f"lower(CASE WHEN {odd} THEN translate({expr}, {text(FOLD_FROM)}, {text(FOLD_TO)}) ELSE {expr} END)"
 
 
-def may_match(folded_expr: str, clauses) -> str:
-    """SQL condition: false only when a mandatory literal is missing from the folded text."""
-    tests = [" OR ".join(f"contains({folded_expr}, {text(x)})" for x in options) for options in clauses]
+def may_match(folded_expr: str, clauses, known: dict[str, str] | None = None) -> str:
+    """SQL condition: false only when a mandatory literal is missing from the folded text.
+
+    ``known`` maps literals to the condition to use instead of a plain search.
+    """
+
+    def test(literal: str) -> str:
+        return (known or {}).get(literal) or f"contains({folded_expr}, {text(literal)})"
+
+    tests = [" OR ".join(f"({test(x)})" for x in options) for options in clauses]
     return " AND ".join(f"({t})" for t in tests) or "true"
+
+
+def shared_stems(literals, shortest: int = 4) -> dict[str, str]:
+    """For literals that have a piece in common, that piece: literal -> stem.
+
+    Searching a page for a stem answers "no" for all its literals at once.
+    Greedy: pieces shared by many literals come first, long (rare) ones before short.
+    """
+    left = list(dict.fromkeys(literals))
+    stems: dict[str, str] = {}
+    while True:
+        pieces = {s[i:j] for s in left for i in range(len(s)) for j in range(i + shortest, len(s) + 1)} | set(left)
+        shared = {p: sum(p in s for s in left) for p in pieces}
+        best = max(shared, key=lambda p: ((shared[p] - 1) * len(p), p), default=None)
+        if best is None or shared[best] < 2:
+            return stems
+        stems.update({s: best for s in left if best in s})
+        left = [s for s in left if best not in s]
+
+
+class LiteralSearch:
+    """The searches for a set of literals over one folded text, stems first."""
+
+    def __init__(self, literals):
+        stems = shared_stems(literals)
+        self.stems = {stem: f"_stem_{i}" for i, stem in enumerate(dict.fromkeys(stems.values()))}
+        self._stem_of = stems
+
+    def columns(self, folded_expr: str) -> list[str]:
+        """One boolean column per stem, to be computed before the conditions."""
+        return [f"contains({folded_expr}, {text(stem)}) AS {name}" for stem, name in self.stems.items()]
+
+    def known(self, folded_expr: str) -> dict[str, str]:
+        """Condition per literal, reading the stem columns."""
+        return {
+            literal: self.stems[stem]
+            if literal == stem
+            else f"{self.stems[stem]} AND contains({folded_expr}, {text(literal)})"
+            for literal, stem in self._stem_of.items()
+        }

@@ -23,25 +23,26 @@ def _regex(catalog: Catalog, pattern: str) -> str:
     return text(java_regex(catalog.patterns[pattern]))
 
 
-def _guarded(catalog: Catalog, pattern: str, folded_expr: str | None, expr: str, empty: str) -> str:
+def _guarded(catalog: Catalog, pattern: str, folded_expr: str | None, known, expr: str, empty: str) -> str:
     if folded_expr is None:
         return expr
-    return f"CASE WHEN {may_match(folded_expr, catalog.literals(pattern))} THEN {expr} ELSE {empty} END"
+    return f"CASE WHEN {may_match(folded_expr, catalog.literals(pattern), known)} THEN {expr} ELSE {empty} END"
 
 
-def first_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
+def first_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None, known=None) -> str:
     """First match of a pattern, '' when there is none (no signature matches '')."""
-    return _guarded(catalog, pattern, folded_expr, f"regexp_extract({expr}, {_regex(catalog, pattern)}, 0)", "''")
+    found = f"regexp_extract({expr}, {_regex(catalog, pattern)}, 0)"
+    return _guarded(catalog, pattern, folded_expr, known, found, "''")
 
 
-def all_matches(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
+def all_matches(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None, known=None) -> str:
     """Every match of a pattern in order of appearance."""
     found = f"regexp_extract_all({expr}, {_regex(catalog, pattern)}, 0)"
-    return _guarded(catalog, pattern, folded_expr, found, NO_TEXTS)
+    return _guarded(catalog, pattern, folded_expr, known, found, NO_TEXTS)
 
 
-def is_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None) -> str:
-    return _guarded(catalog, pattern, folded_expr, f"{expr} RLIKE {_regex(catalog, pattern)}", "false")
+def is_match(catalog: Catalog, pattern: str, expr: str, folded_expr: str | None, known=None) -> str:
+    return _guarded(catalog, pattern, folded_expr, known, f"{expr} RLIKE {_regex(catalog, pattern)}", "false")
 
 
 def _id(expr: str, regex: str, group: int) -> str:
@@ -79,13 +80,13 @@ class HtmlRules:
     def _name(self, pattern: str) -> str:
         return f"_sig_{(self.full + self.tests).index(pattern)}"
 
-    def matches(self, html: str, folded_html: str | None) -> list[str]:
+    def matches(self, html: str, folded_html: str | None, known=None) -> list[str]:
         out = []
         for pattern in self.full:
             find = all_matches if pattern in self._all else first_match
-            out.append(f"{find(self.catalog, pattern, html, folded_html)} AS {self._name(pattern)}")
+            out.append(f"{find(self.catalog, pattern, html, folded_html, known)} AS {self._name(pattern)}")
         for pattern in self.tests:
-            out.append(f"{is_match(self.catalog, pattern, html, folded_html)} AS {self._name(pattern)}")
+            out.append(f"{is_match(self.catalog, pattern, html, folded_html, known)} AS {self._name(pattern)}")
         return out
 
     def _hit(self, pattern: str) -> str:

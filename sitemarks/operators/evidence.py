@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemarks.functions.html import page_resources, strip_sql
-from sitemarks.functions.regexes import folded, text
+from sitemarks.functions.regexes import LiteralSearch, folded, text
 from sitemarks.functions.signatures import (
     HtmlRules,
     any_url_literal,
@@ -38,15 +38,25 @@ def with_html_evidence(
     pages: DataFrame, catalog: Catalog | None = None, out: str = "html_evidence", prefilter: bool = True
 ) -> DataFrame:
     """Add the evidence array of ``html``. ``prefilter`` only decides the speed, never the rows."""
-    rules = HtmlRules(catalog or load_catalog())
+    catalog = catalog or load_catalog()
+    rules = HtmlRules(catalog)
     kept = [c for c in pages.columns]
     df = pages.withColumn("_html", F.coalesce("html", F.lit("")))
     if prefilter:
-        df = df.withColumn("_folded", F.expr(folded("_html")))
-    df = df.selectExpr(*kept, "_html", *rules.matches("_html", "_folded" if prefilter else None))
+        df, known = _searched(df, catalog)
+        df = df.selectExpr(*kept, "_html", *rules.matches("_html", "_folded", known))
+    else:
+        df = df.selectExpr(*kept, "_html", *rules.matches("_html", None))
     return computed_once(df.select(*kept, F.expr(rules.evidence("_html")).alias(out)), out)
 
 
+def _searched(df: DataFrame, catalog: Catalog) -> tuple[DataFrame, dict[str, str]]:
+    """Add the folded ``_html`` and its stem searches; returns the condition per literal too."""
+    search = LiteralSearch(catalog.first_literals())
+    df = df.withColumn("_folded", F.expr(folded("_html")))
+    return df.selectExpr("*", *search.columns("_folded")), search.known("_folded")
+
+
 def with_network(pages: DataFrame, out: str = "network") -> DataFrame:
     """Network URLs per page: the captured list where there is one, else the page's own resources."""
     links = page_resources("coalesce(html, '')", "requested_url")
@@ -153,10 +163,11 @@ def catalog_matches(pages: DataFrame, catalog: Catalog, prefilter: bool = True)
     so it stays a projection over the scan instead of a nested-loop join.
     """
     df = pages.select("page_id", F.coalesce("html", F.lit("")).alias("_html"))
+    known = None
     if prefilter:
-        df = df.withColumn("_folded", F.expr(folded("_html")))
+        df, known = _searched(df, catalog)
     matched = [
-        f"CASE WHEN {is_match(catalog, p, '_html', '_folded' if prefilter else None)} THEN {text(p)} END"
+        f"CASE WHEN {is_match(catalog, p, '_html', '_folded' if prefilter else None, known)} THEN {text(p)} END"
         for p in catalog.patterns
     ]
     return df.selectExpr("page_id", f"explode(array_compact(array({', '.join(matched)}))) AS pattern_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitemarks.functions.durations import clock_time
 from sitemarks.operators.ordered import with_running_totals
+from sitemarks.session import written
 
 CONFIDENCE_LEVELS = ("definitive", "strong", "moderate", "weak")
 #: Statistics column -> result flag. Legacy call-to-action hits are not counted.
@@ -208,19 +209,26 @@ def progress_snapshots(
 
     ``results`` carries a run column. Completion order is ``fetched_at``, then the original URL.
     """
-    measures = {n: c for n, c in _counters().items()}
+    measures = _counters()
     order = ["fetched_at", "original_url"]
-    ids = results.filter("error IS NULL").select(run_id, *order, F.explode("hub_ids").alias("_id"))
+    # Detection is evaluated once: all steps below read this narrow written table.
+    narrow = written(
+        results.select(
+            run_id, *order, *[c.alias(f"_{n}") for n, c in measures.items()],
+            F.when(F.col("error").isNull(), F.col("hub_ids")).alias("_ids"),
+        ),
+        "completions",
+    )
+    ids = narrow.select(run_id, *order, F.explode("_ids").alias("_id"))
     first_seen = ids.groupBy(run_id, "_id").agg(F.min(F.struct(*order)).alias("_at"))
     new_ids = first_seen.groupBy(run_id, *[F.col(f"_at.{c}").alias(c) for c in order]).agg(
         F.count("*").alias("_new_ids")
     )
-    steps = results.select(run_id, *order, *[c.alias(f"_{n}") for n, c in measures.items()])
-    steps = steps.join(new_ids, [run_id, *order], "left")
+    steps = narrow.drop("_ids").join(new_ids, [run_id, *order], "left")
     sums = {n: F.col(f"_{n}") for n in measures}
     sums["unique_hub_ids"] = F.coalesce("_new_ids", F.lit(0))
     running = with_running_totals(steps, [run_id], order, sums)
-    sizes = results.groupBy(run_id).agg(F.count("*").alias("_size"))
+    sizes = narrow.groupBy(run_id).agg(F.count("*").alias("_size"))
     df = running.join(sizes, run_id)
     df = df.withColumn("total_urls", F.col("_size") if total_urls is None else F.lit(total_urls).cast("bigint"))
     due = (F.col("completed") % every == 0) | (F.col("completed") == F.col("total_urls"))

@@ -50,6 +50,10 @@ class Catalog:
     id_fallback: str | None = None
     version: str | None = None
 
+    def first_literals(self) -> list[str]:
+        """The literals searched for first, over all patterns."""
+        return [x for p in self.patterns for clause in self.literals(p)[:1] for x in clause]
+
     def literals(self, pattern: str) -> list[tuple[str, ...]]:
         return required_literals(self.patterns[pattern])
 
