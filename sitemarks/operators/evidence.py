@@ -26,7 +26,7 @@ from sitemarks.functions.signatures import (
     set_cookie_values,
     url_evidence,
 )
-from sitemarks.sources.catalog import Catalog, load_catalog
+from sitemarks.sources.catalog import CONFIDENCE_LEVELS, Catalog, load_catalog
 
 KEY = ("category", "pattern_id", "source", "match")
 #: Sequence numbers of the long form: surface, then position on it, then rule or match number.
@@ -146,13 +146,19 @@ def evidence_rows(pages: DataFrame, network: DataFrame, catalog: Catalog | None
 
 
 def dedup_evidence(rows: DataFrame) -> DataFrame:
-    """Keep the first evidence (lowest ``seq``) per page and key."""
-    payload = F.struct("seq", "hub_id", "confidence", "context")
-    best = rows.groupBy("page_id", *KEY).agg(F.min(payload).alias("_best"))
+    """Keep the first evidence (lowest ``seq``) per page and key.
+
+    What is aggregated has a fixed width (the confidence as its number), which
+    lets Spark hash instead of sort before and after the shuffle.
+    """
+    levels = F.array(*map(F.lit, CONFIDENCE_LEVELS))
+    coded = rows.withColumn("_level", F.array_position(levels, F.col("confidence")).cast("int"))
+    best = coded.groupBy("page_id", *KEY).agg(
+        F.min("seq").alias("seq"), F.min_by("hub_id", "seq").alias("hub_id"), F.min_by("_level", "seq").alias("_level")
+    )
     return best.select(
-        "page_id", F.col("_best.seq").alias("seq"), "category", "pattern_id", "match", "source",
-        F.col("_best.hub_id").alias("hub_id"), F.col("_best.confidence").alias("confidence"),
-        F.col("_best.context").alias("context"),
+        "page_id", "seq", "category", "pattern_id", "match", "source", "hub_id",
+        F.get(levels, F.col("_level") - 1).alias("confidence"), F.lit(None).cast("string").alias("context"),
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sitemarks.functions.durations import clock_time
 from sitemarks.operators.ordered import with_running_totals
 from sitemarks.session import written
+from sitemarks.sources.catalog import CONFIDENCE_LEVELS
 
-CONFIDENCE_LEVELS = ("definitive", "strong", "moderate", "weak")
 #: Statistics column -> result flag. Legacy call-to-action hits are not counted.
 COUNTED_FLAGS = {
     "tracking_count": "tracking",
@@ -207,7 +207,8 @@ def progress_snapshots(
 ) -> DataFrame:
     """Running counters of each run at every ``every``-th completion and at the last one.
 
-    ``results`` carries a run column. Completion order is ``fetched_at``, then the original URL.
+    ``results`` carries a run column and each original URL once per run (inputs are
+    deduplicated before a run). Completion order is ``fetched_at``, then the original URL.
     """
     measures = _counters()
     order = ["fetched_at", "original_url"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemarks.sources.catalog import CONFIDENCE_LEVELS
+
 #: What a result may hold.
 CATEGORIES = ["tracking", "forms", "chat", "ctas", "meetings", "cms", "files", "video", "email", "cookies", "headers"]
 SOURCES = ["html", "script", "url", "cookie", "header", "har", "other"]
-LEVELS = ["definitive", "strong", "moderate", "weak"]
+LEVELS = list(CONFIDENCE_LEVELS)
 REQUIRED = ["original_url", "final_url", "fetched_at", "tracking", "cms_hosting", "confidence", "evidence"]
 EVIDENCE_REQUIRED = ["category", "pattern_id", "match", "source", "confidence"]
 

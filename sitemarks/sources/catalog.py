@@ -18,6 +18,8 @@ from sitemarks.functions.regexes import check_regex, required_literals
 
 MAX_PATTERNS = 2_000
 SURFACES = ("html", "url", "cookie")
+#: Confidence levels, from sure to unsure.
+CONFIDENCE_LEVELS = ("definitive", "strong", "moderate", "weak")
 _DEFAULT = ("sitemarks.sources", "signatures.json")
 
 
@@ -72,6 +74,10 @@ def parse_catalog(text: str) -> Catalog:
             raise ValueError(f"unknown surface {surface!r}")
         rules[surface] = tuple(Rule(**{k: v for k, v in e.items() if k in known}) for e in entries)
         for rule in rules[surface]:
+            if not {rule.confidence, rule.upgrade_to or rule.confidence} <= set(CONFIDENCE_LEVELS):
+                raise ValueError(f"unknown confidence in the rule for {rule.pattern!r}")
+            if rule.match_all and rule.id_group:
+                raise ValueError(f"a rule that takes every match carries no id: {rule.pattern!r}")
             for name in (rule.pattern, rule.requires, rule.unless, rule.upgrade_if):
                 if name is not None and name not in patterns:
                     raise ValueError(f"rule names unknown pattern {name!r}")
