@@ -24,7 +24,8 @@ def spoken_time(seconds: Column) -> Column:
 
 
 def utc_text(ts: Column) -> Column:
-    """ISO 8601 with a ``Z``; microseconds only when there are any."""
+    """ISO 8601 in UTC with a ``Z``, whatever the session's time zone; microseconds only when there are any."""
+    ts = F.to_utc_timestamp(ts, F.current_timezone())
     micros = F.date_format(ts, ".SSSSSS")
     return F.concat(
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == ".000000", "").otherwise(micros), F.lit("Z")

@@ -8,6 +8,7 @@ text must contain before a signature can possibly match.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -33,6 +34,7 @@ def check_regex(regex: str) -> None:
         raise ValueError(f"signature matches the empty string: {regex!r}")
 
 
+@lru_cache(maxsize=10_000)
 def required_literals(regex: str, keep: int = 2) -> list[tuple[str, ...]]:
     """Literals a text must hold before the regex can match, as an AND of ORs.
 
@@ -101,7 +103,8 @@ def may_match(folded_expr: str, clauses, known: dict[str, str] | None = None) ->
     return " AND ".join(f"({t})" for t in tests) or "true"
 
 
-def shared_stems(literals, shortest: int = 4) -> dict[str, str]:
+@lru_cache(maxsize=16)
+def shared_stems(literals: tuple[str, ...], shortest: int = 4) -> dict[str, str]:
     """For literals that have a piece in common, that piece: literal -> stem.
 
     Searching a page for a stem answers "no" for all its literals at once.
@@ -123,7 +126,7 @@ class LiteralSearch:
     """The searches for a set of literals over one folded text, stems first."""
 
     def __init__(self, literals):
-        stems = shared_stems(literals)
+        stems = shared_stems(tuple(literals))
         self.stems = {stem: f"_stem_{i}" for i, stem in enumerate(dict.fromkeys(stems.values()))}
         self._stem_of = stems
 

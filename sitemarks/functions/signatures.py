@@ -148,7 +148,7 @@ def any_url_literal(catalog: Catalog, folded_url: str) -> str:
 
 def network_evidence_array(catalog: Catalog, urls: str, prefilter: bool = True) -> str:
     """Evidence of an array of network URLs, URL by URL in order."""
-    lines = f"filter(transform({urls}, _n -> {strip_sql('_n')}), _n -> _n IS NOT NULL AND _n <> '')"
+    lines = f"filter(transform(coalesce({urls}, {NO_TEXTS}), _n -> {strip_sql('_n')}), _n -> _n IS NOT NULL AND _n <> '')"
     if not prefilter:
         return f"flatten(transform({lines}, _n -> {url_evidence(catalog, '_n', None)}))"
     pairs = f"transform({lines}, _n -> named_struct('url', _n, 'folded', {folded('_n')}))"

@@ -59,7 +59,7 @@ def _searched(df: DataFrame, catalog: Catalog) -> tuple[DataFrame, dict[str, str
 
 def with_network(pages: DataFrame, out: str = "network") -> DataFrame:
     """Network URLs per page: the captured list where there is one, else the page's own resources."""
-    links = page_resources("coalesce(html, '')", "requested_url")
+    links = page_resources("coalesce(html, '')", "coalesce(requested_url, '')")
     if "network" in pages.columns:
         links = F.coalesce("network", links)
     return pages.withColumn(out, links)

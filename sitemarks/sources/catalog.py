@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sitemarks.functions.regexes import check_regex, required_literals
 
 MAX_PATTERNS = 2_000
+MAX_BYTES = 4 << 20
 SURFACES = ("html", "url", "cookie")
 #: Confidence levels, from sure to unsure.
 CONFIDENCE_LEVELS = ("definitive", "strong", "moderate", "weak")
@@ -88,10 +89,10 @@ def load_catalog(spark: SparkSession | None = None, path: str | None = None) ->
     """The built-in catalogue, or one read by Spark from any file system it can reach."""
     if path is None:
         return parse_catalog(resources.files(_DEFAULT[0]).joinpath(_DEFAULT[1]).read_text("utf-8"))
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"expected one catalogue file at {path}")
-    return parse_catalog(rows[0].value)
+    files = spark.read.format("binaryFile").load(path).select("length").limit(2).collect()
+    if len(files) != 1 or files[0].length > MAX_BYTES:
+        raise ValueError(f"expected one catalogue file of at most {MAX_BYTES} bytes at {path}")
+    return parse_catalog(spark.read.text(path, wholetext=True).first().value)
 
 
 def catalog_frame(spark: SparkSession, catalog: Catalog) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sitemarks.functions.durations import clock_time, spoken_time
+from sitemarks.functions.durations import clock_time, spoken_time, utc_text
 from sitemarks.functions.html import page_description, page_resources, page_title
 from sitemarks.operators import results as r
 from sitemarks.operators import runs
@@ -122,6 +122,23 @@ def test_error_pages_are_analysed_but_keep_their_original_url(page_table):
     assert [x.hub_ids for x in rows] == [[12345], [12345], []]
 
 
+def test_a_page_with_nothing_known_still_has_a_result(spark, page_table):
+    known = page_table(LOADER)
+    row = r.detect(known.selectExpr("page_id", *[f"cast(NULL AS {t}) AS {c}" for c, t in known.dtypes[1:]])).first()
+    assert (row.evidence, row.hub_ids, row.confidence, row.headers, row.hubspot_detected) == ([], [], "weak", {}, False)
+    bare = known.withColumn("requested_url", F.lit(None).cast("string")).withColumn("headers", F.lit(None).cast("map<string,string>"))
+    assert r.detect(bare).first().hub_ids == [12345]
+
+
+def test_time_text_is_utc_in_any_session(spark, page_table):
+    results = r.detect(page_table("")).select("original_url", F.timestamp_micros(F.lit(1714557600000001)).alias("t"))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert results.select(utc_text(F.col("t"))).first()[0] == "2024-05-01T10:00:00.000001Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def failed(spark):
     rows = [
         ("r", "1", 1, datetime(2024, 5, 1), "https://bad.com", "bad.com", 0, 0, False, 403, None),

@@ -230,7 +230,7 @@ def test_required_literals(regex, literals):
 
 
 def test_stems_are_pieces_of_their_literals(catalog):
-    stems = shared_stems(catalog.first_literals())
+    stems = shared_stems(tuple(catalog.first_literals()))
     assert stems and all(stem in literal for literal, stem in stems.items())
 
 
