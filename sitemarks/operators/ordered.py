@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sitemarks.session import written
 
 ROWS_PER_SLICE = 1_000_000
+SMALLEST_SLICE = 1_000
 SLICE = "slice_no"
 #: Row kinds of a prepared table, in the order they sort within a slice.
 SEED, HALO, ROW = 0, 1, 2
@@ -27,10 +28,13 @@ SEED, HALO, ROW = 0, 1, 2
 def slice_rows(df: DataFrame, group: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Number the slices: rows sorted by ``group, order`` get an increasing ``slice_no``.
 
-    The order must be total within a group.
+    The order must be total within a group. There are at least as many slices as
+    ``rows_per_slice`` asks for, and beyond that enough to keep the shuffle
+    partitions busy, but none of just a few rows.
     """
-    wanted = -(-df.count() // rows_per_slice)
-    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
+    rows = df.count()
+    busy = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SMALLEST_SLICE))
+    slices = max(1, busy, -(-rows // rows_per_slice))
     ranged = df.repartitionByRange(slices, *group, *order).withColumn(SLICE, F.spark_partition_id())
     return written(ranged, "slices")
 
