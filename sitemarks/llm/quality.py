@@ -42,7 +42,7 @@ RULES = [
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("capitals", "2 * n_upper > word_chars"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "10 * n_dup_lines > 8 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("long_words", "10 * n_long_words > n_words"),
 ]

@@ -55,7 +55,7 @@ f AS (
   SELECT *, base_bits
          | CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END
          | CASE WHEN 2 * n_upper > word_chars THEN 8 ELSE 0 END
-         | CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
+         | CASE WHEN 10 * n_dup_lines > 8 * n_lines THEN 16 ELSE 0 END
          | CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END
          | CASE WHEN 10 * n_long_words > n_words THEN 64 ELSE 0 END AS bits
   FROM b)
