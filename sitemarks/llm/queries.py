@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemarks.llm import quality
+from sitemarks.llm import contamination, lines, pieces, quality, simhash
 from sitemarks.llm.common import table
 
 
+def op3_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, and the numbers of those that go."""
+    found = lines.line_decisions(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_with_words", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents, judged by the current policy, and by each other version."""
     led = quality.ledger(table(spark, sf_dir, "documents"))
@@ -22,7 +31,42 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op8_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    part = lambda name: F.col(f"_llm_found.{name}")
+    return found.select(
+        "doc_id", part("n_words").alias("n_words"), part("n_hit").alias("n_hit"),
+        F.size(part("items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(part("items"), ","), 256).alias("items_sha256"),
+        contamination.contaminated().alias("contaminated"),
+    )
+
+
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of tokens, a digest of their ids, and whether they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pieces.load_model(pieces.default_model(spark))
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+QUERIES = {
+    "op3_line_minhash": op3_line_minhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_simhash_golay": op7_simhash_golay,
+    "op8_benchmark_automaton": op8_benchmark_automaton,
+    "op9_piece_lattice": op9_piece_lattice,
+}
 
 _OP4_SQL = r"""
 WITH d AS (
@@ -66,4 +110,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
-ORACLES = {"op4_quality_rules": _OP4_SQL}
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT item, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT doc_id, dw.size AS size, i, item FROM dw JOIN win ON dw.g = win.g AND dw.size = win.size),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+""".replace(
+    "lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+ORACLES = {"op4_quality_rules": _OP4_SQL, "op8_benchmark_automaton": _OP8_SQL}
