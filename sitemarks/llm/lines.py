@@ -114,7 +114,8 @@ def line_links(
         _lines(docs)
         .select(_node().alias("node"), shingle_hashes("line", shingle).alias("hashes"))
         .select("node", band_keys("hashes", bands, rows).alias("keys"))
-        .select("node", F.explode("keys").alias("key"))
+        # Not explode: Spark would filter on the size first, which computes the keys a second time.
+        .select("node", F.explode_outer("keys").alias("key"))
     )
     # One row per key and node; then only the keys that two nodes share, written once.
     shared = F.count("*").over(_by_key()) > 1
