@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemarks.llm import contamination, lines, pieces, quality, simhash
+from sitemarks.llm import contamination, fixity, lines, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
 from sitemarks.llm.common import table
 
 
+def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and those of a model trained from all documents."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, every = secret_scan.digest()
+    count = lambda kind: F.expr(f"cast(size(filter(secrets, x -> x.kind = '{kind}')) as long)")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"), every.alias("spans"),
+    )
+
+
+def op2_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the page archive that a replica with faults does not hold as they are."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    _, differences = fixity.audit(records, fixity.damaged(records))
+    return differences
+
+
 def op3_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, and the numbers of those that go."""
     found = lines.line_decisions(table(spark, sf_dir, "documents"))
@@ -31,6 +49,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -60,12 +90,24 @@ def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs; the model is trained from those that the rules judge."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urlfilter.train(urlfilter.labels_from_rules(pages))
+    return urlfilter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op1_secret_markov": op1_secret_markov,
+    "op2_warc_merkle": op2_warc_merkle,
     "op3_line_minhash": op3_line_minhash,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_prefix_shards": op5_byte_prefix_shards,
+    "op6_recompression_repeats": op6_recompression_repeats,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_benchmark_automaton": op8_benchmark_automaton,
     "op9_piece_lattice": op9_piece_lattice,
+    "op10_url_logistic": op10_url_logistic,
 }
 
 _OP4_SQL = r"""
@@ -136,4 +178,20 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
     "lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
-ORACLES = {"op4_quality_rules": _OP4_SQL, "op8_benchmark_automaton": _OP8_SQL}
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM late),
+word AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op4_quality_rules": _OP4_SQL, "op6_recompression_repeats": _OP6_SQL, "op8_benchmark_automaton": _OP8_SQL}
