@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash (native).
 
-Lines (cut at ``\\n``) are lower-cased and their white space is made single. Lines that
-are then equal are one node. A node's shingles are the windows of ``shingle`` characters
+Lines (cut at ``\\n``) are taken without the white space at their ends; equal ones are one
+node. A node's shingles are the windows of ``shingle`` characters
 that begin where a word begins (or what is left of the line there), so a line has one
 shingle per word. Nodes link where the Jaccard similarity of their shingle sets is at
 least ``similarity``. Of each component one line stays, the first by (doc_id, line
@@ -25,10 +25,10 @@ a null doc_id sorts first; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemarks.llm.common import text_of
+from sitemarks.llm.common import SPACES, text_of
 from sitemarks.llm.components import components
 from sitemarks.session import written
 
@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
 STAR_ROUNDS = 3
+#: Arcs of the circle of hashes, 2 ** ARC_BITS; no fewer than ``bands * rows``.
+ARC_BITS = 6
 
 _NULL_ID = -(2**63)
 
@@ -46,8 +48,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
     rows = docs.select(doc, F.xxhash64("text").alias("copy"), text_of().alias("text"))
     split = rows.select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    clean = F.lower(F.btrim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "), F.lit(" ")))
-    return split.withColumn("line", clean).filter("line <> ''")
+    return split.withColumn("line", F.btrim("line", F.lit(SPACES))).filter("line <> ''")
 
 
 def _node() -> Column:
@@ -63,17 +64,22 @@ def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
 def band_keys(hashes: str, bands: int = BANDS, rows: int = ROWS) -> Column:
     """The band keys of a sorted array of hashes.
 
-    A hash falls into one of ``bands * rows`` arcs of the circle. The first hash of an
-    arc is the successor of the arc's beginning and of those of the empty arcs before
-    it; past the last, the first of all follows.
+    A hash falls into an arc of the circle by its highest bits. The first hash of an arc is
+    the successor of the arc's beginning and of those of the empty arcs before it; past
+    the last, the first of all follows.
     """
-    n = bands * rows
-    arc = lambda x: f"cast(shiftright((shiftright({x}, 32) + 2147483648L) * {n}, 32) as int)"
-    firsts = f"""filter({hashes}, (x, i) -> i = 0 or {arc('x')} <> {arc(f'get({hashes}, i - 1)')})"""
+    arcs = 1 << ARC_BITS
+    if bands * rows > arcs:
+        raise ValueError(f"{bands} bands of {rows} rows need more than {arcs} arcs")
+    arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
+    firsts = f"filter({hashes}, (x, i) -> not {arc('x')} <=> {arc(f'get({hashes}, i - 1)')})"
+    below = f"if(i = 0, {-arcs // 2 - 1}L, {arc('get(f, i - 1)')})"
     points = f"""transform(array({firsts}), f -> concat(
-        flatten(transform(f, (x, i) -> array_repeat(x, {arc('x')} - if(i = 0, -1, {arc('get(f, i - 1)')})))),
-        array_repeat(f[0], {n - 1} - {arc('element_at(f, -1)')})))[0]"""
-    values = lambda b: ", ".join(f"p[{b * rows + r}]" for r in range(rows))
+        flatten(transform(f, (x, i) -> array_repeat(x, cast({arc('x')} - {below} as int)))),
+        array_repeat(f[0], cast({arcs // 2 - 1}L - {arc('element_at(f, -1)')} as int))))[0]"""
+    # A band's points lie far apart: in a short line, neighbouring points have the same successor.
+    step = arcs // rows
+    values = lambda b: ", ".join(f"p[{b * step // bands + r * step}]" for r in range(rows))
     keys = ", ".join(f"xxhash64({b}, {values(b)})" for b in range(bands))
     return F.expr(f"transform(array({points}), p -> array({keys}))[0]")
 
@@ -89,13 +95,15 @@ def _candidates(banded: DataFrame) -> DataFrame:
     return banded.join(least, "key").filter("node <> centre").select("key", "node", "centre")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct ``a, b`` whose sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``a, b`` whose shingle sets are similar enough."""
+    # Lines travel, not their sets, which are larger and do not compress.
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("u"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("v"))
     both = F.size(F.array_intersect("x", "y"))
+    own = lambda line: F.array_distinct(shingle_hashes(line, shingle))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.join(left, "a").join(right, "b").select("a", "b", own("u").alias("x"), own("v").alias("y"))
         .filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both))
         .select("a", "b")
     )
@@ -118,42 +126,36 @@ def line_links(
         .select("node", F.explode_outer("keys").alias("key"))
     )
     # One row per key and node; then only the keys that two nodes share, written once.
-    shared = F.count("*").over(_by_key()) > 1
+    shared = F.count("*").over(Window.partitionBy("key")) > 1
     banded = signed.repartition("key").distinct().withColumn("more", shared).filter("more").drop("more")
     banded = written(banded, "line-bands")
     nodes = banded.select("node").distinct()
     lines = _lines(docs).select(_node().alias("node"), "line").join(nodes, "node", "left_semi")
-    sets = lines.groupBy("node").agg(F.first("line").alias("line"))
-    hashes = F.array_distinct(shingle_hashes("line", shingle))
-    sets = written(sets.select("node", hashes.alias("hashes")), "line-sets")
+    texts = written(lines.groupBy("node").agg(F.first("line").alias("line")), "line-texts")
 
     found = []
-    for _ in range(star_rounds):
+    for k in range(star_rounds):
         stars = written(_candidates(banded), "line-stars")
         pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = written(_linked(pairs, sets, similarity), "line-links")
+        links = written(_linked(pairs, texts, shingle, similarity), "line-links")
         found.append(links)
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rest = stars.join(near, (stars["node"] == near["a"]) & (stars["centre"] == near["b"]), "left_anti")
         banded = written(rest.select("key", "node"), "line-bands")
         if banded.isEmpty():
             break
+        if not k:  # few lines are left, so their texts are set apart once
+            texts = written(texts.join(banded.select("node").distinct(), "node", "left_semi"), "line-texts")
     else:
         other = banded.select("key", F.col("node").alias("b"))
         pairs = banded.select("key", F.col("node").alias("a")).join(other, "key").filter("a < b")
-        found.append(_linked(pairs.select("a", "b").distinct(), sets, similarity))
+        found.append(_linked(pairs.select("a", "b").distinct(), texts, shingle, similarity))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key")
-
-
 def kept_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``doc, copy, keep``: per document the numbers of its lines that are the first of their component.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitemarks.llm import contamination, fixity, lines, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
 from sitemarks.llm.common import table
+from sitemarks.session import written
 
 
 def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the page archive that a replica with faults does not hold as they are."""
-    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    records = written(fixity.warc_records(table(spark, sf_dir, "pages")), "warc-records")
     _, differences = fixity.audit(records, fixity.damaged(records))
     return differences
 
