@@ -24,9 +24,9 @@ _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _COMMENT = r"<!--(?:.*?-->|.*+)"
 _RAW_END = r"(?:.*?</(?:script|style)\s*+>|.*+)"
 _RAW = r"<(?:script|style)(?=[\s/>])" + _ATTRS + ">" + _RAW_END
-_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});?"
+_ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,10});?"
 _BLANK = r"[\s\x1c-\x1f]"
-_NAMES = "map({})".format(", ".join(f"{text(n)}, {text(chr(c))}" for n, c in sorted(name2codepoint.items())))
+_NAMES = "map({})".format(", ".join(f"{text(n)}, {text(chr(c))}" for n, c in sorted({**name2codepoint, "apos": 39}.items())))
 
 
 def tags_sql(html: str, tags) -> str:
@@ -56,9 +56,10 @@ def attribute_sql(tag: str, name: str) -> str:
 def unescape_sql(expr: str) -> str:
     """Character references replaced by their characters (numeric and the HTML 4 names)."""
     entity = text(_ENTITY)
-    code = (
-        "try_cast(CASE WHEN lower(left(_b, 2)) = '#x' THEN conv(substr(_b, 3), 16, 10) ELSE substr(_b, 2) END AS int)"
-    )
+    # More digits than any code point needs are no code point, so they need not fit a number either.
+    digits = "regexp_extract(_b, '^#[xX]?0*(.*)$', 1)"
+    number = f"CASE WHEN lower(left(_b, 2)) = '#x' THEN conv({digits}, 16, 10) ELSE {digits} END"
+    code = f"CASE WHEN length({digits}) BETWEEN 1 AND 7 THEN try_cast({number} AS int) ELSE 0 END"
     valid = "_c > 0 AND _c <= 1114111 AND NOT _c BETWEEN 55296 AND 57343"
     char = f"CASE WHEN {valid} THEN decode(unhex(lpad(hex(_c), 8, '0')), 'UTF-32') ELSE '�' END"
     decoded = let_sql(
@@ -82,7 +83,7 @@ def page_resources(html: str, page_url: str, tags: dict[str, str] = RESOURCE_TAG
     links = f"transform({tags_sql(html, list(tags))}, _g -> CASE {tag_name_sql('_g')} {cases} END)"
     present = f"filter({links}, _h -> _h IS NOT NULL)"
     absolute = f"transform(transform({present}, _h -> {unescape_sql('_h')}), _a -> {resolve_sql('_base', '_a')})"
-    return F.expr(let_sql("_base", split_sql(page_url), f"array_distinct({absolute})"))
+    return F.expr(let_sql("_base", split_sql(page_url), f"array_distinct(array_compact({absolute}))"))
 
 
 def page_title(html: str) -> Column:

@@ -120,7 +120,9 @@ def url_variations(url: str, max_variations: int = DEFAULT_MAX_VARIATIONS) -> Co
 def resolve_sql(base: str, reference: str) -> str:
     """Absolute form of a reference found in a page (RFC 3986 with the ``urllib`` corner cases).
 
-    ``base`` is a struct from :func:`split_sql`, so a page splits its own URL once.
+    ``base`` is a struct from :func:`split_sql`, so a page splits its own URL once. A
+    reference whose network location has one square bracket without the other has no
+    absolute form: NULL.
     """
     has_netloc = _in("_f.scheme", NETLOC_SCHEMES)
     netloc = f"(CASE WHEN {has_netloc} THEN {base}.netloc ELSE _f.netloc END)"
@@ -135,6 +137,8 @@ def resolve_sql(base: str, reference: str) -> str:
         f"WHEN {has_netloc} AND _f.netloc <> '' THEN {join_sql(*[f'_f.{n}' for n in _NAMES])} "
         f"WHEN _f.path = '' AND _f.params = '' THEN {same_page} ELSE {merged} END"
     )
+    broken = "contains(_f.netloc, '[') <> contains(_f.netloc, ']')"
+    choice = f"CASE WHEN {broken} THEN cast(NULL AS string) ELSE {choice} END"
     return let_sql("_t", clean_sql(reference), let_sql("_f", split_sql("_t", f"{base}.scheme"), choice))
 
 

@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemarks.functions.urls import url_domain
-from sitemarks.operators.ordered import HALO, ROW, ROWS_PER_SLICE, SEED, SLICE, slice_rows, with_lookback
+from sitemarks.operators.ordered import (
+    HALO,
+    ROW,
+    ROWS_PER_SLICE,
+    SEED,
+    SLICE,
+    join_null_safe,
+    slice_rows,
+    with_lookback,
+)
 
 #: Defaults and what counts as blocking.
 THRESHOLD = 5
@@ -57,10 +66,13 @@ def block_windows(
     min_rate: float = MIN_RATE,
     count_http_status: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
+    queue_size: int = RETRY_QUEUE,
+    shown_domains: int = SHOWN_DOMAINS,
 ) -> DataFrame:
     """Per attempt, the alert state over the last ``window`` attempts of its run and egress (no reset).
 
-    Statistics are NULL below the threshold.
+    Statistics are NULL below the threshold. An alert names ``shown_domains`` domains at
+    most, and counts a retry queue that holds ``queue_size`` URLs at most.
     """
     narrow = _narrow(attempts, count_http_status)
     blocked = F.col("is_blocking").cast("int")
@@ -94,8 +106,8 @@ def block_windows(
         "blocking_failures",
         F.when(enough, rate).alias("blocking_rate"),
         F.when(enough, F.size("_recent")).alias("unique_domains"),
-        F.when(enough, F.slice("_recent", 1, SHOWN_DOMAINS)).alias("affected_domains"),
-        F.when(enough, F.least(F.col("_queued"), F.lit(RETRY_QUEUE))).alias("retry_queue_size"),
+        F.when(enough, F.slice("_recent", 1, shown_domains)).alias("affected_domains"),
+        F.when(enough, F.least(F.col("_queued"), F.lit(queue_size))).alias("retry_queue_size"),
         (enough & (F.size("_recent") >= 2) & (rate >= min_rate)).alias("is_blocked"),
     )
 
@@ -204,7 +216,15 @@ _ALERT_SCHEMA = (
 
 
 def alert_rows(
-    rows: pd.DataFrame, start: int, queued: int, halo: int, threshold: int, window: int, min_rate: float
+    rows: pd.DataFrame,
+    start: int,
+    queued: int,
+    halo: int,
+    threshold: int,
+    window: int,
+    min_rate: float,
+    queue_size: int = RETRY_QUEUE,
+    shown_domains: int = SHOWN_DOMAINS,
 ) -> tuple[pd.DataFrame, int]:
     """Alerts met when walking ordered rows from a reset position, and the last reset position.
 
@@ -230,8 +250,8 @@ def alert_rows(
                 "total_attempts": at - first,
                 "blocking_rate": failures / (at - first),
                 "unique_domains": len(names),
-                "affected_domains": names[:SHOWN_DOMAINS],
-                "retry_queue_size": int(min(RETRY_QUEUE, queued + before[at] - before[halo])),
+                "affected_domains": names[:shown_domains],
+                "retry_queue_size": int(min(queue_size, queued + before[at] - before[halo])),
             }
         )
         p = at
@@ -240,12 +260,12 @@ def alert_rows(
     return pd.DataFrame(found, columns=columns), p
 
 
-def _alerts(window: int, threshold: int, min_rate: float):
+def _alerts(window: int, threshold: int, min_rate: float, queue_size: int, shown_domains: int):
     def emit(group: pd.DataFrame) -> pd.DataFrame:
         seed = group[group["_kind"] == SEED].iloc[0]
         _, _, halo, rows = _prepared(group)
         start = max(halo - int(seed["entry"]), 0)
-        found, _ = alert_rows(rows, start, int(seed["_blocked_before"]), halo, threshold, window, min_rate)
+        found, _ = alert_rows(rows, start, int(seed["_blocked_before"]), halo, threshold, window, min_rate, queue_size, shown_domains)
         return found.assign(run_id=seed["run_id"], egress=seed["egress"])
 
     return emit
@@ -258,6 +278,8 @@ def block_alerts(
     min_rate: float = MIN_RATE,
     count_http_status: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
+    queue_size: int = RETRY_QUEUE,
+    shown_domains: int = SHOWN_DOMAINS,
 ) -> DataFrame:
     """Alerts per run and egress when each alert empties the window (the retry queue is kept).
 
@@ -272,6 +294,8 @@ def block_alerts(
         _exit_states(window, threshold, min_rate), f"{key_ddl}, exits array<int>"
     )
     entries = exits.groupBy(*GROUP).applyInPandas(_entry_states, f"{key_ddl}, entry int")
-    seeds = rows.filter(F.col("_kind") == SEED).join(entries, keys)
+    seeds = join_null_safe(rows.filter(F.col("_kind") == SEED), entries, keys)
     ready = rows.filter(F.col("_kind") != SEED).unionByName(seeds, allowMissingColumns=True)
-    return ready.groupBy(*keys).applyInPandas(_alerts(window, threshold, min_rate), _ALERT_SCHEMA)
+    return ready.groupBy(*keys).applyInPandas(
+        _alerts(window, threshold, min_rate, queue_size, shown_domains), _ALERT_SCHEMA
+    )

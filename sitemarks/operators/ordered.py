@@ -25,6 +25,14 @@ SLICE = "slice_no"
 SEED, HALO, ROW = 0, 1, 2
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Like ``left.join(right, keys, how)``, but NULL keys are equal to each other, as they are in a group."""
+    own = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(own)
+    equal = [left[k].eqNullSafe(renamed[r]) for k, r in own.items()]
+    return left.join(renamed, equal, how).drop(*own.values())
+
+
 def slice_rows(df: DataFrame, group: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Number the slices: rows sorted by ``group, order`` get an increasing ``slice_no``.
 
@@ -107,7 +115,7 @@ def with_lookback(
     tails = sliced.withColumn("_rank", F.row_number().over(latest_first)).filter(F.col("_rank") <= back)
     position = F.col("_end") - F.col("_rank") + 1
     halo = (
-        tails.join(reach, [*group, SLICE])
+        join_null_safe(tails, reach, [*group, SLICE])
         .withColumn("_target", F.explode("_to"))
         .filter(position > F.col("_target.start") - back)
         .withColumn(SLICE, F.col("_target.to"))

@@ -153,7 +153,7 @@ def failure_results(
     """Result rows for inputs none of whose attempts succeeded, in the schema of :func:`detect`."""
     failed = (
         attempts.groupBy("original_url")
-        .agg(F.bool_or("success").alias("_ok"), F.max("ts").alias("fetched_at"))
+        .agg(F.bool_or(F.coalesce("success", F.lit(False))).alias("_ok"), F.max("ts").alias("fetched_at"))
         .filter("NOT _ok")
     )
     tried = F.array("_first")

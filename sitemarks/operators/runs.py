@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemarks.functions.durations import clock_time
-from sitemarks.operators.ordered import with_running_totals
+from sitemarks.operators.ordered import join_null_safe, with_running_totals
 from sitemarks.session import written
 from sitemarks.sources.catalog import CONFIDENCE_LEVELS
 
@@ -205,7 +205,10 @@ def run_reconcile(inputs: DataFrame, completed: DataFrame, failed: DataFrame) ->
 def progress_snapshots(
     results: DataFrame, every: int = 10, total_urls: int | None = None, run_id: str = "run_id"
 ) -> DataFrame:
-    """Running counters of each run at every ``every``-th completion and at the last one.
+    """Running counters of each run at every ``every``-th completion and at the last one there is.
+
+    ``total_urls`` only tells what the counters are held against: a run that has fewer
+    rows so far still ends with the snapshot of its last one.
 
     ``results`` carries a run column and each original URL once per run (inputs are
     deduplicated before a run). Completion order is ``fetched_at``, then the original URL.
@@ -225,17 +228,23 @@ def progress_snapshots(
     new_ids = first_seen.groupBy(run_id, *[F.col(f"_at.{c}").alias(c) for c in order]).agg(
         F.count("*").alias("_new_ids")
     )
-    steps = narrow.drop("_ids").join(new_ids, [run_id, *order], "left")
+    steps = join_null_safe(narrow.drop("_ids"), new_ids, [run_id, *order], "left")
     sums = {n: F.col(f"_{n}") for n in measures}
     sums["unique_hub_ids"] = F.coalesce("_new_ids", F.lit(0))
     running = with_running_totals(steps, [run_id], order, sums)
     sizes = narrow.groupBy(run_id).agg(F.count("*").alias("_size"))
-    df = running.join(sizes, run_id)
+    df = join_null_safe(running, sizes, [run_id])
     df = df.withColumn("total_urls", F.col("_size") if total_urls is None else F.lit(total_urls).cast("bigint"))
-    due = (F.col("completed") % every == 0) | (F.col("completed") == F.col("total_urls"))
+    due = (F.col("completed") % every == 0) | (F.col("completed") == F.col("_size"))
     return df.filter(due).select(run_id, "fetched_at", "total_urls", *sums)
 
 
+def completed_and_failed() -> tuple[Column, Column]:
+    """Counts of attempts; one whose ``success`` is NULL has not succeeded, so it has failed."""
+    ok = F.coalesce("success", F.lit(False))
+    return F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed")
+
+
 def progress_by_window(
     attempts: DataFrame, width: str = "1 hour", total_urls: int | None = None
 ) -> DataFrame:
@@ -245,9 +254,7 @@ def progress_by_window(
     of a run and not by its rows. ``remaining`` does not subtract failures: they
     may be tried again. ``total_urls`` defaults to all attempts of the run.
     """
-    counts = attempts.groupBy("run_id", F.window("ts", width).alias("w")).agg(
-        F.count_if("success").alias("completed"), F.count_if(~F.col("success")).alias("failed")
-    )
+    counts = attempts.groupBy("run_id", F.window("ts", width).alias("w")).agg(*completed_and_failed())
     run = Window.partitionBy("run_id")
     upto = run.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(F.col("completed") + F.col("failed")).over(run) if total_urls is None else F.lit(total_urls)
@@ -284,11 +291,18 @@ def stall_gaps(attempts: DataFrame, threshold_seconds: int = STALL_SECONDS, now:
     micros = F.unix_micros("ts")
     bucket = F.floor(micros / (threshold_seconds * 1_000_000))
     spans = attempts.groupBy("run_id", bucket.alias("_bucket")).agg(F.min("ts").alias("_min"), F.max("ts").alias("_max"))
-    ahead = Window.partitionBy("run_id").orderBy("_bucket")
-    upcoming = F.lead("_min").over(ahead)
+    return gaps_between(spans, "_bucket", "_min", "_max", threshold_seconds, now)
+
+
+def gaps_between(
+    spans: DataFrame, interval: str, first: str, last: str, threshold_seconds: int, now: str | None = None
+) -> DataFrame:
+    """Stalls between the first and last events of a run's intervals; see ``stall_gaps``."""
+    ahead = Window.partitionBy("run_id").orderBy(interval)
+    upcoming = F.lead(first).over(ahead)
     if now is not None:
         upcoming = F.coalesce(upcoming, F.lit(now).cast("timestamp"))
-    df = spans.select("run_id", F.col("_max").alias("last_update"), upcoming.alias("next_update"))
+    df = spans.select("run_id", F.col(last).alias("last_update"), upcoming.alias("next_update"))
     stalled = F.unix_micros("next_update") - F.unix_micros("last_update")
     return df.withColumn("stall_seconds", stalled / 1e6).filter(stalled > threshold_seconds * 1_000_000)
 
@@ -309,7 +323,7 @@ def retry_plan(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
         return hit
 
     decision = (
-        F.when(F.col("success"), "success")
+        F.when(F.coalesce("success", F.lit(False)), "success")
         .when(mentions("429", "too many requests"), "rate_limited")
         .when(mentions("403", "forbidden"), "forbidden")
         .when((F.col("retry_no") < max_retries - 1) & mentions(*TRANSIENT), "retry")
@@ -334,7 +348,7 @@ def resolved_urls(inputs: DataFrame, attempts: DataFrame) -> DataFrame:
     ``variation_type`` is set when the URL that worked is not the one entered first.
     """
     best = (
-        attempts.filter("success")
+        attempts.filter("success")  # a NULL is no success
         .groupBy("original_url")
         .agg(F.min(F.struct("variation_no", "retry_no", "attempt_id", "url")).alias("_b"))
         .select("original_url", F.col("_b.url").alias("working_url"), F.col("_b.variation_no").alias("variation_no"))

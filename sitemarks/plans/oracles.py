@@ -430,6 +430,12 @@ FROM (SELECT run_id, ts, lead(ts) OVER (PARTITION BY run_id ORDER BY ts) AS next
 WHERE next_ts - ts > INTERVAL 600 SECOND"""
 
 
+RETRY_QUEUE = """
+SELECT egress, queue_pos, attempt_id, url
+FROM (SELECT *, row_number() OVER (PARTITION BY egress ORDER BY ts DESC, attempt_id DESC) AS queue_pos
+      FROM attempts WHERE is_blocking) WHERE queue_pos <= 50"""
+
+
 def _fetch_error() -> str:
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in d.FETCH_ERRORS.items() if v)
     return f"CASE event_type {cases} END"
@@ -627,27 +633,23 @@ FROM attempts""",
     ),
     "block_windows": BLOCK_WINDOWS,
     "block_alerts": BLOCK_ALERTS,
-    "retry_queue": with_(
-        ATTEMPTS,
-        """
-SELECT egress, queue_pos, attempt_id, url
-FROM (SELECT *, row_number() OVER (PARTITION BY egress ORDER BY ts DESC, attempt_id DESC) AS queue_pos
-      FROM attempts WHERE is_blocking) WHERE queue_pos <= 50""",
-    ),
+    "retry_queue": with_(ATTEMPTS, RETRY_QUEUE),
+    "stream_retry_queue": with_(ATTEMPTS, RETRY_QUEUE),
     "stream_detection": DETECTION,
     "stream_block_alerts": BLOCK_ALERTS,
     "stream_dedup": with_(ATTEMPTS, "SELECT DISTINCT original_url FROM attempts"),
-    # Windows that the end of the data leaves open are not emitted by the streams.
     "stream_progress": with_(
         ATTEMPTS,
         f"""
 SELECT run_id, {ts("date_trunc('hour', ts)")} AS window_start, count(*) FILTER (success) AS completed,
        count(*) FILTER (NOT success) AS failed
-FROM attempts WHERE ts < date_trunc('hour', (SELECT max(ts) FROM attempts)) GROUP BY ALL""",
+FROM attempts GROUP BY ALL""",
     ),
-    "stream_stalls": with_(
+    "stream_stalls": with_(ATTEMPTS, STALLS),
+    "stall_open": with_(
         ATTEMPTS,
-        "SELECT * FROM (" + STALLS + ") WHERE CAST(next_update AS TIMESTAMP) < "
-        "(SELECT time_bucket(INTERVAL 600 SECOND, max(ts)) FROM attempts)",
+        f"""
+SELECT run_id, {ts('max(ts)')} AS last_update, {ts("max(ts) + INTERVAL 1 HOUR")} AS next_update, 3600.0::DOUBLE AS stall_seconds
+FROM attempts GROUP BY run_id""",
     ),
 }

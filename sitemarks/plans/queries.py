@@ -5,6 +5,8 @@ Arrays and times leave as text so that results compare across engines.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,6 +295,14 @@ def stall_gaps(spark, sf):
     return _stall_text(runs.stall_gaps(derived.attempts(spark, sf)))
 
 
+def stall_open(spark, sf):
+    """The stall that is still going on an hour after the last attempt of all."""
+    attempts = derived.attempts(spark, sf)
+    now = attempts.agg(F.max("ts") + F.expr("INTERVAL 1 HOUR")).first()[0]
+    return _stall_text(runs.stall_gaps(attempts, now=str(now)).filter(F.col("next_update") == F.lit(str(now)).cast("timestamp")))
+
+
+
 def retry_plan(spark, sf):
     return runs.retry_plan(derived.fetch_errors(spark, sf), MAX_RETRIES).select(
         "attempt_id", "retry_no", "decision", "wait_seconds", "last_status"
@@ -342,7 +352,8 @@ def retry_queue(spark, sf):
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = derived.table(spark, sf, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    # One file at a time: a keyed operator holds a key's share of one micro-batch.
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
     return reader.parquet(sf)
 
 
@@ -354,11 +365,24 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _with_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """The state store that keyed state needs, for the queries started inside; the caller's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _updated(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode stream over what is there and read back the last state of each key."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    stream_progress.upsert_files(stream, path, checkpoint).awaitTermination()
+    return stream_progress.latest(spark, stream.schema, path, keys)
 
 
 def stream_detection_query(spark, sf):
@@ -367,9 +391,18 @@ def stream_detection_query(spark, sf):
 
 
 def stream_block_alerts(spark, sf):
-    _with_rocksdb(spark)
     attempts = derived.derive_attempts(_stream(spark, sf, "events"))
-    return _alert_text(_drained(stream_blocking.stream_block_alerts(attempts), "stream-alerts"))
+    with _rocksdb(spark):
+        return _alert_text(_drained(stream_blocking.stream_block_alerts(attempts), "stream-alerts"))
+
+
+def stream_retry_queue(spark, sf):
+    """The queue as the stream leaves it, from the same state that the alerts read."""
+    attempts = derived.derive_attempts(_stream(spark, sf, "events"))
+    queue = stream_blocking.stream_retry_queue(attempts)
+    with _rocksdb(spark):
+        df = _updated(queue, "stream-queue", ["run_id", "egress", "queue_pos"])
+    return df.select("egress", "queue_pos", "attempt_id", "url")
 
 
 def stream_dedup(spark, sf):
@@ -379,14 +412,14 @@ def stream_dedup(spark, sf):
 
 def stream_progress_query(spark, sf):
     attempts = derived.derive_attempts(_stream(spark, sf, "events"))
-    df = _drained(stream_progress.stream_progress(attempts, watermark="0 seconds"), "stream-progress")
+    df = _updated(stream_progress.stream_progress(attempts), "stream-progress", ["run_id", "window_start"])
     return df.withColumn("window_start", ts_text(F.col("window_start")))
 
 
 def stream_stalls(spark, sf):
-    _with_rocksdb(spark)
     attempts = derived.derive_attempts(_stream(spark, sf, "events"))
-    return _stall_text(_drained(stream_progress.stream_stalls(attempts, watermark="0 seconds"), "stream-stalls"))
+    spans = _updated(stream_progress.stream_spans(attempts), "stream-spans", ["run_id", "interval"])
+    return _stall_text(stream_progress.stalls_of(spans))
 
 
 QUERIES = {
@@ -429,6 +462,7 @@ QUERIES = {
     "progress_snapshots": progress_snapshots,
     "progress_by_window": progress_by_window,
     "stall_gaps": stall_gaps,
+    "stall_open": stall_open,
     "retry_plan": retry_plan,
     "resolved_url": resolved_url,
     "attempt_class": attempt_class,
@@ -437,6 +471,7 @@ QUERIES = {
     "retry_queue": retry_queue,
     "stream_detection": stream_detection_query,
     "stream_block_alerts": stream_block_alerts,
+    "stream_retry_queue": stream_retry_queue,
     "stream_dedup": stream_dedup,
     "stream_progress": stream_progress_query,
     "stream_stalls": stream_stalls,

@@ -28,13 +28,16 @@ def build_session(cpus: int | str = "*", app: str = "sitemarks") -> SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the cluster's checkpoint folder.
 
-    Read from ``spark.checkpoint.dir`` (or what the context already uses). Only where
-    neither is set, as in tests, a temporary folder is taken and remembered.
+    Read from ``spark.checkpoint.dir`` (or what the context already uses). Only a local
+    session may do without, as in tests: it takes a temporary folder and remembers it. On a
+    cluster a folder that executors do not share would lose data, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sitemarks-")
         spark.sparkContext.setCheckpointDir(root)
     return root

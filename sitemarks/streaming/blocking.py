@@ -21,20 +21,20 @@ from sitemarks.operators.blocking import (
 )
 
 _WINDOW_STATE = "blocking array<boolean>, domain array<string>, queued bigint"
-_QUEUE_STATE = "url string"
+_QUEUE_STATE = "ts timestamp, attempt_id bigint, url string"
+_QUEUE_ROWS = "run_id string, egress string, queue_pos int, ts timestamp, attempt_id bigint, url string"
 _COLUMNS = [field.split()[0] for field in _ALERT_SCHEMA.split(", ")]
 
 
 class BlockWatch(StatefulProcessor):
     """State per run and egress: the attempts since the last alert that are still in the
-    window (fewer than ``window``), how many were queued for retry, and the last queued URLs."""
+    window (fewer than ``window``), and how many were queued for retry."""
 
     def __init__(self, threshold: int, window: int, min_rate: float):
         self.threshold, self.window, self.min_rate = threshold, window, min_rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", _WINDOW_STATE)
-        self.queue = handle.getListState("queue", _QUEUE_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
@@ -48,10 +48,6 @@ class BlockWatch(StatefulProcessor):
         self.recent.update(
             ([bool(b) for b in kept["is_blocking"]], [str(d) for d in kept["domain"]], min(queued, RETRY_QUEUE))
         )
-        urls = new.loc[new["is_blocking"].astype(bool), "url"].tolist()[-RETRY_QUEUE:]
-        if urls:
-            before = [row[0] for row in self.queue.get()] if self.queue.exists() else []
-            self.queue.put([(u,) for u in (before + urls)[-RETRY_QUEUE:]])
         yield found.assign(run_id=key[0], egress=key[1])[_COLUMNS]
 
     def close(self) -> None:
@@ -78,3 +74,41 @@ def stream_block_alerts(
         outputMode="Append",
         timeMode="None",
     )
+
+
+class QueueWatch(StatefulProcessor):
+    """State per run and egress: the latest blocking attempts, at most ``size``."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.queue = handle.getListState("queue", _QUEUE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = [*ORDER, "url"]
+        held = list(self.queue.get()) if self.queue.exists() else []
+        last = pd.DataFrame(held, columns=columns)
+        for chunk in rows:  # one chunk at a time: a huge share of a batch is never held whole
+            last = pd.concat([last, chunk[columns]]) if len(last) else chunk[columns]
+            last = last.sort_values(ORDER).tail(self.size)
+        self.queue.put([(t.to_pydatetime(), int(i), u) for t, i, u in last.itertuples(index=False)])
+        newest_first = last.iloc[::-1].reset_index(drop=True)
+        yield newest_first.assign(run_id=key[0], egress=key[1], queue_pos=newest_first.index + 1)[
+            [field.split()[0] for field in _QUEUE_ROWS.split(", ")]
+        ]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_retry_queue(attempts: DataFrame, size: int = RETRY_QUEUE, count_http_status: bool = False) -> DataFrame:
+    """The retry queue of each run and egress after each micro-batch that adds to it.
+
+    For update mode: position 1 is the latest, and the rows of a later batch replace
+    those of an earlier one. Needs the RocksDB state store provider.
+    """
+    blocking = classify_attempts(attempts, count_http_status).filter("is_blocking")
+    return blocking.select(*GROUP, *ORDER, "url").groupBy(*GROUP).transformWithStateInPandas(
+        statefulProcessor=QueueWatch(size), outputStructType=_QUEUE_ROWS, outputMode="Update", timeMode="None"
+    )

@@ -16,15 +16,16 @@ SCHEMA = (
 )
 
 
-def log(seed, rows, egresses, domains, blocking_share):
+def log(seed, rows, egresses, domains, blocking_share, run="r"):
     """Random attempts; ``blocking_share`` varies over time so that alerts come and go."""
     rng = random.Random(seed)
     out = []
     for i in range(rows):
         bad = rng.random() < blocking_share * (1 if (i // 150) % 2 else 0.4)
         at = START + timedelta(seconds=i // 3)  # ties in time
+        egress = rng.choice(egresses)
         out.append(
-            ("r", str(rng.choice(egresses)), i, at, f"https://d{rng.randrange(domains)}.com/p{i}", not bad, 403 if bad else 200, None)
+            (run, None if egress is None else str(egress), i, at, f"https://d{rng.randrange(domains)}.com/p{i}", not bad, 403 if bad else 200, None)
         )
     return out
 
@@ -52,6 +53,8 @@ CASES = [
     dict(seed=2, rows=900, egresses=[1, 1, 1, 1, 2], domains=2, blocking_share=0.75),
     dict(seed=3, rows=300, egresses=range(60), domains=3, blocking_share=1.0),
     dict(seed=4, rows=700, egresses=[1, 2], domains=1, blocking_share=1.0),
+    dict(seed=6, rows=500, egresses=[None, None, 1], domains=5, blocking_share=0.9),
+    dict(seed=7, rows=300, egresses=[None], domains=4, blocking_share=0.9, run=None),
 ]
 
 
@@ -84,6 +87,19 @@ def test_alerts_with_reset_equal_a_walk(spark, case, rows_per_slice):
     assert got == {i: w[1:] for i, w in walk(rows).items() if w[0]}
 
 
+def test_sizes_are_parameters(spark):
+    rows = log(seed=8, rows=300, egresses=[1], domains=40, blocking_share=1.0)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for got in (
+        b.block_alerts(df, threshold=8, queue_size=500, shown_domains=8, rows_per_slice=40),
+        b.block_windows(df, threshold=8, queue_size=500, shown_domains=8, rows_per_slice=40).filter("is_blocked"),
+    ):
+        found = got.collect()
+        assert max(len(r.affected_domains) for r in found) > 5
+        assert all(len(r.affected_domains) == r.unique_domains for r in found)
+        assert max(r.retry_queue_size for r in found) > 50
+
+
 @pytest.mark.parametrize("threshold, window, rate", [(1, 5, 0.1), (2, 4, 0.5), (3, 8, 1.0), (6, 6, 0.9)])
 def test_alert_parameters(spark, threshold, window, rate):
     rows = log(seed=5, rows=400, egresses=[1], domains=3, blocking_share=0.9)

@@ -15,7 +15,7 @@ from sitemarks.operators.validation import json_violations, result_violations
 from sitemarks.sources import network_log, pages, sinks
 from sitemarks.sources.catalog import load_catalog
 
-LOADER = '<script id="hs-script-loader" src="//js.hs-scripts.com/12345.js"></script>'
+LOADER = '<script id="hs-script-loader" src="//js.hs-scripts.com/906713.js"></script>'
 EVIDENCE = (
     "page_id long, evidence array<struct<category:string,pattern_id:string,match:string,source:string,hub_id:bigint,"
     "confidence:string,context:string>>"
@@ -78,6 +78,7 @@ def test_account_ids_are_distinct_in_first_seen_order(spark):
         ("<title>\n Multi\n Line </title>", "Multi\n Line", None),
         ("<!-- <title>no</title> --><script>'<title>no</title>'</script><TITLE a='>'>yes</TITLE>", "yes", None),
         ("<title>&#233;&#xE9;&eacute;&unknown;&#0;</title>", "ééé&unknown;�", None),
+        ("<title>Bob&apos;s A&#0000000065;&#x0000000041;&#99999999999999;</title>", "Bob's AA\ufffd", None),
         ("<meta content='c' name=\"description\"/>", None, "c"),
         ("<meta property='description' content='c'>", None, None),
         (None, None, None),
@@ -119,7 +120,7 @@ def test_error_pages_are_analysed_but_keep_their_original_url(page_table):
         )
     ).orderBy("page_id").collect()
     assert [x.final_url for x in rows] == ["e.com", "https://e.com", "https://e.com"]
-    assert [x.hub_ids for x in rows] == [[12345], [12345], []]
+    assert [x.hub_ids for x in rows] == [[906713], [906713], []]
 
 
 def test_a_page_with_nothing_known_still_has_a_result(spark, page_table):
@@ -127,7 +128,7 @@ def test_a_page_with_nothing_known_still_has_a_result(spark, page_table):
     row = r.detect(known.selectExpr("page_id", *[f"cast(NULL AS {t}) AS {c}" for c, t in known.dtypes[1:]])).first()
     assert (row.evidence, row.hub_ids, row.confidence, row.headers, row.hubspot_detected) == ([], [], "weak", {}, False)
     bare = known.withColumn("requested_url", F.lit(None).cast("string")).withColumn("headers", F.lit(None).cast("map<string,string>"))
-    assert r.detect(bare).first().hub_ids == [12345]
+    assert r.detect(bare).first().hub_ids == [906713]
 
 
 def test_time_text_is_utc_in_any_session(spark, page_table):
@@ -189,7 +190,7 @@ def test_sinks(spark, page_table, tmp_path):
     assert good["page_metadata"] == {"title": 'Say "hi", ü', "description": None}
     assert good["evidence"][0] == {
         "category": "tracking", "patternId": "tracking_loader_script", "match": LOADER.removesuffix("</script>"),
-        "source": "html", "hubId": 12345, "confidence": "definitive", "context": None,
+        "source": "html", "hubId": 906713, "confidence": "definitive", "context": None,
     }
     assert good["summary"]["features"] == dict.fromkeys(
         ["forms", "chat", "ctasLegacy", "meetings", "video", "emailTrackingIndicators"], False
@@ -316,3 +317,9 @@ def test_catalogue_profile_counts_unmatched_patterns(page_table):
 
     rows = {x.pattern_id: x.n_pages for x in catalog_profile(page_table(LOADER, LOADER, ""), load_catalog()).collect()}
     assert len(rows) == 31 and rows["tracking_loader_script"] == 2 and rows["video_hubspotvideo"] == 0
+
+
+def test_links_that_cannot_be_resolved_are_left_out(page_table):
+    html = "".join(f'<script src="{u}"></script>' for u in ("//[bad/x.js", "http://[::1/x.js", "http://[::1]/y.js", "z.js"))
+    got = page_table(html).select(page_resources("html", "'https://e.com/'")).first()[0]
+    assert got == ["http://[::1]/y.js", "https://e.com/z.js"]

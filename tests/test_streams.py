@@ -1,16 +1,21 @@
 """Streams over several micro-batches give what the batch operators give."""
 
-from datetime import datetime
+import random
+import time
+from datetime import datetime, timedelta
 
 from test_blocking import SCHEMA, log, walk
 
-from sitemarks.operators.results import detect
+from sitemarks.operators.blocking import retry_queue
+from sitemarks.operators.results import detect, failure_results
+from sitemarks.operators.runs import progress_by_window, progress_snapshots, stall_gaps
 from sitemarks.sources.pages import stream_pages
-from sitemarks.streaming.blocking import stream_block_alerts
+from sitemarks.streaming import progress
+from sitemarks.streaming.blocking import stream_block_alerts, stream_retry_queue
 from sitemarks.streaming.detection import run_to_files, stream_detect
 from sitemarks.streaming.inputs import stream_dedup
 
-LOADER = '<script id="hs-script-loader" src="//js.hs-scripts.com/12345.js"></script>'
+LOADER = '<script id="hs-script-loader" src="//js.hs-scripts.com/906713.js"></script>'
 
 
 def source(spark, path, schema):
@@ -50,3 +55,96 @@ def test_duplicates_within_the_bound(spark, tmp_path):
         spark.createDataFrame(row, "ts timestamp, original_url string").write.mode("append").parquet(str(tmp_path / "urls"))
     out = drain(stream_dedup(source(spark, tmp_path / "urls", "ts timestamp, original_url string")), tmp_path)
     assert sorted(r.original_url for r in out.collect()) == ["a", "b"]
+
+
+ATTEMPTS = "run_id string, ts timestamp, success boolean, original_url string"
+
+
+def scattered(spark, tmp_path, files=6):
+    """Attempts of two runs and of none, out of order over several files; some outcomes are unknown."""
+    rng = random.Random(4)
+    rows = [
+        (rng.choice(["a", "b", None]), datetime(2024, 5, 1) + timedelta(minutes=rng.randrange(3000)), rng.choice([True, False, None]), f"u{i}")
+        for i in range(400)
+    ]
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], ATTEMPTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    return spark.createDataFrame(rows, ATTEMPTS), source(spark, tmp_path / "log", ATTEMPTS)
+
+
+def upserted(stream, tmp_path, keys):
+    query = progress.upsert_files(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert len({p["batchId"] for p in query.recentProgress}) > 5
+    return progress.latest(stream.sparkSession, stream.schema, str(tmp_path / "out"), keys), query
+
+
+def test_progress_over_scattered_files_is_complete(spark, tmp_path):
+    batch, stream = scattered(spark, tmp_path)
+    got, query = upserted(progress.stream_progress(stream, watermark="10 days"), tmp_path, ["run_id", "window_start"])
+    wanted = progress_by_window(batch).select("run_id", "window_start", "completed", "failed")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    assert progress.late_rows(query) == 0
+    assert got.selectExpr("sum(completed + failed)").first()[0] == batch.count()
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    for day in (5, 9, 1):
+        rows = [("a", datetime(2024, 5, day, h), True, "u") for h in (1, 2)]
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = progress.stream_progress(source(spark, tmp_path / "log", ATTEMPTS))
+    query = progress.upsert_files(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert progress.late_rows(query) == 2
+
+
+def test_stalls_over_scattered_files_are_complete(spark, tmp_path):
+    batch, stream = scattered(spark, tmp_path)
+    spans, _ = upserted(progress.stream_spans(stream, watermark="10 days"), tmp_path, ["run_id", "interval"])
+    for now in (None, "2024-05-09 00:00:00"):
+        got = progress.stalls_of(spans, now=now).collect()
+        assert sorted(map(str, got)) == sorted(map(str, stall_gaps(batch, now=now).collect()))
+        assert got
+
+
+def test_a_run_that_stops_is_reported_while_it_is_silent(spark, tmp_path):
+    spark.createDataFrame([("a", datetime(2024, 5, 1), True, "u")], ATTEMPTS).write.parquet(str(tmp_path / "log"))
+    alerts = progress.stream_idle_alerts(source(spark, tmp_path / "log", ATTEMPTS), threshold_seconds=3)
+    query = alerts.writeStream.format("memory").queryName("idle").outputMode("update").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and not spark.table("idle").count():
+            time.sleep(1)
+        row = spark.table("idle").first()
+    finally:
+        query.stop()
+    assert (row.run_id, row.last_update) == ("a", datetime(2024, 5, 1)) and row.idle_seconds >= 3
+
+
+def test_retry_queue_over_micro_batches(spark, tmp_path):
+    rows = log(seed=12, rows=500, egresses=[1, 1, 2, None], domains=4, blocking_share=0.9)
+    random.Random(1).shuffle(rows)
+    for i in range(6):
+        spark.createDataFrame(rows[i::6], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = stream_retry_queue(source(spark, tmp_path / "log", SCHEMA))
+    got, _ = upserted(stream, tmp_path, ["run_id", "egress", "queue_pos"])
+    columns = ["egress", "queue_pos", "attempt_id", "url"]
+    wanted = retry_queue(spark.createDataFrame(rows, SCHEMA)).select(*columns)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_an_unknown_outcome_is_a_failure(spark):
+    rows = [(None, datetime(2024, 5, 1), None, "x"), ("a", datetime(2024, 5, 1), True, "y")]
+    attempts = spark.createDataFrame(rows, ATTEMPTS)
+    assert [r.original_url for r in failure_results(attempts).collect()] == ["x"]
+    assert sorted((r.completed, r.failed) for r in progress_by_window(attempts).collect()) == [(0, 1), (1, 0)]
+
+
+def test_snapshots_of_runs_without_a_name(spark, page_table):
+    from pyspark.sql import functions as F
+
+    runs = detect(page_table(*[LOADER] * 7)).withColumn("original_url", F.concat("original_url", F.col("page_id").cast("string")))
+    runs = runs.withColumn("run_id", F.when(F.col("page_id") > 3, "r")).withColumn("fetched_at", F.when(F.col("page_id") != 1, F.col("fetched_at")))
+    got = progress_snapshots(runs, every=2, total_urls=100).collect()
+    assert sorted((r.run_id or "", r.completed, r.unique_hub_ids) for r in got) == [("", 2, 1), ("", 4, 1), ("r", 2, 1), ("r", 3, 1)]
