@@ -8,9 +8,10 @@ range of tokens only: its own and those that decided that it was not merged with
 neighbours. Two places with equal tokens in that range get equal symbols there. The hash
 of this range is the key that a high-level symbol is shared by.
 
-A window of ``window`` tokens holds a whole range of some symbol nearly always; a
-window that holds none has a key of its own, the hash of its tokens. So two documents
-that share a window share a key, and the keys are about a third of the tokens.
+A window of ``window`` tokens holds the whole range of some symbol nearly always. Its key is
+the smallest hash of the ranges it holds; a window that holds none has the hash of its
+own tokens. So equal windows have equal keys, neighbouring windows mostly share one, and
+a document has about a quarter as many keys as tokens.
 
 Keys that documents share reveal where windows may repeat; these windows alone are then
 compared by 96-bit hashes of their tokens, which verifies them. The first document with
@@ -115,23 +116,26 @@ def symbols(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return low, high
 
 
-def keys_of(names: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``key, first, last``: shared keys, and the first and last start of the windows that hold their range."""
+def keys_of(names: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
+    """Per window its key: the smallest of the hashes of the ranges it holds, else its own."""
     n = len(names)
     if n < window:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64)
     low, high = symbols(names, rounds)
     fits = (low >= 0) & (high <= n) & (high - low <= window)
     low, high = low[fits], high[fits]
     first, last = np.maximum(high - window, 0), np.minimum(low, n - window)
-    covered = np.zeros(n - window + 2, np.int64)
-    np.add.at(covered, first, 1)
-    np.add.at(covered, last + 1, -1)
-    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
     hashes = Ranges(names, _BASES[0])
-    start, end = np.concatenate((low, alone)), np.concatenate((high, alone + window))
-    return hashes.of(start, end), np.concatenate((first, alone)), np.concatenate((last, alone))
+    own, most = hashes.of(low, high), np.iinfo(np.uint64).max
+    keys = np.full(n - window + 1, most)
+    while len(first):
+        np.minimum.at(keys, first, own)
+        first = first + 1
+        inside = first <= last
+        first, last, own = first[inside], last[inside], own[inside]
+    alone = np.flatnonzero(keys == most)
+    keys[alone] = hashes.of(alone, alone + window)
+    return keys
 
 
 def windows_of(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +147,14 @@ def windows_of(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 # Spark jobs
 
+#: Rows that a task gathers before it hands them on.
+_ROWS = 200_000
+
+
+def _windows_frame(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b, doc = (np.concatenate(x) for x in zip(*parts))
+    return pd.DataFrame({"a": a, "b": b, "doc_id": doc})
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id, body``: texts compressed, so that the joins by id move less."""
@@ -162,12 +174,17 @@ def _shared_keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """``doc_id, keys``: the keys that a document shares with one of another id."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, keys, size = [], [], 0
         for batch in batches:
-            ids, keys = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                own = np.unique(keys_of(names_of(words_of(text)), window, rounds)[0])
-                keys.append(own.view(np.int64))
+                own = np.unique(keys_of(names_of(words_of(text)), window, rounds))
                 ids.append(np.full(len(own), doc, np.int64))
+                keys.append(own.view(np.int64))
+                size += len(own)
+                if size > _ROWS:
+                    yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
+                    ids, keys, size = [], [], 0
+        if keys:
             yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
 
     rows = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").mapInPandas(emit, "key long, doc_id long")
@@ -180,20 +197,21 @@ def _repeated(packed: DataFrame, shared: DataFrame, window: int, rounds: int) ->
     """``doc_id, gone``: the windows of a document that begin in one of a smaller id, too, as 96-bit hashes."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for batch in batches:
-            out = []
             for doc, body, keys in zip(batch["doc_id"], batch["body"], batch["keys"]):
                 names = names_of(_unpacked(body))
-                own, first, last = keys_of(names, window, rounds)
-                hit = np.isin(own.view(np.int64), np.asarray(keys, np.int64))
-                marks = np.zeros(max(0, len(names) - window + 1) + 1, np.int64)
-                np.add.at(marks, first[hit], 1)
-                np.add.at(marks, last[hit] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(marks)[:-1])
+                shared = np.isin(keys_of(names, window, rounds).view(np.int64), np.asarray(keys, np.int64))
+                starts = np.flatnonzero(shared)
                 one, two = windows_of(names, window)
-                pairs = np.unique(np.rec.fromarrays([one[starts], two[starts]], names="a,b"))
-                out.append(pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "doc_id": np.full(len(pairs), doc, np.int64)}))
-            yield pd.concat(out)
+                pairs = np.unique(np.rec.fromarrays([one[starts], two[starts]], names="a,b"))  # a document's window once
+                out.append((pairs["a"], pairs["b"], np.full(len(pairs), doc, np.int64)))
+                size += len(pairs)
+                if size > _ROWS:
+                    yield _windows_frame(out)
+                    out, size = [], 0
+        if out:
+            yield _windows_frame(out)
 
     rows = packed.join(shared, "doc_id").select("doc_id", "body", "keys").mapInPandas(emit, "a long, b int, doc_id long")
     least = F.min("doc_id").over(Window.partitionBy("a", "b"))

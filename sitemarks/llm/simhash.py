@@ -159,7 +159,9 @@ def _with_keys(fps: DataFrame) -> DataFrame:
                 key, fp = zip(*rows) if rows else ((), ())
                 yield pd.DataFrame({"key": np.array(key, np.int32), "fp": np.array(fp, np.int64), "side": np.array(list(rows.values()), np.int8)})
 
-    return fps.select("fp").mapInPandas(split, "key int, fp long, side byte")
+    # A fingerprint becomes about thirty rows, so few bytes are much work: no coalescing here.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.select("fp").repartition(parts, "fp").mapInPandas(split, "key int, fp long, side byte")
 
 
 def forest(own: np.ndarray, other: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
