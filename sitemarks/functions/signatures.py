@@ -14,7 +14,6 @@ from sitemarks.functions.regexes import folded, java_regex, may_match, text
 from sitemarks.schemas import EVIDENCE_DDL
 from sitemarks.sources.catalog import Catalog, Rule
 
-MATCH_CHARS = 300
 NO_TEXTS = "cast(array() AS array<string>)"
 NO_EVIDENCE = f"cast(array() AS array<{EVIDENCE_DDL}>)"
 
@@ -50,10 +49,11 @@ def _id(expr: str, regex: str, group: int) -> str:
     return f"try_cast(nullif(regexp_extract({expr}, {text(java_regex(regex))}, {group}), '') AS bigint)"
 
 
-def _evidence(rule: Rule, match: str, source: str, hub_id: str, confidence: str) -> str:
+def _evidence(catalog: Catalog, rule: Rule, match: str, source: str, hub_id: str, confidence: str) -> str:
+    kept = match if catalog.match_chars is None else f"substr({match}, 1, {int(catalog.match_chars)})"
     return (
         f"named_struct('category', {text(rule.category)}, 'pattern_id', {text(rule.pattern_id)}, "
-        f"'match', substr({match}, 1, {MATCH_CHARS}), 'source', {text(source)}, 'hub_id', {hub_id}, "
+        f"'match', {kept}, 'source', {text(source)}, 'hub_id', {hub_id}, "
         f"'confidence', {confidence}, 'context', cast(NULL AS string))"
     )
 
@@ -118,12 +118,12 @@ class HtmlRules:
             if rule.pattern in self._all:
                 close()
                 items = found if rule.match_all else f"slice({found}, 1, 1)"
-                one = _evidence(rule, "_m", "html", _NO_ID, confidence)
+                one = _evidence(self.catalog, rule, "_m", "html", _NO_ID, confidence)
                 runs.append(f"transform(CASE WHEN {condition} THEN {items} ELSE {NO_TEXTS} END, _m -> {one})")
             else:
                 # The group is read from the page, not from the match: a regex may look around itself.
                 hub_id = _id(html, self.catalog.patterns[rule.pattern], rule.id_group) if rule.id_group else _NO_ID
-                singles.append(f"CASE WHEN {condition} THEN {_evidence(rule, found, 'html', hub_id, confidence)} END")
+                singles.append(f"CASE WHEN {condition} THEN {_evidence(self.catalog, rule, found, 'html', hub_id, confidence)} END")
         close()
         return f"concat({', '.join(runs)})" if runs else NO_EVIDENCE
 
@@ -136,7 +136,7 @@ def url_evidence(catalog: Catalog, url: str, folded_url: str | None) -> str:
         if rule.id_fallback and catalog.id_fallback:
             hub_id = f"coalesce(nullif({hub_id}, 0), {_id(url, catalog.id_fallback, 1)}, {hub_id})"
         hit = is_match(catalog, rule.pattern, url, folded_url)
-        found.append(f"CASE WHEN {hit} THEN {_evidence(rule, url, 'url', hub_id, text(rule.confidence))} END")
+        found.append(f"CASE WHEN {hit} THEN {_evidence(catalog, rule, url, 'url', hub_id, text(rule.confidence))} END")
     return f"array_compact(array({', '.join(found)}))" if found else NO_EVIDENCE
 
 
@@ -164,7 +164,7 @@ def cookie_evidence_array(catalog: Catalog, cookies: str) -> str:
         if rule.upgrade_match:
             level = f"CASE WHEN lower(_o) = {text(rule.upgrade_match)} THEN {text(rule.upgrade_to)} ELSE {level} END"
         names = all_matches(catalog, rule.pattern, "_v", folded("_v"))
-        one = f"transform({names}, _o -> {_evidence(rule, '_o', 'header', _NO_ID, level)})"
+        one = f"transform({names}, _o -> {_evidence(catalog, rule, '_o', 'header', _NO_ID, level)})"
         parts.append(f"flatten(transform(filter({cookies}, _v -> _v IS NOT NULL), _v -> {one}))")
     return f"concat({', '.join(parts)})" if parts else NO_EVIDENCE
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sitemarks.functions.regexes import check_regex, required_literals
 
+MATCH_CHARS = 300
 MAX_PATTERNS = 2_000
 MAX_BYTES = 4 << 20
 SURFACES = ("html", "url", "cookie")
@@ -52,6 +53,8 @@ class Catalog:
     rules: dict[str, tuple[Rule, ...]]
     id_fallback: str | None = None
     version: str | None = None
+    #: Characters of a match that evidence keeps and is told apart by; None keeps and compares all of it.
+    match_chars: int | None = MATCH_CHARS
 
     def first_literals(self) -> list[str]:
         """The literals searched for first, over all patterns."""
@@ -82,7 +85,7 @@ def parse_catalog(text: str) -> Catalog:
             for name in (rule.pattern, rule.requires, rule.unless, rule.upgrade_if):
                 if name is not None and name not in patterns:
                     raise ValueError(f"rule names unknown pattern {name!r}")
-    return Catalog(patterns, rules, raw.get("id_fallback"), raw.get("version"))
+    return Catalog(patterns, rules, raw.get("id_fallback"), raw.get("version"), raw.get("match_chars", MATCH_CHARS))
 
 
 def load_catalog(spark: SparkSession | None = None, path: str | None = None) -> Catalog:

@@ -238,3 +238,17 @@ def test_builtin_catalogue_is_complete(catalog):
     raw = json.loads(resources.files("sitemarks.sources").joinpath("signatures.json").read_text())
     assert len(catalog.patterns) == 31 == len(raw["patterns"])
     assert [len(catalog.rules[s]) for s in ("html", "url", "cookie")] == [26, 18, 1]
+
+
+def test_long_matches_are_told_apart_where_the_cut_is_off(page_table):
+    from dataclasses import replace
+
+    from sitemarks import detect, load_catalog
+
+    urls = ["https://track.hubspot.com/__ptq.gif?x=" + "a" * 300 + end for end in "12"]
+    page = page_table({"html": "", "network": urls})
+    counts = []
+    for cut in (300, None):
+        found = detect(page, replace(load_catalog(), match_chars=cut)).first().evidence
+        counts.append(len([e for e in found if e.source == "url" and "__ptq" in e.match]))
+    assert counts[1] == 2 * counts[0] > 0
