@@ -5,12 +5,14 @@ XXH64 (seed 42), and a bit of the fingerprint is set if it is set in over half o
 hashes. Fingerprints link if at most ``max_bits`` (3 or fewer) bits differ.
 
 Candidates: the 64 bits are cut into three segments of 21 or 22 bits, each read as a
-word of the perfect binary Golay code (23 bits, 4096 codewords, radius 3). Three
-differing bits leave at least two segments with at most one differing bit each. Of
-such a segment, one side takes the index of its nearest codeword, the other the
-indices nearest to the segment and to all its one-bit changes (one index or six): they
-share an index. So for each two segments, the stored side gives (several, one) indices,
-the asking side (one, several), and equal pairs of indices are compared bit by bit.
+word of the perfect binary Golay code (23 bits, 4096 codewords, radius 3). Where a
+segment has at most one differing bit, one side takes the index of its nearest codeword
+and the other the indices nearest to the segment and to all its one-bit changes (one
+index or six): they share an index. By pigeonhole, three differing bits are either one
+in each segment, and then the indices of all three are a key; or some segment has none
+and another at most one, and then the one segment's bits and the other's index are a
+key, for each choice of the two. Keys have 33 bits or more, so few of them are shared by
+chance. Equal keys are compared bit by bit.
 
 Only distinct fingerprints are compared; copies meet in an aggregation before. Links
 inside one key are found block against block and leave as a forest, at most one row
@@ -44,7 +46,8 @@ BLOCK = 2048
 GENERATOR = 0b101011100011
 #: Bits of the three segments, from the lowest.
 SEGMENTS = (22, 21, 21)
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: A segment without a differing bit, and one with at most one.
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles whose bits are counted at a time, so that very long texts need no more memory.
@@ -130,13 +133,19 @@ def _segments(fps: np.ndarray) -> list[np.ndarray]:
 def keys_of(fps: np.ndarray, golay: Golay) -> tuple[list[list[int]], list[list[int]]]:
     """Per fingerprint the keys it is stored under and those it asks for."""
     cut = _segments(fps)
-    nearest = [golay.index(c) for c in cut]
     near = [[sorted(set(row)) for row in golay.indices(c, n).tolist()] for c, n in zip(cut, SEGMENTS)]
-    one = [x.tolist() for x in nearest]
+    one, raw = [golay.index(c).tolist() for c in cut], [c.tolist() for c in cut]
     stored, asked = [], []
     for row in range(len(fps)):
-        stored.append([k << 24 | x << 12 | one[b][row] for k, (a, b) in enumerate(PAIRS) for x in near[a][row]])
-        asked.append([k << 24 | one[a][row] << 12 | y for k, (a, b) in enumerate(PAIRS) for y in near[b][row]])
+        (a, b, c), (na, nb, nc) = (x[row] for x in one), (x[row] for x in near)
+        kept = [x << 24 | b << 12 | c for x in na]
+        sought = [a << 24 | y << 12 | z for y in nb for z in nc]
+        for k, (same, other) in enumerate(PAIRS, 1):
+            head = k << 48 | raw[same][row] << 12
+            kept.append(head | one[other][row])
+            sought += [head | z for z in near[other][row]]
+        stored.append(kept)
+        asked.append(sought)
     return stored, asked
 
 
@@ -157,11 +166,11 @@ def _with_keys(fps: DataFrame) -> DataFrame:
                     for k in a:
                         rows[k, fp] = rows.get((k, fp), 0) | 2
                 key, fp = zip(*rows) if rows else ((), ())
-                yield pd.DataFrame({"key": np.array(key, np.int32), "fp": np.array(fp, np.int64), "side": np.array(list(rows.values()), np.int8)})
+                yield pd.DataFrame({"key": np.array(key, np.int64), "fp": np.array(fp, np.int64), "side": np.array(list(rows.values()), np.int8)})
 
-    # A fingerprint becomes about thirty rows, so few bytes are much work: no coalescing here.
+    # A fingerprint becomes about seventy rows, so few bytes are much work: no coalescing here.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return fps.select("fp").repartition(parts, "fp").mapInPandas(split, "key int, fp long, side byte")
+    return fps.select("fp").repartition(parts, "fp").mapInPandas(split, "key long, fp long, side byte")
 
 
 def forest(own: np.ndarray, other: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +234,7 @@ def _links(fps: DataFrame, max_bits: int, block: int) -> DataFrame:
 def classes(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``fp, root`` of each distinct value of ``fp``: the fingerprints reachable from each other."""
     if not 0 <= max_bits <= 3:
-        raise ValueError("the three segments answer for at most three differing bits")
+        raise ValueError("the segments answer for at most three differing bits")
     nodes = fps.select("fp").filter("fp IS NOT NULL").distinct()
     linked = components(_links(nodes, max_bits, block))
     return nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -258,7 +267,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     found = written(near_duplicates(docs, "doc_id", "text", shingle, max_bits), "components")
     ids = found.filter("doc_id = component_id").select("doc_id", "fp")
     kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
-    twice = written(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "components")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    twice = written(repeated.select("doc_id"), "components")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = kept.join(twice, "doc_id", "left_semi").select(
         F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text"), F.struct(*columns).alias("_llm_row")
