@@ -4,13 +4,13 @@ Patterns give the base spans: assigned secrets, access keys and long hexadecimal
 The method adds spans: tokens of letters and digits that reach ``least`` characters and
 whose characters follow each other as in random strings rather than as in ordinary
 identifiers. Both models are first-order Markov chains over 64 character classes and two
-ends, with add-one smoothing, trained from labelled samples; a token's score is the
+ends, backed off to the shares of single classes, trained from labelled samples; a token's score is the
 log-likelihood ratio per step.
 
 The query labels its own samples from the whole corpus: what the base patterns find is
-random, tokens of the same shape and of lower-case or capitalised words are ordinary. Counts are sums over
-all rows, so they grow with the input; what comes to the driver is one number per pair
-of classes.
+random; tokens of letters alone, in one case or with a capital in front, are ordinary.
+Counts are sums over all rows, so they grow with the input; what comes to the driver is
+one number per pair of classes.
 
 Spans count code points, end exclusive. A token is no span of the method where it
 overlaps a base span; where it only touches one, it is. Spans are sorted by start, then
@@ -45,11 +45,12 @@ LEAST = 16
 TOKEN = r"[A-Za-z0-9+/_=-]"
 #: Score per step from which a token is a secret.
 THRESHOLD = 0.5
+#: Weight of the single characters' shares in each step: what a chain never met after a class, it judges by itself.
+BACK_OFF = 10
 
 #: Classes: 26 small letters, 26 capitals, 10 digits, the sign characters together, and anything else; one more for both ends.
 CLASSES = 64
 END = 64
-_SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _class(code: str) -> str:
@@ -140,10 +141,12 @@ def train(samples: DataFrame, token: str = "token", label: str = "random") -> Mo
         own = {row["step"]: row["count"] for row in counts if row["random"] == kind}
         if not own:
             return None
+        single = [sum(own.get(a * n + b, 0) for a in range(n)) + 1 for b in range(n)]
         chains[kind] = []
         for a in range(n):
-            total = sum(own.get(a * n + b, 0) for b in range(n)) + n
-            chains[kind] += [math.log((own.get(a * n + b, 0) + 1) / total) for b in range(n)]
+            total = sum(own.get(a * n + b, 0) for b in range(n)) + BACK_OFF
+            share = BACK_OFF / sum(single)
+            chains[kind] += [math.log((own.get(a * n + b, 0) + share * single[b]) / total) for b in range(n)]
     return Model([x - y for x, y in zip(chains[True], chains[False])])
 
 
