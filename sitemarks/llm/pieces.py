@@ -27,7 +27,6 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,13 +37,13 @@ from sitemarks.session import written
 
 BLANK = "▁"
 #: Rows of the broadcast code table, at most.
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 16
 #: Words in the code table are no longer than this; longer ones are encoded in their task.
 LONGEST_WORD = 64
 #: Pieces of a model, at most; the piece table is broadcast.
 MOST_PIECES = 1 << 20
 #: Words outside the table that a Python worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 
 _WORD = r"\n| +[^ \n]*|[^ \n]+"
 _WORDS = re.compile(_WORD)
@@ -249,36 +248,66 @@ def code_table(docs: DataFrame, model: Model, most: int = VOCABULARY, text: str
 
 def encode(docs: DataFrame, model: Model, codes: DataFrame | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of a text, as an array of ints."""
-    codes = code_table(docs, model, text=text) if codes is None else codes
-    context = docs.sparkSession.sparkContext
-    known = {row["word"]: tuple(row["ids"]) for row in codes.toLocalIterator()}
-    table = context.broadcast((known, model))
+    table = _broadcast(docs, model, codes, text)
 
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
-        known, model = table.value
-        fold, other, rows = merge if model.kind == "bpe" else viterbi, _REMEMBERED, []
-        if len(other) > REMEMBERED:
-            other.clear()
-        for t in texts:
-            if t is None:
-                rows.append(None)
-                continue
-            parts = []
-            for word in _WORDS.findall(" " + t) if t else ():
-                ids = known.get(word) or other.get((id(model), word))
-                if ids is None:
-                    ids = tuple(fold(model, word))
-                    if len(word) <= LONGEST_WORD:
-                        other[id(model), word] = ids
-                parts.append(ids)
-            rows.append(np.fromiter(chain.from_iterable(parts), np.int32))
-        return pd.Series(rows, dtype=object)
+        own = table.value
+        return pd.Series([own.encode(t) for t in texts], dtype=object)
+
+    return docs.withColumn(out, of(F.col(text)))
+
+
+def round_trip(docs: DataFrame, model: Model, codes: DataFrame | None = None, text: str = "text", out: str = "tokens") -> DataFrame:
+    """Add ``ids`` and whether they decode to the text, as one struct: both in one visit of a text."""
+    table = _broadcast(docs, model, codes, text)
+
+    @F.pandas_udf("struct<ids:array<int>,lossless:boolean>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        own = table.value
+        ids = [own.encode(t) for t in texts]
+        same = [x is None or decode_ids(own.model, x.tolist()) == t for x, t in zip(ids, texts)]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "lossless": pd.Series(same, dtype=bool)})
 
     return docs.withColumn(out, of(F.col(text)))
 
 
-_REMEMBERED: dict[tuple[int, str], tuple[int, ...]] = {}
+class Encoder:
+    """What a task needs to encode texts: the code table, the model, and words it has met, a bounded number."""
+
+    def __init__(self, known: dict[str, bytes], model: Model) -> None:
+        self.known, self.model, self.met = known, model, {}
+
+    def __getstate__(self):
+        return self.known, self.model
+
+    def __setstate__(self, state) -> None:
+        self.__init__(*state)
+
+    def word(self, word: str) -> bytes:
+        ids = self.met.get(word)
+        if ids is None:
+            fold = merge if self.model.kind == "bpe" else viterbi
+            ids = np.array(fold(self.model, word), np.int32).tobytes()
+            if len(self.met) >= REMEMBERED:
+                self.met.clear()
+            if len(word) <= LONGEST_WORD:
+                self.met[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        known, other = self.known, self.word
+        words = _WORDS.findall(" " + text) if text else ()
+        return np.frombuffer(b"".join([known.get(w) or other(w) for w in words]), np.int32)
+
+
+def _broadcast(docs: DataFrame, model: Model, codes: DataFrame | None, text: str):
+    """The encoder with a code table of at most ``VOCABULARY`` words, unless one is given."""
+    codes = code_table(docs, model, text=text) if codes is None else codes
+    known = {row["word"]: np.array(row["ids"], np.int32).tobytes() for row in codes.toLocalIterator()}
+    return docs.sparkSession.sparkContext.broadcast(Encoder(known, model))
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:

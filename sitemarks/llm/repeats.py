@@ -14,7 +14,7 @@ own tokens. So equal windows have equal keys, neighbouring windows mostly share
 a document has about a quarter as many keys as tokens.
 
 Keys that documents share reveal where windows may repeat; these windows alone are then
-compared by 96-bit hashes of their tokens, which verifies them. The first document with
+compared by 80-bit hashes of their tokens, which verifies them. The first document with
 a window, by id, keeps it. The hashes to be removed come back to the document by its id.
 
 Defined results: words are used unchanged; null and empty texts have none; documents
@@ -26,19 +26,19 @@ results; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemarks.session import written
 
 WINDOW = 13
-ROUNDS = 3
+ROUNDS = 2
 #: Odd multipliers: of the token's place in a range's hash, and of the names' mixing.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -63,7 +63,7 @@ _NAMES = _Names()
 
 
 def names_of(words: list[bytes]) -> np.ndarray:
-    return np.array([_NAMES[w] for w in words], np.uint64)
+    return np.fromiter(map(_NAMES.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,53 +139,78 @@ def keys_of(names: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np
 
 
 def windows_of(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The 96-bit hashes of all windows: 64 bits and 32 bits."""
+    """The 80-bit hashes of all windows: 64 bits and 16 bits."""
     starts = np.arange(max(0, len(names) - window + 1))
     one, two = (Ranges(names, b).of(starts, starts + window) for b in _BASES)
-    return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return one.view(np.int64), (two >> np.uint64(48)).astype(np.int16, casting="unsafe")
+
+
+class Texts:
+    """Several texts as one sequence, each followed by a separator that is nowhere else.
+
+    A range that holds a separator is in no window of a text, so what is found in the
+    sequence is what is found in each text.
+    """
+
+    def __init__(self, texts: list[list[bytes]], window: int) -> None:
+        parts = []
+        for k, words in enumerate(texts):
+            parts += [names_of(words), _mix(np.array([k + 1], np.uint64) * _PAIR)]
+        self.names = np.concatenate(parts)
+        sizes = np.array([len(words) + 1 for words in texts])
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        last = np.cumsum(sizes) - 1  # the separators
+        starts = np.arange(max(0, len(self.names) - window + 1))
+        self.starts = starts[starts + window - 1 < last[self.text[starts]]]
+
+    def keys(self, window: int, rounds: int) -> np.ndarray:
+        """The key of each window in ``starts``."""
+        return keys_of(self.names, window, rounds)[self.starts].view(np.int64)
 
 
 # Spark jobs
 
-#: Rows that a task gathers before it hands them on.
-_ROWS = 200_000
+#: Words that a task works on at a time; a longer text is taken alone.
+_WORDS = 100_000
 
 
-def _windows_frame(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a, b, doc = (np.concatenate(x) for x in zip(*parts))
-    return pd.DataFrame({"a": a, "b": b, "doc_id": doc})
+def _chunks(batches: Iterator[pd.DataFrame], column: str, read) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
+    """Rows and their words, about ``_WORDS`` words at a time."""
+    for batch in batches:
+        at, size, texts = 0, 0, []
+        for k, value in enumerate(batch[column], 1):
+            texts.append(read(value))
+            size += len(texts[-1])
+            if size >= _WORDS or k == len(batch):
+                yield batch.iloc[at:k], texts
+                at, size, texts = k, 0, []
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id, body``: texts compressed, so that the joins by id move less."""
 
     @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
+    def packed(texts: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3)
+        return pd.Series([None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
-    return docs.select("doc_id", pack("text").alias("body"))
+    return docs.select("doc_id", packed("text").alias("body"))
 
 
 def _unpacked(body: bytes | None) -> list[bytes]:
-    return [] if body is None else zlib.decompress(body).split()
+    return [] if body is None else zstandard.ZstdDecompressor().decompress(body).split()
 
 
 def _shared_keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """``doc_id, keys``: the keys that a document shares with one of another id."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, keys, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                own = np.unique(keys_of(names_of(words_of(text)), window, rounds))
-                ids.append(np.full(len(own), doc, np.int64))
-                keys.append(own.view(np.int64))
-                size += len(own)
-                if size > _ROWS:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
-                    ids, keys, size = [], [], 0
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
+        for rows, words in _chunks(batches, "text", words_of):
+            texts = Texts(words, window)
+            keys, text = texts.keys(window, rounds), texts.text[texts.starts]
+            # Neighbouring windows mostly share their key.
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))[: len(keys)]
+            yield pd.DataFrame({"key": keys[new], "doc_id": rows["doc_id"].to_numpy(np.int64)[text[new]]})
 
     rows = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").mapInPandas(emit, "key long, doc_id long")
     key = Window.partitionBy("key")
@@ -194,29 +219,23 @@ def _shared_keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
 
 
 def _repeated(packed: DataFrame, shared: DataFrame, window: int, rounds: int) -> DataFrame:
-    """``doc_id, gone``: the windows of a document that begin in one of a smaller id, too, as 96-bit hashes."""
+    """``doc_id, gone``: the windows of a document that begin in one of a smaller id, too, by the first 64 bits of their hashes."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        for batch in batches:
-            for doc, body, keys in zip(batch["doc_id"], batch["body"], batch["keys"]):
-                names = names_of(_unpacked(body))
-                shared = np.isin(keys_of(names, window, rounds).view(np.int64), np.asarray(keys, np.int64))
-                starts = np.flatnonzero(shared)
-                one, two = windows_of(names, window)
-                pairs = np.unique(np.rec.fromarrays([one[starts], two[starts]], names="a,b"))  # a document's window once
-                out.append((pairs["a"], pairs["b"], np.full(len(pairs), doc, np.int64)))
-                size += len(pairs)
-                if size > _ROWS:
-                    yield _windows_frame(out)
-                    out, size = [], 0
-        if out:
-            yield _windows_frame(out)
-
-    rows = packed.join(shared, "doc_id").select("doc_id", "body", "keys").mapInPandas(emit, "a long, b int, doc_id long")
+        for rows, words in _chunks(batches, "body", _unpacked):
+            texts = Texts(words, window)
+            # A key that two documents share is in the list of each that has it.
+            known = np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]])
+            starts = texts.starts[np.isin(texts.keys(window, rounds), known)]
+            one, two = windows_of(texts.names, window)
+            frame = pd.DataFrame({"a": one[starts], "b": two[starts], "doc_id": rows["doc_id"].to_numpy(np.int64)[texts.text[starts]]})
+            yield frame.drop_duplicates()  # a document's window once
+
+    rows = packed.join(shared, "doc_id").select("doc_id", "body", "keys").mapInPandas(emit, "a long, b short, doc_id long")
     least = F.min("doc_id").over(Window.partitionBy("a", "b"))
-    later = rows.withColumn("least", least).filter("doc_id > least").select("doc_id", F.struct("a", "b").alias("w"))
-    return later.groupBy("doc_id").agg(F.collect_list("w.a").alias("gone"), F.collect_list("w.b").alias("gone_low"))
+    later = rows.withColumn("least", least).filter("doc_id > least").select("doc_id", "a")
+    # Among the windows of one document, the first 64 bits are enough to find them again.
+    return later.groupBy("doc_id").agg(F.collect_list("a").alias("gone"))
 
 
 _OUT = "n_words long, n_removed long, kept_sha256 string, kept string"
@@ -235,27 +254,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, body, a, b in zip(batch["doc_id"], batch["body"], batch["gone"], batch["gone_low"]):
+            for doc, body, gone in zip(batch["doc_id"], batch["body"], batch["gone"]):
                 words, lost = _unpacked(body), None
-                if a is not None and len(words) >= window:
-                    lost = _lost(words, a, b, window)
+                if gone is not None and len(words) >= window:
+                    lost = _lost(words, np.asarray(gone, np.int64), window)
                 kept = words if lost is None else [w for w, x in zip(words, lost) if not x]
                 text = b" ".join(kept)
                 rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if texts else None))
             frame = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
             yield frame.astype({"doc_id": "Int64"})
 
-    joined = packed.join(gone, "doc_id", "left").select("doc_id", "body", "gone", "gone_low")
+    joined = packed.join(gone, "doc_id", "left").select("doc_id", "body", "gone")
     return joined.mapInPandas(finish, f"doc_id long, {_OUT}")
 
 
-def _lost(words: list[bytes], a, b, window: int) -> np.ndarray:
+def _lost(words: list[bytes], gone: np.ndarray, window: int) -> np.ndarray:
     """Which words are covered by a window to be removed."""
-    one, two = windows_of(names_of(words), window)
-    wanted = pd.MultiIndex.from_arrays([np.asarray(a, np.int64), np.asarray(b, np.int32)])
-    starts = np.flatnonzero(np.isin(one, np.asarray(a, np.int64)))
-    own = pd.MultiIndex.from_arrays([one[starts], two[starts]])
-    starts = starts[own.isin(wanted)]
+    starts = np.flatnonzero(np.isin(windows_of(names_of(words), window)[0], gone))
     marks = np.zeros(len(words) + 1, np.int64)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + window, -1)

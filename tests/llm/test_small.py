@@ -38,6 +38,7 @@ OPERATORS = {
     "one of each": lambda d, s: simhash.keep_one(d),
     "hits": lambda d, s: contamination.find_hits(d, _benchmark(s)),
     "decontaminated": lambda d, s: contamination.decontaminate(d, _benchmark(s)),
+    "round trip": lambda d, s: pieces.round_trip(d, _model()),
     "tokens": lambda d, s: pieces.decode(pieces.encode(d, _model()), _model()),
 }
 FILTERS = {"quality filter", "one of each", "decontaminated"}
