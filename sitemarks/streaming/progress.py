@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitemarks.operators.runs import STALL_SECONDS, completed_and_failed, gaps_between
 
@@ -70,7 +71,7 @@ def upsert_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def latest(spark: SparkSession, schema, path: str, keys: list[str]) -> DataFrame:
     """The last state of each key, by batch. Keys may be null."""
-    updates = spark.read.schema(schema.add(BATCH, "bigint") if BATCH not in schema.names else schema).parquet(path)
+    updates = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
     last = Window.partitionBy(*keys).orderBy(F.desc(BATCH))
     return updates.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", BATCH)
 
@@ -106,7 +107,7 @@ class IdleWatch(StatefulProcessor):
                 self.handle.deleteTimer(timer)
         self.last.update((newest.to_pydatetime(), now))
         self.handle.registerTimer(now + int(self.threshold * 1000))
-        yield pd.DataFrame({"run_id": [], "last_update": [], "idle_seconds": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, seen = self.last.get()
