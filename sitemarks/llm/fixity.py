@@ -19,7 +19,7 @@ record is missing. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemarks.llm.common import text_of
@@ -30,11 +30,8 @@ RANGE_BYTES = 1 << 16
 FANOUT = 16
 
 
-def warc_records(pages: DataFrame, pages_per_file: int = 5000) -> DataFrame:
-    """Pages as WARC/1.0 response records: ``file, offset, page_id, record``, in page order per file.
-
-    Pages with a null id are left out: a record needs a name.
-    """
+def warc_rows(pages: DataFrame, pages_per_file: int = 5000) -> DataFrame:
+    """Pages as WARC/1.0 resource records: ``file, page_id, record``. Pages with a null id are left out: a record needs a name."""
     body = F.encode(text_of("html"), "UTF-8")
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
@@ -43,30 +40,43 @@ def warc_records(pages: DataFrame, pages_per_file: int = 5000) -> DataFrame:
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     record = F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
-    rows = pages.filter("page_id IS NOT NULL").select(
+    return pages.filter("page_id IS NOT NULL").select(
         F.concat(F.lit("pages-"), F.floor(F.col("page_id") / pages_per_file).cast("string"), F.lit(".warc")).alias("file"),
         "page_id", record.alias("record"),
     )
-    # Offsets come from lengths alone; records are joined to them, so that the ordered pass is narrow.
-    sizes = rows.select("file", "page_id", F.length("record").cast("long").alias("size"))
-    tie = F.row_number().over(_copies())
-    sizes = sizes.withColumn("copy", tie)
-    ends = with_running_totals(sizes, ["file"], ["page_id", "copy"], {"until": F.col("size")})
-    offsets = ends.select("file", "page_id", "copy", (F.col("until") - F.col("size")).alias("offset"))
-    numbered = rows.withColumn("copy", F.row_number().over(_copies(F.length("record"))))
-    return numbered.join(offsets, ["file", "page_id", "copy"]).select("file", "offset", "page_id", "record")
 
 
-def _copies(size: Column | str = "size"):
-    from pyspark.sql import Window
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """Add ``offset`` to ``file, page_id, size`` and more: where a record begins, with pages in order per file.
+
+    Rows should be narrow (digests, not records). Repeated ids lie side by side by size.
+    """
+    copies = Window.partitionBy("file", "page_id").orderBy("size")
+    numbered = rows.withColumn("copy", F.row_number().over(copies))
+    ends = with_running_totals(numbered, ["file"], ["page_id", "copy"], {"until": F.col("size")})
+    return ends.withColumn("offset", F.col("until") - F.col("size")).drop("until")
+
+
+def warc_records(pages: DataFrame, pages_per_file: int = 5000) -> DataFrame:
+    """``file, offset, page_id, record``: the records with their bytes and places."""
+    rows = warc_rows(pages, pages_per_file)
+    size = F.length("record").cast("long")
+    places = with_offsets(rows.select("file", "page_id", size.alias("size")))
+    copies = Window.partitionBy("file", "page_id").orderBy(F.length("record"))
+    numbered = rows.withColumn("copy", F.row_number().over(copies))
+    return numbered.join(places, ["file", "page_id", "copy"]).select("file", "offset", "page_id", "record")
+
 
-    return Window.partitionBy("file", "page_id").orderBy(size)
+def digest(record: Column | str = "record") -> Column:
+    """The hash of a record's bytes; a missing record has one of its own."""
+    return F.coalesce(F.sha2(record, 256), F.lit("null"))
 
 
 def _leaves(records: DataFrame) -> DataFrame:
-    """``file, offset, hash`` of each record."""
+    """``file, offset, hash`` of each record; a replica may bring digests as ``hash`` in place of records."""
     own = records.filter("file IS NOT NULL AND offset IS NOT NULL")
-    return own.select("file", "offset", F.coalesce(F.sha2("record", 256), F.lit("null")).alias("hash"))
+    found = digest() if "record" in records.columns else F.col("hash")
+    return own.select("file", "offset", found.alias("hash"))
 
 
 def _joined(children: DataFrame, node: Column) -> DataFrame:
@@ -130,15 +140,21 @@ def _both(one: DataFrame, two: DataFrame) -> DataFrame:
     return left.join(two.select("file", "place", F.col("hash").alias("two")), ["file", "place"], "full")
 
 
+def faulty(record: str = "record", page_id: str = "page_id", every: int = 20) -> tuple[Column, Column]:
+    """A record with a known fault by the hash of its page's id, and whether it is lost altogether.
+
+    Of ``3 * every`` records about one has a flipped byte, one is cut, and one is lost.
+    """
+    fault = F.pmod(F.xxhash64(page_id), F.lit(3 * every))
+    half = f"cast(floor(length({record}) / 2) as int)"
+    letter = F.hex(F.expr(f"substring({record}, {half} + 1, 1)"))
+    head = F.expr(f"substring({record}, 1, {half})")
+    flipped = F.concat(head, F.unhex(F.when(letter == "58", "59").otherwise("58")), F.expr(f"substring({record}, {half} + 2)"))
+    long = F.length(record) > 1
+    return F.when((fault == 0) & long, flipped).when((fault == 1) & long, head).otherwise(F.col(record)), fault == 2
+
+
 def damaged(records: DataFrame, every: int = 20) -> DataFrame:
-    """A replica with known faults, by the hash of a record's name: a flipped byte, a cut end, or no record at all."""
-    fault = F.pmod(F.xxhash64("page_id"), F.lit(3 * every))
-    letter = F.substring(F.hex(F.expr("substring(record, cast(floor(length(record) / 2) as int) + 1, 1)")), 1, 2)
-    flipped = F.concat(
-        F.expr("substring(record, 1, cast(floor(length(record) / 2) as int))"),
-        F.unhex(F.when(letter == "58", "59").otherwise("58")),
-        F.expr("substring(record, cast(floor(length(record) / 2) as int) + 2)"),
-    )
-    cut = F.expr("substring(record, 1, cast(floor(length(record) / 2) as int))")
-    body = F.when((fault == 0) & (F.length("record") > 1), flipped).when((fault == 1) & (F.length("record") > 1), cut).otherwise(F.col("record"))
-    return records.withColumn("record", body).filter(fault != 2)
+    """A replica of records with known faults."""
+    record, lost = faulty(every=every)
+    return records.filter(~lost).withColumn("record", record)

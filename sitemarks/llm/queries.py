@@ -23,9 +23,17 @@ def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the page archive that a replica with faults does not hold as they are."""
-    records = written(fixity.warc_records(table(spark, sf_dir, "pages")), "warc-records")
-    _, differences = fixity.audit(records, fixity.damaged(records))
-    return differences
+    rows = fixity.warc_rows(table(spark, sf_dir, "pages"))
+    record, lost = fixity.faulty()
+    # Records are hashed where they are read; what is ordered and joined are digests.
+    digests = rows.select(
+        "file", "page_id", F.length("record").cast("long").alias("size"),
+        fixity.digest().alias("one"), fixity.digest(record).alias("two"), lost.alias("lost"),
+    )
+    placed = written(fixity.with_offsets(digests), "warc-digests")
+    one = placed.select("file", "offset", F.col("one").alias("hash"))
+    two = placed.filter("NOT lost").select("file", "offset", F.col("two").alias("hash"))
+    return fixity.audit(one, two)[1]
 
 
 def op3_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
