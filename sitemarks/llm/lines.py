@@ -1,9 +1,8 @@
 """Fuzzy line dedup by MinHash (native).
 
 Lines (cut at ``\\n``) are taken without the white space at their ends; equal ones are one
-node. A node's shingles are the windows of ``shingle`` characters
-that begin where a word begins (or what is left of the line there), so a line has one
-shingle per word. Nodes link where the Jaccard similarity of their shingle sets is at
+node. A node's shingles are all its windows of ``shingle`` characters, the whole line if
+it is shorter. Nodes link where the Jaccard similarity of their shingle sets is at
 least ``similarity``. Of each component one line stays, the first by (doc_id, line
 number); the others go. Lines without a word always stay.
 
@@ -37,6 +36,8 @@ SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
 STAR_ROUNDS = 3
+#: Characters of a line whose windows are cut at a time.
+PIECE = 64
 #: Arcs of the circle of hashes, 2 ** ARC_BITS; no fewer than ``bands * rows``.
 ARC_BITS = 6
 
@@ -56,9 +57,12 @@ def _node() -> Column:
 
 
 def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
-    """Sorted hashes of a line's shingles, possibly with repeats."""
-    pattern = rf"(?=(\\S.{{0,{shingle - 1}}}))\\S+"
-    return F.expr(f"sort_array(transform(regexp_extract_all({line}, '{pattern}', 1), s -> xxhash64(s)))")
+    """Sorted hashes of all windows of a line, possibly with repeats."""
+    # Pieces with the windows that begin in them: in text that is not ASCII, substring counts from the start.
+    pattern = f"(?s)(?=(.{{{shingle},{PIECE + shingle - 1}}})).{{1,{PIECE}}}"
+    windows = f"transform(sequence(1, length(p) - {shingle - 1}), i -> xxhash64(substring(p, i, {shingle})))"
+    every = f"flatten(transform(regexp_extract_all({line}, '{pattern}', 1), p -> {windows}))"
+    return F.expr(f"sort_array(if(length({line}) < {shingle}, array(xxhash64({line})), {every}))")
 
 
 def band_keys(hashes: str, bands: int = BANDS, rows: int = ROWS) -> Column:
