@@ -13,9 +13,13 @@ a band key. With 10 bands of 4, lines at similarity 0.8 share a key with probabi
 0.995, at 0.9 with more than 0.9999 (many shingles; short lines somewhat less).
 
 Inside a key every member is compared with the key's centre, by exact Jaccard of whole
-sets, so candidates grow with the members and not with their square. Members that do
-not link to a centre go on, with a new centre, for ``star_rounds``; what is left after
-that is compared pair by pair. Keys choose their centres by different hashes.
+sets. Members that do not link to a centre go on, with a new centre, for ``star_rounds``;
+what is left after that is compared pair by pair, in blocks. Keys choose their centres
+by different hashes. Those that linked to a centre are one component, so they need no
+comparison with each other. They are compared with the members that went on, but for
+pairs that cannot matter: both in one component already, or at distances (1 - Jaccard,
+a metric) from the centre that differ by more than a link's. So two members of a key
+that are similar are always in one component.
 
 Defined results: null and empty texts have no lines with a word and stay as they are;
 rows with equal doc_id and text count as one document, and the same lines go from each;
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemarks.llm.common import SPACES, text_of
+from sitemarks.llm.common import SPACES, bind, text_of
 from sitemarks.llm.components import components
 from sitemarks.session import written
 
@@ -38,6 +42,8 @@ ROWS = 4
 STAR_ROUNDS = 3
 #: Characters of a line whose windows are cut at a time.
 PIECE = 64
+#: Members of a key that are compared as one block with the others.
+BLOCK = 2048
 #: Arcs of the circle of hashes, 2 ** ARC_BITS; no fewer than ``bands * rows``.
 ARC_BITS = 6
 
@@ -99,18 +105,48 @@ def _candidates(banded: DataFrame) -> DataFrame:
     return banded.join(least, "key").filter("node <> centre").select("key", "node", "centre")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the distinct ``a, b`` whose shingle sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``a, b, jaccard``: those of the distinct ``a, b`` whose shingle sets have at least this similarity."""
     # Lines travel, not their sets, which are larger and do not compress.
     left = texts.select(F.col("node").alias("a"), F.col("line").alias("u"))
     right = texts.select(F.col("node").alias("b"), F.col("line").alias("v"))
-    both = F.size(F.array_intersect("x", "y"))
     own = lambda line: F.array_distinct(shingle_hashes(line, shingle))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", own("u").alias("x"), own("v").alias("y"))
-        .filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-    )
+    shared = lambda s: F.size(F.array_intersect(s["x"], s["y"]))
+    jaccard = bind(
+        F.struct(own("u").alias("x"), own("v").alias("y")),
+        lambda s: bind(shared(s), lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n)),
+    )
+    # The generator keeps the filter above it, which would compute the sets again.
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(F.array(jaccard)).alias("jaccard"))
+    return both.filter(F.col("jaccard") >= F.lit(least))
+
+
+def _unordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The equi-join of ``left`` with ``node`` and ``right``, block of ``left`` by block, so that no key is one task's."""
+    blocks = left.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(blocks, on).withColumn("block", F.pmod(F.xxhash64("node", *on), F.col("blocks")).cast("int")).drop("blocks")
+    every = right.join(blocks, on).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.join(every, [*on, "block"])
+
+
+def _across(stars: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of a key, one linked to its centre and one not, that may link and are in two components so far."""
+    linked = F.col("jaccard") >= F.lit(similarity)
+    roots = components(links)
+    beyond = (
+        stars.filter(~linked)
+        .join(roots.select("node", F.col("root").alias("own")), "node", "left")
+        .join(roots.select(F.col("node").alias("centre"), F.col("root").alias("its")), "centre", "left")
+        .filter(~F.coalesce(F.col("own") == F.col("its"), F.lit(False)))
+        .select("key", "centre", F.col("node").alias("other"), F.col("jaccard").alias("far"))
+    )
+    # A link is no longer than 1 - similarity, so the distances to the centre differ by no more; rounding has room.
+    may = F.col("jaccard") - F.col("far") <= F.lit(1 - similarity + 1e-9)
+    return _met(stars.filter(linked), beyond, ["key", "centre"]).filter(may).select(*_unordered("node", "other")).distinct()
 
 
 def line_links(
@@ -121,7 +157,7 @@ def line_links(
     rows: int = ROWS,
     star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
-    """``a, b``: verified links between the hashes of distinct lines."""
+    """``a, b``: verified links between the hashes of distinct lines, enough to connect what shares a key and is similar."""
     signed = (
         _lines(docs)
         .select(_node().alias("node"), shingle_hashes("line", shingle).alias("hashes"))
@@ -137,27 +173,41 @@ def line_links(
     lines = _lines(docs).select(_node().alias("node"), "line").join(nodes, "node", "left_semi")
     texts = written(lines.groupBy("node").agg(F.first("line").alias("line")), "line-texts")
 
-    found = []
-    for k in range(star_rounds):
+    # What is farther from a centre than two links cannot link to what is linked to the centre.
+    least = max(0.0, 2 * similarity - 1 - 1e-9)
+    linked = F.col("jaccard") >= F.lit(similarity)
+    found, judged = [], []
+    for _ in range(star_rounds):
         stars = written(_candidates(banded), "line-stars")
-        pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = written(_linked(pairs, texts, shingle, similarity), "line-links")
-        found.append(links)
-        near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = stars.join(near, (stars["node"] == near["a"]) & (stars["centre"] == near["b"]), "left_anti")
-        banded = written(rest.select("key", "node"), "line-bands")
+        pairs = stars.select(*_unordered("node", "centre")).distinct()
+        near = written(_compared(pairs, texts, shingle, least), "line-near")
+        found.append(near.filter(linked).select("a", "b"))
+        ends = near.select(F.col("a").alias("node"), F.col("b").alias("centre"), "jaccard").unionByName(
+            near.select(F.col("b").alias("node"), F.col("a").alias("centre"), "jaccard")
+        )
+        stars = written(stars.join(ends, ["node", "centre"], "left"), "line-stars")
+        judged.append(stars.filter("jaccard IS NOT NULL"))
+        banded = written(stars.filter(~F.coalesce(linked, F.lit(False))).select("key", "node"), "line-bands")
         if banded.isEmpty():
             break
-        if not k:  # few lines are left, so their texts are set apart once
-            texts = written(texts.join(banded.select("node").distinct(), "node", "left_semi"), "line-texts")
     else:
-        other = banded.select("key", F.col("node").alias("b"))
-        pairs = banded.select("key", F.col("node").alias("a")).join(other, "key").filter("a < b")
-        found.append(_linked(pairs.select("a", "b").distinct(), texts, shingle, similarity))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        pairs = _met(banded, banded.withColumnRenamed("node", "other"), ["key"]).filter("node < other")
+        pairs = pairs.select(*_unordered("node", "other")).distinct()
+        found.append(written(_compared(pairs, texts, shingle, similarity).select("a", "b"), "line-links"))
+    links = _union(found).distinct()
+    if not judged:
+        return links
+    across = written(_across(_union(judged), links, similarity), "line-pairs")
+    if across.isEmpty():
+        return links
+    return links.unionByName(_compared(across, texts, shingle, similarity).select("a", "b")).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def kept_lines(docs: DataFrame, **parameters) -> DataFrame:

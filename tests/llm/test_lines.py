@@ -69,3 +69,17 @@ def test_long_words_links_and_han(spark):
     expected = _removed(texts)
     assert len(expected) >= 3
     assert _got(spark, texts) == expected
+
+
+def test_chained_family_in_one_key(spark, monkeypatch):
+    """All lines share their keys, and each is similar to few others: no centre is near to most."""
+    r = random.Random(11)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200 + 6 * 150))
+    chain = [text[6 * i : 6 * i + 200] for i in range(150)]
+    family = [x for x in chain if r.random() < 0.9]
+    spokes = ["".join(r.choices("0123456789", k=150)) for _ in range(5)]
+    texts = [*family, *[x + y for x in spokes for y in ("", "abcdefg", "hijklmnopq", "uvw" * 6)]]
+    r.shuffle(texts)
+    monkeypatch.setattr(lines, "band_keys", lambda hashes, bands, rows: F.expr("array(1L)"))
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    assert _got(spark, texts) == _removed(texts)
