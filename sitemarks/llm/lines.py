@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash (native).
 
-Lines (cut at ``\\n``) are taken without the white space at their ends; equal ones are one
-node. A node's shingles are all its windows of ``shingle`` characters, the whole line if
+Lines (cut at ``\\n``) are lower-cased and their white space is made single, none at the
+ends; equal ones are one node. What stays is put out as it was. A node's shingles are all its windows of ``shingle`` characters, the whole line if
 it is shorter. Nodes link where the Jaccard similarity of their shingle sets is at
 least ``similarity``. Of each component one line stays, the first by (doc_id, line
 number); the others go. Lines without a word always stay.
@@ -55,7 +55,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
     rows = docs.select(doc, F.xxhash64("text").alias("copy"), text_of().alias("text"))
     split = rows.select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.withColumn("line", F.btrim("line", F.lit(SPACES))).filter("line <> ''")
+    # Single blanks are left alone, so that most lines need no new string.
+    single = F.regexp_replace(F.btrim("line", F.lit(SPACES)), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
+    return split.withColumn("line", F.lower(single)).filter("line <> ''")
 
 
 def _node() -> Column:

@@ -83,3 +83,11 @@ def test_chained_family_in_one_key(spark, monkeypatch):
     monkeypatch.setattr(lines, "band_keys", lambda hashes, bands, rows: F.expr("array(1L)"))
     monkeypatch.setattr(lines, "BLOCK", 16)
     assert _got(spark, texts) == _removed(texts)
+
+
+def test_case_and_white_space_do_not_count(spark):
+    line = "The quick brown fox jumps over the lazy dog, and so on"
+    texts = [line, line.upper(), line.replace(" ", "  "), " \t" + line.replace(" ", "\t") + "\r", line.replace(" ", " \x0b"), line.replace(" ", "")]
+    assert _got(spark, texts) == {1, 2, 3, 4}
+    docs = spark.createDataFrame([(0, line.upper() + " \n" + line + "\n\n" + texts[5])], "doc_id bigint, text string")
+    assert lines.dedup_lines(docs).first().text == line.upper() + " \n\n" + texts[5]
