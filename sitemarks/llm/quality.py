@@ -64,20 +64,25 @@ def _repeated_starts() -> Column:
     """Sorted starts of the windows whose words occur twice or more in the text.
 
     A window is packed into one long: its hash above, its start in the low bits that
-    the text's length needs. Sorted longs put equal windows side by side; the hash
-    keeps at least 64 bits less the bits of the length.
+    the text's length needs. Sorted longs put equal windows side by side. Where hashes
+    agree the words themselves decide: these windows are sorted by their words.
     """
     hashed = ", ".join(f"_llm_w[i + {k}]" for k in range(WINDOW))
+    words = ", ".join(f"_llm_w[x.s + {k}]" for k in range(WINDOW))
     return F.expr(
         f"""transform(array(coalesce(length(bin(size(_llm_w))), 0)), b ->
           transform(
             array(sort_array(transform(
               if(size(_llm_w) < {WINDOW}, cast(array() as array<int>), sequence(0, size(_llm_w) - {WINDOW})),
               i -> shiftleft(shiftright(xxhash64({hashed}), b), b) + i))),
-            s -> sort_array(transform(
-              filter(s, (x, k) -> shiftright(get(s, k - 1), b) <=> shiftright(x, b)
-                               or shiftright(get(s, k + 1), b) <=> shiftright(x, b)),
-              x -> x & (shiftleft(1L, b) - 1))))[0])[0]"""
+            s -> transform(
+              array(sort_array(transform(transform(
+                filter(s, (x, k) -> shiftright(get(s, k - 1), b) <=> shiftright(x, b)
+                                 or shiftright(get(s, k + 1), b) <=> shiftright(x, b)),
+                x -> named_struct('s', cast(x & (shiftleft(1L, b) - 1) as int))),
+                x -> named_struct('g', concat_ws(' ', {words}), 's', cast(x.s as long))))),
+              c -> sort_array(transform(
+                filter(c, (x, k) -> get(c, k - 1).g <=> x.g or get(c, k + 1).g <=> x.g), x -> x.s)))[0])[0])[0]"""
     )
 
 
@@ -153,4 +158,6 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     # The text goes in under another name: the ledger drops the one it measures.
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     led = ledger(docs.select(carried.alias("_llm_row"), F.col("text")))
-    return led.filter(passes(policy)).select("_llm_row.*")
+    # The generator keeps the filter above it: pushed to the scan, it would split a text again for every word.
+    judged = led.select("_llm_row", F.explode(F.array(passes(policy))).alias("_llm_kept"))
+    return judged.filter("_llm_kept").select("_llm_row.*")
