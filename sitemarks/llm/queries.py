@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemarks.llm import contamination, fixity, lines, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
+from sitemarks.llm import contamination, conversations, fixity, lines, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
 from sitemarks.llm.common import table
+from sitemarks.operators.ordered import join_null_safe
 from sitemarks.session import written
 
 
@@ -105,6 +106,20 @@ def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by the contract's rule, with their faults, least edits and a digest of the repaired rows."""
+    rows = table(spark, sf_dir, "conversations")
+    found, parts = conversations.repair(conversations.damage(rows))
+    digest = conversations.digests(parts)
+    every = rows.select("conv_id").distinct()
+    joined = join_null_safe(join_null_safe(every, found, ["conv_id"], "left"), digest, ["conv_id"], "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_markov": op1_secret_markov,
     "op2_warc_merkle": op2_warc_merkle,
@@ -116,6 +131,7 @@ QUERIES = {
     "op8_benchmark_automaton": op8_benchmark_automaton,
     "op9_piece_lattice": op9_piece_lattice,
     "op10_url_logistic": op10_url_logistic,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 _OP4_SQL = r"""
