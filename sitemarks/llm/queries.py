@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemarks.llm import contamination, conversations, fixity, lines, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
+from sitemarks.llm import contamination, conversations, fixity, lines, ngramjoin, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
 from sitemarks.llm.common import table
 from sitemarks.operators.ordered import join_null_safe
 from sitemarks.session import written
@@ -120,6 +120,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their shingle set and the component of their links."""
+    found, _ = ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 QUERIES = {
     "op1_secret_markov": op1_secret_markov,
     "op2_warc_merkle": op2_warc_merkle,
@@ -132,6 +138,7 @@ QUERIES = {
     "op9_piece_lattice": op9_piece_lattice,
     "op10_url_logistic": op10_url_logistic,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _OP4_SQL = r"""
