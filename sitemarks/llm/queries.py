@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemarks.llm import contamination, conversations, fixity, lines, ngramjoin, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter
+from sitemarks.llm import (
+    alignment, contamination, conversations, fixity, lines, ngramjoin, pieces, quality, repeats, secret_scan, shards, simhash, urlfilter,
+)
 from sitemarks.llm.common import table
 from sitemarks.operators.ordered import join_null_safe
 from sitemarks.session import written
@@ -120,6 +122,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens by two vocabularies, their groups and links, and the links' counts over the corpus."""
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"))[0]
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the size of their shingle set and the component of their links."""
     found, _ = ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
@@ -138,6 +145,7 @@ QUERIES = {
     "op9_piece_lattice": op9_piece_lattice,
     "op10_url_logistic": op10_url_logistic,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_ngram_join": op13_ngram_join,
 }
 
