@@ -24,12 +24,15 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ from sitemarks.session import written
 
 BLANK = "▁"
 #: Rows of the broadcast code table, at most.
-VOCABULARY = 1 << 16
+VOCABULARY = 1 << 18
 #: Words in the code table are no longer than this; longer ones are encoded in their task.
 LONGEST_WORD = 64
 #: Pieces of a model, at most; the piece table is broadcast.
@@ -45,6 +48,9 @@ MOST_PIECES = 1 << 20
 #: Words outside the table that a Python worker remembers.
 REMEMBERED = 1 << 16
 
+#: Characters of the texts that a task encodes at a time, and one text.
+SLICE = 1 << 20
+
 _WORD = r"\n| +[^ \n]*|[^ \n]+"
 _WORDS = re.compile(_WORD)
 
@@ -58,14 +64,53 @@ class Model:
     first_byte: int
     texts: list[bytes]
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
+    @cached_property
+    def penalty(self) -> float:
+        """The score of a character without a piece, in a unigram model."""
+        return min((s for s, _ in self.pieces.values()), default=0.0) - 10
+
+
+def _fields(raw: bytes):
+    """(number, value) of a message's fields, as its wire format has them."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(path: str) -> str:
+    """What a model file says it is: field 3 of its trainer's settings, which are field 2. Other kinds are refused."""
+    with open(path, "rb") as file:
+        settings = dict(_fields(file.read())).get(2, b"")
+    kind = {1: "unigram", 2: "bpe"}.get(dict(_fields(settings)).get(3, 1))
+    if not kind:
+        raise ValueError("only unigram and BPE models are taken")
+    return kind
+
 
-def load_model(path: str, kind: str = "bpe") -> Model:
+def load_model(path: str) -> Model:
     import sentencepiece
 
+    kind = model_kind(path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     size = sp.get_piece_size()
     if size > MOST_PIECES:
@@ -129,13 +174,14 @@ _BPE_FOLD = """aggregate(sequence(1, length(word)), sequence(0, length(word)), (
         e -> named_struct('r', -e.score, 's', e.s, 'e', e.e)))),
       m -> if(m is null, b, filter(b, x -> x <= m.s or x >= m.e)))[0])"""
 
-#: The Viterbi path: per position the best total, and where the last piece began. Characters without a piece cost ``penalty``.
-_VITERBI = """aggregate(sequence(1, length(word)), array(named_struct('t', 0.0D, 's', -1)), (p, j) ->
+#: The Viterbi path: per position the best total, and where the last piece began (negated: of equal totals, the earliest).
+#: Characters without a piece cost ``penalty``.
+_VITERBI = """aggregate(sequence(1, length(word)), array(named_struct('t', 0.0D, 's', 1)), (p, j) ->
     concat(p, array(array_max(concat(
-      array(named_struct('t', p[j - 1].t + {penalty}D, 's', j - 1)),
-      transform(filter(edges, e -> e.e = j), e -> named_struct('t', p[e.s].t + e.score, 's', e.s)))))))"""
+      array(named_struct('t', p[j - 1].t + {penalty}D, 's', 1 - j)),
+      transform(filter(edges, e -> e.e = j), e -> named_struct('t', p[e.s].t + e.score, 's', -e.s)))))))"""
 _PATH = """aggregate(sequence(1, length(word)), array(length(word)), (b, k) ->
-    if(b[0] = 0, b, concat(array(path[b[0]].s), b)))"""
+    if(b[0] = 0, b, concat(array(-path[b[0]].s), b)))"""
 
 
 def lattice_codes(words: DataFrame, model: Model) -> DataFrame:
@@ -146,8 +192,7 @@ def lattice_codes(words: DataFrame, model: Model) -> DataFrame:
     if model.kind == "bpe":
         cut = lattice.select("word", "edges", F.expr(_BPE_FOLD).alias("bounds"))
     else:
-        penalty = min((s for s, _ in model.pieces.values()), default=0.0) - 10
-        best = lattice.select("word", "edges", F.expr(_VITERBI.format(penalty=penalty)).alias("path"))
+        best = lattice.select("word", "edges", F.expr(_VITERBI.format(penalty=model.penalty)).alias("path"))
         cut = best.select("word", "edges", F.expr(_PATH).alias("bounds"))
     # A character without a piece becomes its UTF-8 bytes.
     of_bytes = f"""transform(sequence(1, octet_length(t)), k ->
@@ -199,19 +244,19 @@ def merge(model: Model, word: str) -> list[int]:
 
 
 def viterbi(model: Model, word: str) -> list[int]:
-    """Unigram: the pieces of the largest total score; of equal ones, the later beginning of the last piece."""
-    penalty = min((s for s, _ in model.pieces.values()), default=0.0) - 10
-    best: list[tuple[float, int]] = [(0.0, -1)]
+    """Unigram: the pieces of the largest total score; of equal ones, the earliest beginning of the last piece."""
+    penalty = model.penalty
+    best: list[tuple[float, int]] = [(0.0, 1)]
     for j in range(1, len(word) + 1):
-        own = [(best[j - 1][0] + penalty, j - 1)]
+        own = [(best[j - 1][0] + penalty, 1 - j)]
         for s in range(max(0, j - model.longest), j):
             if word[s:j] in model.pieces:
-                own.append((best[s][0] + model.pieces[word[s:j]][0], s))
+                own.append((best[s][0] + model.pieces[word[s:j]][0], -s))
         best.append(max(own))
     parts, j = [], len(word)
     while j:
-        parts.append(word[best[j][1] : j])
-        j = best[j][1]
+        parts.append(word[-best[j][1] : j])
+        j = -best[j][1]
     return _as_ids(model, parts[::-1])
 
 
@@ -220,7 +265,7 @@ def viterbi(model: Model, word: str) -> list[int]:
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all texts; counts grow with the corpus and are combined before the shuffle."""
-    marked = F.concat(F.lit(" "), F.col(text))
+    marked = F.concat(F.lit(" "), F.translate(text, BLANK, " "))
     words = F.regexp_extract_all(marked, F.lit(_WORD), F.lit(0))
     # Not explode: Spark would filter on the size first, which splits every text twice.
     own = docs.filter(F.length(text) > 0).select(F.explode_outer(words).alias("word"))
@@ -246,28 +291,56 @@ def code_table(docs: DataFrame, model: Model, most: int = VOCABULARY, text: str
     return written(lattice_codes(frequent_words(counts, most).select("word"), model), "word-codes")
 
 
+def _slices(texts: pa.Array):
+    """Slices of a batch of about ``SLICE`` characters: one is decoded to Python strings at a time."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
+        if size >= SLICE:
+            yield texts.slice(start, i + 1 - start).to_pylist()
+            start, size = i + 1, 0
+    yield texts.slice(start).to_pylist()
+
+
 def encode(docs: DataFrame, model: Model, codes: DataFrame | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of a text, as an array of ints."""
     table = _broadcast(docs, model, codes, text)
 
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
-        own = table.value
-        return pd.Series([own.encode(t) for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def of(texts: pa.Array) -> pa.Array:
+        own, sizes, values = table.value, [], []
+        for part in _slices(texts):
+            ids = [own.encode(t) for t in part]
+            sizes += [None if x is None else len(x) for x in ids]
+            values.append(np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]))
+        ends = np.cumsum([0, *[n or 0 for n in sizes]]).astype(np.int32)
+        null = pa.array([n is None for n in sizes], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)), mask=null)
 
     return docs.withColumn(out, of(F.col(text)))
 
 
 def round_trip(docs: DataFrame, model: Model, codes: DataFrame | None = None, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Add ``ids`` and whether they decode to the text, as one struct: both in one visit of a text."""
+    """Add ``n_tokens``, the SHA-256 of the ids (decimal, comma-joined), and whether they decode to the text, as one struct.
+
+    Null texts have null tokens and digest; they are lossless.
+    """
     table = _broadcast(docs, model, codes, text)
 
-    @F.pandas_udf("struct<ids:array<int>,lossless:boolean>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        own = table.value
-        ids = [own.encode(t) for t in texts]
-        same = [x is None or decode_ids(own.model, x.tolist()) == t for x, t in zip(ids, texts)]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "lossless": pd.Series(same, dtype=bool)})
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,lossless:boolean>")
+    def of(texts: pa.Array) -> pa.Array:
+        own, out = table.value, []
+        raw, names = own.model.texts, list(map(str, range(len(own.model.texts))))
+        for part in _slices(texts):
+            for t in part:
+                if t is None:
+                    out.append({"n_tokens": None, "ids_sha256": None, "lossless": True})
+                    continue
+                ids = own.encode(t).tolist()
+                digest = hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest()
+                same = b"".join([raw[i] for i in ids]) == (b" " + t.encode("utf-8", "surrogatepass") if t else b"")
+                out.append({"n_tokens": len(ids), "ids_sha256": digest, "lossless": same})
+        return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("lossless", pa.bool_())]))
 
     return docs.withColumn(out, of(F.col(text)))
 
@@ -299,7 +372,7 @@ class Encoder:
         if text is None:
             return None
         known, other = self.known, self.word
-        words = _WORDS.findall(" " + text) if text else ()
+        words = _WORDS.findall(" " + text.replace(BLANK, " ")) if text else ()
         return np.frombuffer(b"".join([known.get(w) or other(w) for w in words]), np.int32)
 
 
@@ -314,10 +387,10 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
     """Add the text of an array of token ids; control pieces are nothing, broken UTF-8 is replaced."""
     table = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def of(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def of(rows: pa.Array) -> pa.Array:
         own = table.value
-        return pd.Series([None if r is None else decode_ids(own, r.tolist()) for r in rows], dtype=object)
+        return pa.array([decode_ids(own, r.as_py()) if r.is_valid else None for r in rows], pa.string())
 
     return df.withColumn(out, of(F.col(ids)))
 

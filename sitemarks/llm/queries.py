@@ -94,11 +94,7 @@ def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its number of tokens, a digest of their ids, and whether they decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pieces.load_model(pieces.default_model(spark))
-    both = pieces.round_trip(docs, model)
-    return both.select(
-        "doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("tokens.ids", ","), 256).alias("ids_sha256"), "tokens.lossless",
-    )
+    return pieces.round_trip(docs, model).select("doc_id", "tokens.n_tokens", "tokens.ids_sha256", "tokens.lossless")
 
 
 def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
