@@ -9,8 +9,8 @@ Method:
 2. Shingles have one order for all documents: shingles that are not frequent first, by
    hash, then frequent ones by their count. Any order gives right results; this one keeps
    what many documents share out of the prefixes. Counts cover all documents: a shingle
-   counts in a task's chunk from ``LOCAL`` documents on, so all that are in over one in
-   a thousand are found; at most ``MOST`` of them, by a threshold, go to all tasks.
+   counts in a task's chunk from ``LOCAL`` documents on, so what is in over one of some
+   thousand documents is found; at most ``MOST``, by a threshold, go to all tasks.
 3. A set's first shingles are its prefix; similar sets have a common shingle in theirs.
    Documents with equal prefix and size are one group, and groups meet by shingle.
 4. Group pairs are filtered by size, by the position of the common shingle, and by what
@@ -48,9 +48,9 @@ SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
 #: Documents of a chunk that hold a shingle, from which on it is counted.
-LOCAL = 4
+LOCAL = 2
 #: A chunk: so many documents, or shingles.
-CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 22
+CHUNK_DOCS, CHUNK_SHINGLES = 8192, 1 << 22
 #: Frequent shingles that go to all tasks, at most (16 bytes each).
 MOST = 1 << 20
 #: Words whose hashes a worker remembers.
@@ -264,8 +264,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _star(tokens: DataFrame, turn: int, percent: int) -> DataFrame:
-    """``a, b``: each group of a shingle's list with the list's centre, which another hash chooses every time."""
-    rank = F.xxhash64(F.lit(turn), "token", "gid")
+    """``a, b``: each group of a shingle's list with the list's centre, which another hash chooses every round."""
+    # The same hash for all lists, so that those of one family mostly share a centre.
+    rank = F.xxhash64(F.lit(turn), "gid")
     centre = tokens.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "gid", "n", "pos")).alias("c"))
     centre = centre.select("token", F.col("c.gid").alias("b"), F.col("c.n").alias("nb"), F.col("c.pos").alias("pb"))
     return _ordered_pairs(_side(tokens, "a", "token").join(centre, "token").filter((F.col("a") != F.col("b")) & _may(percent)))
