@@ -52,7 +52,7 @@ LOCAL = 2
 #: A chunk: so many documents, or shingles.
 CHUNK_DOCS, CHUNK_SHINGLES = 8192, 1 << 22
 #: Frequent shingles that go to all tasks, at most (16 bytes each).
-MOST = 1 << 20
+MOST = 1 << 18
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -181,8 +181,15 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         if total > MOST:
             break
         least = row["level"]
-    kept = found.filter(F.col("n") >= F.lit(1 << least if least < 63 else 2**63 - 1)).toPandas()
-    return kept["hash"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"hashes": [batch["hash"].to_numpy(np.int64).tobytes()], "counts": [batch["n"].to_numpy(np.int64).tobytes()]})
+
+    # Packed by the tasks, 16 bytes each: at most ``MOST`` of them come to the driver.
+    kept = found.filter(F.col("n") >= F.lit(1 << least if least < 63 else 2**63 - 1)).mapInPandas(packed, "hashes binary, counts binary").collect()
+    join = lambda name: b"".join(bytes(row[name]) for row in kept)
+    return np.frombuffer(join("hashes"), np.uint64), np.frombuffer(join("counts"), np.int64)
 
 
 def _described(docs: DataFrame, order, shingle: int, percent: int) -> DataFrame:
