@@ -213,7 +213,17 @@ def flat_results(results: DataFrame) -> DataFrame:
     ).select(*FLAT_COLUMNS)
 
 
-def json_struct(with_status: bool = True, failed: bool = False) -> Column:
+def with_url_variation(results: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Results with ``url_variation``: what was entered and what worked instead, NULL where the first URL did.
+
+    ``resolved`` is one row per input, from ``runs.resolved_urls``.
+    """
+    variation = F.struct("original_url", "working_url", "variation_type").alias("url_variation")
+    used = resolved.filter("variation_type IS NOT NULL").select(F.col("original_url").alias("_entered"), variation)
+    return results.join(used, results["original_url"] == used["_entered"], "left").drop("_entered")
+
+
+def json_struct(with_status: bool = True, failed: bool = False, varied: bool = False) -> Column:
     """A result as the nested struct of the JSON contract."""
     features = F.struct(*[F.col(column).alias(name) for name, column in JSON_FEATURES.items()])
     summary = F.struct(
@@ -235,6 +245,8 @@ def json_struct(with_status: bool = True, failed: bool = False) -> Column:
     if failed:
         parts += [F.col("error"), F.col("attempts"), F.col("attempted_urls")]
     else:
+        if varied:
+            parts.append(F.col("url_variation"))
         if with_status:
             parts.append(F.col("http_status"))
         parts.append(
@@ -249,20 +261,22 @@ def json_results(results: DataFrame, pretty: bool = False) -> DataFrame:
     """``original_url, value``: each result as JSON text.
 
     Null ids, titles and descriptions are written as ``null``; the keys of the
-    other outcome (failure keys on success, page keys on failure) and an unknown
-    status are left out.
+    other outcome (failure keys on success, page keys on failure), an unknown status
+    and a URL variation that was not needed are left out.
     """
     options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    value = (
-        F.when(F.col("error").isNotNull(), F.to_json(json_struct(failed=True), options))
-        .when(F.col("http_status").isNull(), F.to_json(json_struct(with_status=False), options))
-        .otherwise(F.to_json(json_struct(), options))
-    )
+    text = lambda **kind: F.to_json(json_struct(**kind), options)
+    unknown = F.col("http_status").isNull()
+    value = F.when(F.col("error").isNotNull(), text(failed=True))
+    if "url_variation" in results.columns:
+        varied = F.col("url_variation").isNotNull()
+        value = value.when(varied & unknown, text(with_status=False, varied=True)).when(varied, text(varied=True))
+    value = value.when(unknown, text(with_status=False)).otherwise(text())
     return results.select("original_url", value.alias("value"))
 
 
-def parse_results(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON results back to the result table (without ``page_id``)."""
+def parse_results(lines: DataFrame, column: str = "value", url_variation: bool = False) -> DataFrame:
+    """JSON results back to the result table (without ``page_id``), with ``url_variation`` if it is asked for."""
     df = lines.select(F.from_json(column, RESULT_JSON).alias("r")).select("r.*")
     evidence = F.transform(
         "evidence",
@@ -279,7 +293,7 @@ def parse_results(lines: DataFrame, column: str = "value") -> DataFrame:
         *[F.col(f"{f}.{name}").alias(column) for name, column in JSON_FEATURES.items()],
         F.col(f"{s}.confidence"), evidence.alias("evidence"), "headers", "http_status",
         F.col("page_metadata.title").alias("page_title"), F.col("page_metadata.description").alias("page_description"),
-        "error", "attempts", "attempted_urls",
+        "error", "attempts", "attempted_urls", *(["url_variation"] if url_variation else []),
     )
 
 

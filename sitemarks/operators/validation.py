@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemarks.operators.json_schema import json_problems
+from sitemarks.operators.results import JSON_FEATURES
 from sitemarks.sources.catalog import CONFIDENCE_LEVELS
 
 #: What a result may hold.
@@ -14,24 +16,50 @@ LEVELS = list(CONFIDENCE_LEVELS)
 REQUIRED = ["original_url", "final_url", "fetched_at", "tracking", "cms_hosting", "confidence", "evidence"]
 EVIDENCE_REQUIRED = ["category", "pattern_id", "match", "source", "confidence"]
 
-#: JSON type per path of an exported result; ``?`` may be missing, ``~`` may be null.
-JSON_TYPES = {
-    "original_url": "STRING",
-    "final_url": "STRING",
-    "timestamp": "STRING",
-    "hubspot_detected?": "BOOLEAN",
-    "hubIds?": "ARRAY",
-    "summary": "OBJECT",
-    "summary.tracking": "BOOLEAN",
-    "summary.cmsHosting": "BOOLEAN",
-    "summary.features": "OBJECT",
-    "summary.confidence": "STRING",
-    "evidence": "ARRAY",
-    "headers?": "OBJECT",
-    "http_status?": "BIGINT",
-    "page_metadata?": "OBJECT",
-    "page_metadata.title?~": "STRING",
-    "page_metadata.description?~": "STRING",
+
+def _object(properties: dict, required: list[str] = (), closed: bool = False) -> dict:
+    schema = {"type": "object", "properties": properties, "required": list(required)}
+    return {**schema, "additionalProperties": False} if closed else schema
+
+
+_TEXT, _FLAG, _URL = {"type": "string"}, {"type": "boolean"}, {"type": "string", "format": "uri"}
+_TEXT_OR_NULL = {"type": ["string", "null"]}
+_EVIDENCE = {
+    "category": {"type": "string", "enum": CATEGORIES},
+    "patternId": _TEXT,
+    "match": _TEXT,
+    "source": {"type": "string", "enum": SOURCES},
+    "hubId": {"type": ["integer", "null"]},
+    "confidence": {"type": "string", "enum": LEVELS},
+    "context": _TEXT_OR_NULL,  # evidence without a context is exported with a null
+}
+_SUMMARY = {
+    "tracking": _FLAG,
+    "cmsHosting": _FLAG,
+    "features": _object({name: _FLAG for name in JSON_FEATURES}, closed=True),
+    "confidence": {"type": "string", "enum": LEVELS},
+}
+_VARIATION = {"original_url": _URL, "working_url": _URL, "variation_type": {"type": "string", "enum": ["auto"]}}
+
+#: What an exported result must look like, as a JSON Schema.
+RESULT_SCHEMA = {
+    **_object(
+        {
+            "original_url": _URL,
+            "final_url": _URL,
+            "timestamp": {"type": "string", "format": "date-time"},
+            "hubspot_detected": _FLAG,
+            "hubIds": {"type": "array", "items": {"type": "integer"}},
+            "summary": _object(_SUMMARY, list(_SUMMARY), closed=True),
+            "evidence": {"type": "array", "items": {"$ref": "#/$defs/Evidence"}},
+            "headers": {"type": "object", "additionalProperties": _TEXT},
+            "url_variation": _object(_VARIATION, list(_VARIATION), closed=True),
+            "http_status": {"type": "integer"},
+            "page_metadata": _object({"title": _TEXT_OR_NULL, "description": _TEXT_OR_NULL}, closed=True),
+        },
+        ["original_url", "final_url", "timestamp", "summary", "evidence"],
+    ),
+    "$defs": {"Evidence": _object(_EVIDENCE, ["category", "patternId", "match", "source", "confidence"], closed=True)},
 }
 
 
@@ -71,23 +99,9 @@ def _evidence_type(results: DataFrame):
     return results.schema["evidence"].dataType
 
 
-def json_violations(lines: DataFrame, column: str = "value", key: str = "original_url") -> DataFrame:
-    """``key, field, reason`` for exported JSON text: unreadable, missing or of the wrong type."""
-    parsed = lines.select(key, F.try_parse_json(column).alias("v"))
-    checks = [F.when(F.col("v").isNull(), _problem("", "not JSON"))]
-    for path, wanted in JSON_TYPES.items():
-        optional, nullable = "?" in path, "~" in path
-        path = path.rstrip("?~")
-        value = F.try_variant_get("v", f"$.{path}", "variant")
-        kind = F.schema_of_variant(value)
-        wrong = kind.isNotNull() & ~kind.startswith(wanted)
-        if nullable:
-            wrong = wrong & (kind != "VOID")
-        if not optional:
-            checks.append(F.when(F.col("v").isNotNull() & value.isNull(), _problem(path, "missing")))
-        checks.append(F.when(wrong, _problem(path, "wrong type")))
-    return parsed.select(key, F.explode(F.array_compact(F.array(*checks))).alias("p")).select(key, "p.*")
-
-
-def _problem(field: str, reason: str) -> Column:
-    return F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))
+def json_violations(lines: DataFrame, column: str = "value", key: str = "original_url", formats: bool = False) -> DataFrame:
+    """``key, field, reason`` for exported JSON text that is unreadable or breaks ``RESULT_SCHEMA``.
+
+    ``formats`` asserts URIs and times as well. An input URL without a scheme is no URI, so it is off by default.
+    """
+    return json_problems(lines, RESULT_SCHEMA, key, column, formats)

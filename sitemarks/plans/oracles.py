@@ -587,6 +587,32 @@ SELECT page_id, 'final_url' AS field, 'missing' AS reason, CAST(NULL AS INTEGER)
 UNION ALL SELECT page_id, 'confidence', 'not allowed', NULL FROM sites WHERE page_id % 13 = 5
 UNION ALL SELECT DISTINCT page_id, 'evidence.source', 'not allowed', 1 FROM evidence WHERE page_id % 7 = 2
 UNION ALL SELECT DISTINCT page_id, 'evidence.category', 'missing', 1 FROM evidence WHERE page_id % 11 = 4 AND page_id % 7 <> 2""",
+    ),
+    "json_violations": with_(
+        STATIC + """,
+ok AS (SELECT * FROM sites WHERE page_id % 13 <> 5),
+items AS (SELECT page_id, unnest(range(count(*))) AS i FROM evidence GROUP BY page_id)""",
+        """
+SELECT page_id, '' AS field, 'not JSON' AS reason FROM sites WHERE page_id % 13 = 5
+UNION ALL SELECT page_id, 'summary.tracking', 'missing' FROM ok WHERE page_id % 7 = 1
+UNION ALL SELECT page_id, 'summary.tracked', 'not expected' FROM ok WHERE page_id % 7 = 1
+UNION ALL SELECT page_id, 'hubIds[0]', 'wrong type' FROM ok WHERE page_id % 5 = 2
+UNION ALL SELECT page_id, 'summary.features.forms', 'wrong type' FROM ok WHERE page_id % 9 = 4
+UNION ALL SELECT page_id, 'summary.features.polls', 'not expected' FROM ok WHERE page_id % 9 = 4
+UNION ALL SELECT page_id, 'evidence[' || i || '].patternId', 'missing' FROM ok JOIN items USING (page_id) WHERE page_id % 11 = 6
+UNION ALL SELECT page_id, 'evidence[' || i || '].pattern', 'not expected' FROM ok JOIN items USING (page_id) WHERE page_id % 11 = 6
+UNION ALL SELECT page_id, 'page_metadata.title', 'wrong type' FROM ok WHERE page_id % 8 = 3
+UNION ALL SELECT page_id, 'page_metadata.heading', 'not expected' FROM ok WHERE page_id % 8 = 3
+UNION ALL SELECT page_id, 'original_url', 'bad format' FROM ok WHERE NOT regexp_matches(original_url, '^[A-Za-z][A-Za-z0-9+.-]*:')
+UNION ALL SELECT page_id, 'final_url', 'bad format' FROM ok
+WHERE http_status >= 400 AND NOT regexp_matches(original_url, '^[A-Za-z][A-Za-z0-9+.-]*:')""",
+    ),
+    "result_url_variation": with_(
+        SITES,
+        """
+SELECT original_url, CASE WHEN page_id % 6 = 0 THEN CAST(to_json({'original_url': original_url,
+       'working_url': regexp_replace(requested_url, '^https:', 'http:'), 'variation_type': 'auto'}) AS VARCHAR) END AS url_variation
+FROM sites""",
     ),
     "run_statistics": with_(STATS, "SELECT * FROM stats"),
     "run_status_json": STATUS,

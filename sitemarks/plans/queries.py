@@ -254,6 +254,39 @@ def result_violations(spark, sf):
     return validation.result_violations(_tampered(_results(spark, sf)))
 
 
+#: Faults planted in exported JSON, by ``page_id``: modulus, remainder, text, and what replaces it.
+JSON_FAULTS = [
+    (7, 1, '"tracking":', '"tracked":'),
+    (5, 2, '"hubIds":[', '"hubIds":["x"],"more":['),
+    (9, 4, '"forms":', '"forms":0,"polls":'),
+    (11, 6, '"patternId":', '"pattern":'),
+    (8, 3, '"title":', '"title":["a"],"heading":'),
+    (13, 5, '{"original_url"', '"original_url"'),
+]
+
+
+def json_violations(spark, sf):
+    rows = _results(spark, sf)
+    value = F.to_json(results.json_struct(), {"ignoreNullFields": "false"})
+    for modulus, rest, old, new in JSON_FAULTS:
+        value = F.when(F.col("page_id") % modulus == rest, F.replace(value, F.lit(old), F.lit(new))).otherwise(value)
+    return validation.json_violations(rows.select("page_id", value.alias("value")), key="page_id", formats=True)
+
+
+def result_url_variation(spark, sf):
+    """Every third page's first URL failed; for half of these the plain-text variation worked."""
+    sites = derived.sites(spark, sf)
+    other = F.regexp_replace("requested_url", "^https:", "http:")
+    tries = F.array(
+        F.struct(F.col("requested_url").alias("url"), F.lit(0).alias("variation_no"), (F.col("page_id") % 3 != 0).alias("success")),
+        F.struct(other.alias("url"), F.lit(1).alias("variation_no"), (F.col("page_id") % 6 == 0).alias("success")),
+    )
+    attempts = sites.select("original_url", F.lit(0).alias("retry_no"), F.col("page_id").alias("attempt_id"), F.explode(tries).alias("t"))
+    resolved = runs.resolved_urls(sites, attempts.select("original_url", "retry_no", "attempt_id", "t.*"))
+    lines = results.json_results(results.with_url_variation(_results(spark, sf), resolved))
+    return lines.select("original_url", F.get_json_object("value", "$.url_variation").alias("url_variation"))
+
+
 # --- runs -----------------------------------------------------------------------------------------
 
 
@@ -455,6 +488,8 @@ QUERIES = {
     "failure_results": failure_results,
     "completed_urls": completed_urls,
     "result_violations": result_violations,
+    "json_violations": json_violations,
+    "result_url_variation": result_url_variation,
     "run_statistics": run_statistics,
     "run_status_json": run_status_json,
     "confidence_distribution": confidence_distribution,

@@ -29,6 +29,7 @@ RESULT_JSON = (
     "ctasLegacy:boolean,meetings:boolean,video:boolean,emailTrackingIndicators:boolean>,confidence:string>, "
     "evidence array<struct<category:string,patternId:string,match:string,source:string,hubId:bigint,"
     "confidence:string,context:string>>, headers map<string,string>, http_status int, "
+    "url_variation struct<original_url:string,working_url:string,variation_type:string>, "
     "page_metadata struct<title:string,description:string>, "
     "error string, attempts int, attempted_urls array<string>"
 )

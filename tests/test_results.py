@@ -78,7 +78,7 @@ def test_account_ids_are_distinct_in_first_seen_order(spark):
         ("<title>\n Multi\n Line </title>", "Multi\n Line", None),
         ("<!-- <title>no</title> --><script>'<title>no</title>'</script><TITLE a='>'>yes</TITLE>", "yes", None),
         ("<title>&#233;&#xE9;&eacute;&unknown;&#0;</title>", "ééé&unknown;�", None),
-        ("<title>Bob&apos;s A&#0000000065;&#x0000000041;&#99999999999999;</title>", "Bob's AA\ufffd", None),
+        ("<title>Bob&apos;s A&#0000000065;&#x0000000041;&#99999999999999;</title>", "Bob's AAA\ufffd", None),
         ("<meta content='c' name=\"description\"/>", None, "c"),
         ("<meta property='description' content='c'>", None, None),
         (None, None, None),
@@ -217,6 +217,19 @@ def test_json_round_trip(page_table):
     assert sorted(map(str, back.collect())) == sorted(map(str, results.select(*back.columns).collect()))
 
 
+def test_url_variation_round_trip(spark, page_table):
+    results = r.detect(page_table({"original_url": "a.com", "html": LOADER}, {"original_url": "b.com"}, {"original_url": "c.com", "status": None}))
+    rows = [("a.com", 0, 0, 1, "https://a.com", False), ("a.com", 1, 0, 2, "http://a.com", True), ("b.com", 0, 0, 3, "https://b.com", True), ("c.com", 1, 0, 4, "http://c.com", True)]
+    attempts = spark.createDataFrame(rows, "original_url string, variation_no int, retry_no int, attempt_id bigint, url string, success boolean")
+    varied = r.with_url_variation(results, runs.resolved_urls(results, attempts)).drop("page_id")
+    lines = r.json_results(varied)
+    assert json_violations(lines).count() == 0
+    back = {x.original_url: x.url_variation for x in r.parse_results(lines, url_variation=True).collect()}
+    assert back["b.com"] is None
+    assert tuple(back["a.com"]) == ("a.com", "http://a.com", "auto") and tuple(back["c.com"]) == ("c.com", "http://c.com", "auto")
+    assert "url_variation" not in json.loads(lines.filter("original_url = 'b.com'").first().value)
+
+
 def test_archive_and_network_sources(spark, page_table, tmp_path):
     page_table(LOADER).write.parquet(str(tmp_path / "archive"))
     assert r.detect(pages.read_pages(spark, str(tmp_path / "archive"))).first().confidence == "definitive"
