@@ -146,25 +146,28 @@ def next_alerts(
     n = len(blocking)
     none = n + 1
     before = np.concatenate([[0], np.cumsum(blocking)])
-    codes = pd.factorize(domain[blocking])[0]
+    # Attempts without a domain count as failures but name no domain.
+    named = blocking & pd.notna(domain)
+    named_before = np.concatenate([[0], np.cumsum(named)])
+    codes = pd.factorize(domain[named])[0]
     start_of_run = np.concatenate([[True], codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, bool)
     last_start = np.maximum.accumulate(np.where(start_of_run, np.arange(len(codes)), 0)) if len(codes) else codes
-    run = np.arange(len(codes)) - last_start + 1
-    # several[k]: the last ``threshold`` of the first k blocking rows are not all of one domain
-    several = np.concatenate([[False], run < threshold])
-    mixed = several[before]
+    # run[k]: how many of the last named rows among the first k have one domain
+    run = np.concatenate([[0], np.arange(len(codes)) - last_start + 1])[named_before]
+
+    def fires(length: int) -> np.ndarray:
+        """For every end of a window of this length, whether it raises an alert."""
+        count = before[length:] - before[:-length]
+        seen = np.minimum(named_before[length:] - named_before[:-length], threshold)
+        own = (count >= threshold) & (run[length:] < seen) & (count / length >= min_rate)
+        return own & (np.arange(length, n + 1) > halo)
 
     nxt = np.full(n + 1, none)
     if n >= window:
-        count = before[window:] - before[:-window]
-        fires = (count >= threshold) & mixed[window:] & (count / window >= min_rate)
-        fires &= np.arange(window, n + 1) > halo
-        at = np.where(fires, np.arange(window, n + 1), none)
+        at = np.where(fires(window), np.arange(window, n + 1), none)
         nxt[: n - window + 1] = np.minimum.accumulate(at[::-1])[::-1]
     for length in range(min(window - 1, n), 0, -1):
-        count = before[length:] - before[:-length]
-        fires = (count >= threshold) & mixed[length:] & (count / length >= min_rate)
-        at = np.flatnonzero(fires & (np.arange(length, n + 1) > halo))
+        at = np.flatnonzero(fires(length))
         nxt[at] = at + length
     return nxt
 
@@ -228,10 +231,13 @@ def alert_rows(
 ) -> tuple[pd.DataFrame, int]:
     """Alerts met when walking ordered rows from a reset position, and the last reset position.
 
+    A NULL domain is none: its attempt counts, but it is not among the domains.
+
     ``queued`` counts the blocking attempts before the first row that is not halo.
     """
     blocking = rows["is_blocking"].to_numpy(dtype=bool)
     domain = rows["domain"].to_numpy(dtype=object)
+    named = blocking & pd.notna(domain)
     n = len(rows)
     jump = next_alerts(blocking, domain, halo, threshold, window, min_rate)
     before = np.concatenate([[0], np.cumsum(blocking)])
@@ -239,7 +245,7 @@ def alert_rows(
     while jump[p] <= n:
         at = int(jump[p])
         first = max(p, at - window)
-        recent = domain[first:at][blocking[first:at]][-threshold:]
+        recent = domain[first:at][named[first:at]][-threshold:]
         names = sorted(set(recent))
         failures = int(before[at] - before[first])
         found.append(

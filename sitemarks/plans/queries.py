@@ -424,9 +424,16 @@ def stream_detection_query(spark, sf):
 
 
 def stream_block_alerts(spark, sf):
+    """The log as it comes, then its end: the second run lets go of the attempts that still wait."""
     attempts = derived.derive_attempts(_stream(spark, sf, "events"))
+    markers = scratch_path(spark, "stream-alerts-end")
+    alerts = stream_blocking.stream_block_alerts(stream_blocking.end_markers(attempts, markers))
+    path, checkpoint = scratch_path(spark, "stream-alerts"), scratch_path(spark, "stream-alerts-state")
     with _rocksdb(spark):
-        return _alert_text(_drained(stream_blocking.stream_block_alerts(attempts), "stream-alerts"))
+        stream_detection.run_to_files(alerts, path, checkpoint).awaitTermination()
+        stream_blocking.end_log(attempts, markers)
+        stream_detection.run_to_files(alerts, path, checkpoint).awaitTermination()
+    return _alert_text(spark.read.schema(alerts.schema).parquet(path))
 
 
 def stream_retry_queue(spark, sf):

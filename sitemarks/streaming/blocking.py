@@ -1,4 +1,4 @@
-"""Blocking alerts over a stream of attempts, with a window that each alert empties."""
+"""Blocking alerts over a stream of attempts, in event-time order, with a window that each alert empties."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sitemarks.operators.blocking import (
@@ -13,6 +14,7 @@ from sitemarks.operators.blocking import (
     MIN_RATE,
     ORDER,
     RETRY_QUEUE,
+    SHOWN_DOMAINS,
     THRESHOLD,
     WINDOW,
     _ALERT_SCHEMA,
@@ -21,34 +23,76 @@ from sitemarks.operators.blocking import (
 )
 
 _WINDOW_STATE = "blocking array<boolean>, domain array<string>, queued bigint"
+_BUCKET_STATE = "us array<bigint>, attempt_id array<bigint>, blocking array<boolean>, domain array<string>"
 _QUEUE_STATE = "ts timestamp, attempt_id bigint, url string"
 _QUEUE_ROWS = "run_id string, egress string, queue_pos int, ts timestamp, attempt_id bigint, url string"
 _COLUMNS = [field.split()[0] for field in _ALERT_SCHEMA.split(", ")]
+#: Rows later than this are not waited for, unless the caller says otherwise.
+DELAY = "1 hour"
+#: Rows wait in buckets of so many seconds, and are read back one bucket at a time.
+BUCKET_SECONDS = 60
+#: The time of an end marker: beyond all attempts, and one that tasks can read (nanoseconds end in 2262).
+END = "2261-01-01 00:00:00"
 
 
 class BlockWatch(StatefulProcessor):
-    """State per run and egress: the attempts since the last alert that are still in the
-    window (fewer than ``window``), and how many were queued for retry."""
+    """Alerts of a run and egress in the order of time and id, whatever the order of arrival.
 
-    def __init__(self, threshold: int, window: int, min_rate: float):
+    State: rows that wait, by time bucket, until the watermark has passed their bucket; the attempts
+    since the last alert that are still in the window (fewer than ``window``); and how many
+    were queued for retry. A timer at each bucket's end reads that bucket alone.
+    """
+
+    def __init__(self, threshold: int, window: int, min_rate: float, queue_size: int, shown_domains: int, bucket_seconds: int):
         self.threshold, self.window, self.min_rate = threshold, window, min_rate
+        self.queue_size, self.shown_domains, self.bucket = queue_size, shown_domains, bucket_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getValueState("recent", _WINDOW_STATE)
+        self.waiting = handle.getMapState("waiting", "bucket bigint", _BUCKET_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
+        for chunk in rows:  # one chunk at a time: a huge share of a batch is never held whole
+            chunk = chunk[chunk["attempt_id"].notna()]  # an end marker is no attempt
+            for bucket, part in chunk.groupby(chunk["us"] // self.bucket):
+                place = (int(bucket),)
+                old = self.waiting.getValue(place) if self.waiting.containsKey(place) else None
+                new = [part[c].tolist() for c in ("us", "attempt_id", "is_blocking", "domain")]
+                if old is None:
+                    self.handle.registerTimer((place[0] + 1) * self.bucket // 1000)
+                    old = [[], [], [], []]
+                domains = [None if pd.isna(d) else d for d in new[3]]
+                self.waiting.updateValue(
+                    place,
+                    ([*old[0], *map(int, new[0])], [*old[1], *map(int, new[1])], [*old[2], *map(bool, new[2])], [*old[3], *domains]),
+                )
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = sorted(bucket for (bucket,) in self.waiting.keys() if (bucket + 1) * self.bucket <= now)
+        for bucket in due:
+            held = self.waiting.getValue((bucket,))
+            new = pd.DataFrame(dict(zip(["ts", "attempt_id", "is_blocking", "domain"], map(list, held)))).sort_values(ORDER, kind="stable")
+            yield self._walk(key, new)
+            self.waiting.removeKey((bucket,))
+
+    def _walk(self, key, new: pd.DataFrame) -> pd.DataFrame:
         state = self.recent.get() if self.recent.exists() else ([], [], 0)
         old = pd.DataFrame({"is_blocking": list(state[0]), "domain": list(state[1])})
         halo, queued = len(old), int(state[2])
-        both = pd.concat([old, new[["attempt_id", "ts", "is_blocking", "domain"]]], ignore_index=True)
-        found, reset = alert_rows(both, 0, queued, halo, self.threshold, self.window, self.min_rate)
+        both = pd.concat([old, new], ignore_index=True) if halo else new.reset_index(drop=True)
+        both["domain"] = both["domain"].astype(object)
+        found, reset = alert_rows(
+            both, 0, queued, halo, self.threshold, self.window, self.min_rate, self.queue_size, self.shown_domains
+        )
         kept = both.iloc[max(reset, len(both) - self.window + 1):]
         queued += int(new["is_blocking"].sum())
-        self.recent.update(
-            ([bool(b) for b in kept["is_blocking"]], [str(d) for d in kept["domain"]], min(queued, RETRY_QUEUE))
-        )
-        yield found.assign(run_id=key[0], egress=key[1])[_COLUMNS]
+        domains = [None if pd.isna(d) else d for d in kept["domain"]]
+        self.recent.update(([bool(b) for b in kept["is_blocking"]], domains, min(queued, self.queue_size)))
+        found["ts"], found["attempt_id"] = found["ts"].astype("int64"), found["attempt_id"].astype("int64")
+        return found.assign(run_id=key[0], egress=key[1])[_COLUMNS]
 
     def close(self) -> None:
         pass
@@ -60,20 +104,41 @@ def stream_block_alerts(
     window: int = WINDOW,
     min_rate: float = MIN_RATE,
     count_http_status: bool = False,
+    queue_size: int = RETRY_QUEUE,
+    shown_domains: int = SHOWN_DOMAINS,
+    delay: str = DELAY,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Alerts as attempts arrive. Needs the RocksDB state store provider.
+    """Alerts in the order of (ts, attempt_id), as ``block_alerts`` gives them, over any order of arrival.
 
-    Arrival order is that of micro-batches; within one, rows are ordered by time
-    and id. State per key is bounded; what one task holds is one key's share of
-    a micro-batch, so bound the batch where the source is read (``max_files``).
+    An attempt waits until nothing earlier can come any more, which is when the latest time seen is
+    ``delay`` beyond its bucket. Later ones are dropped by the watermark and counted by
+    ``progress.late_rows``. An attempt without a time is dropped. The last attempts of a log wait for its end marker
+    (``end_markers``): a row without ``attempt_id`` and with a time beyond all others.
+
+    Needs the RocksDB state store provider. A task holds one chunk of rows, or one bucket of one key.
     """
-    narrow = classify_attempts(attempts, count_http_status).select(*GROUP, *ORDER, "url", "domain", "is_blocking")
-    return narrow.groupBy(*GROUP).transformWithStateInPandas(
-        statefulProcessor=BlockWatch(threshold, window, min_rate),
-        outputStructType=_ALERT_SCHEMA,
+    narrow = classify_attempts(attempts.filter("ts IS NOT NULL").withWatermark("ts", delay), count_http_status)
+    narrow = narrow.select(*GROUP, *ORDER, F.unix_micros("ts").alias("us"), "domain", "is_blocking")
+    found = narrow.groupBy(*GROUP).transformWithStateInPandas(
+        statefulProcessor=BlockWatch(threshold, window, min_rate, queue_size, shown_domains, bucket_seconds),
+        outputStructType=_ALERT_SCHEMA.replace("ts timestamp", "ts bigint"),
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
+    return found.withColumn("ts", F.timestamp_micros("ts"))
+
+
+def end_markers(attempts: DataFrame, path: str) -> DataFrame:
+    """A stream of attempts together with the markers that ``end_log`` writes below ``path``."""
+    attempts.sparkSession.createDataFrame([], attempts.schema).write.mode("ignore").parquet(path)
+    return attempts.unionByName(attempts.sparkSession.readStream.schema(attempts.schema).parquet(path))
+
+
+def end_log(attempts: DataFrame, path: str) -> None:
+    """Say that all attempts have come: the next run of the stream lets go of what waits."""
+    marker = [F.lit(END).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in attempts.schema]
+    attempts.sparkSession.range(1).select(*marker).write.mode("append").parquet(path)
 
 
 class QueueWatch(StatefulProcessor):

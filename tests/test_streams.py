@@ -6,12 +6,12 @@ from datetime import datetime, timedelta
 
 from test_blocking import SCHEMA, log, walk
 
-from sitemarks.operators.blocking import retry_queue
+from sitemarks.operators.blocking import block_alerts, retry_queue
 from sitemarks.operators.results import detect, failure_results
 from sitemarks.operators.runs import progress_by_window, progress_snapshots, stall_gaps
 from sitemarks.sources.pages import stream_pages
 from sitemarks.streaming import progress
-from sitemarks.streaming.blocking import stream_block_alerts, stream_retry_queue
+from sitemarks.streaming.blocking import end_log, end_markers, stream_block_alerts, stream_retry_queue
 from sitemarks.streaming.detection import run_to_files, stream_detect
 from sitemarks.streaming.inputs import stream_dedup
 
@@ -27,17 +27,66 @@ def drain(stream, tmp_path, name="out"):
     return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / name))
 
 
+def _alerts(spark, tmp_path, files, **parameters):
+    """Alerts of a log that comes file by file, one a micro-batch, and then ends."""
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    attempts = source(spark, tmp_path / "log", SCHEMA)
+    stream = stream_block_alerts(end_markers(attempts, str(tmp_path / "end")), **parameters)
+    first = drain(stream, tmp_path).count()
+    end_log(attempts, str(tmp_path / "end"))
+    return drain(stream, tmp_path).collect(), first
+
+
+def _texts(rows):
+    return {
+        (r.egress, r.attempt_id): (r.ts, r.blocking_failures, r.total_attempts, r.unique_domains, r.affected_domains, r.retry_queue_size)
+        for r in rows
+    }
+
+
 def test_alerts_over_micro_batches(spark, tmp_path):
     rows = log(seed=11, rows=400, egresses=[1, 1, 2], domains=4, blocking_share=0.9)
-    for i in range(0, 400, 130):  # files in time order, one per micro-batch
-        spark.createDataFrame(rows[i : i + 130], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    got = drain(stream_block_alerts(source(spark, tmp_path / "log", SCHEMA)), tmp_path).collect()
+    got, _ = _alerts(spark, tmp_path, [rows[i : i + 130] for i in range(0, 400, 130)])
     assert {
         r.attempt_id: (r.blocking_failures, r.total_attempts, r.unique_domains, r.affected_domains, r.retry_queue_size)
         for r in got
     } == {i: w[1:] for i, w in walk(rows).items() if w[0]}
 
 
+def test_alerts_follow_event_time_over_shuffled_files(spark, tmp_path):
+    rows = [list(r) for r in log(seed=5, rows=600, egresses=[1, 1, 2, None], domains=4, blocking_share=0.9)]
+    rng = random.Random(7)
+    for r in rows:
+        r[3] += (r[2] // 3) * timedelta(seconds=30)  # 100 minutes in all
+        r[4] = None if rng.random() < 0.1 else r[4]
+    late = sorted(rows, key=lambda r: r[3] + timedelta(minutes=rng.uniform(0, 50)))  # up to 50 minutes out of order
+    got, first = _alerts(spark, tmp_path, [late[i : i + 60] for i in range(0, 600, 60)], bucket_seconds=45)
+    expected = _texts(block_alerts(spark.createDataFrame(list(map(tuple, rows)), SCHEMA), rows_per_slice=100).collect())
+    assert len(expected) > 5 and _texts(got) == expected and len(got) == len(expected)
+    assert 0 < first < len(got)  # some came before the end of the log
+
+
+def test_attempts_beyond_the_delay_are_counted(spark, tmp_path):
+    rows = log(seed=3, rows=90, egresses=[1], domains=4, blocking_share=0.9)
+    old = [(*r[:2], 1000 + i, r[3] - timedelta(hours=3), *r[4:]) for i, r in enumerate(rows[:7])]
+    for part in (rows[:60], rows[60:], old):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = stream_block_alerts(source(spark, tmp_path / "log", SCHEMA))
+    query = run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert progress.late_rows(query) == 7
+
+
+def test_one_egress_in_one_file(spark, tmp_path):
+    """Many rows of one key come in one batch; state and tasks hold them by bucket."""
+    rows = log(seed=2, rows=20_000, egresses=[1], domains=5, blocking_share=0.8)
+    r = random.Random(1)
+    shuffled = r.sample(rows, len(rows))
+    got, _ = _alerts(spark, tmp_path, [shuffled])
+    assert _texts(got) == _texts(block_alerts(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_detection_resumes_after_what_is_done(spark, page_table, tmp_path):
     pages = page_table(LOADER, "", LOADER)
     pages.filter("page_id < 2").write.parquet(str(tmp_path / "archive"))
