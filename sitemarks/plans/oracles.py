@@ -539,6 +539,12 @@ FROM network LEFT JOIN range(1, 3) AS t(k) ON k <= page_id % 3""",
         SITES + f", sig(pattern_id, regex) AS (VALUES {', '.join(f'({q(p)}, {rx})' for p, rx in RX.items())})",
         "SELECT page_id, pattern_id FROM sites JOIN sig ON regexp_matches(html, regex, 'i')",
     ),
+    "catalog_index_join": with_(
+        SITES + f""", sig(pattern_id, regex) AS (VALUES {', '.join(f'({q(p)}, {rx})' for p, rx in RX.items())}),
+labels AS (SELECT DISTINCT regexp_extract(url, '://([a-z]+)[.]', 1) AS label FROM pages),
+every AS (SELECT * FROM sig UNION ALL SELECT 'label_' || label, '[ >]' || label || '[a-z]{{2}}[ <]' FROM labels WHERE label <> '')""",
+        "SELECT page_id, pattern_id FROM sites JOIN every ON regexp_matches(html, regex, 'i')",
+    ),
     "catalog_profile": with_(
         SITES + f", sig(pattern_id, regex) AS (VALUES {', '.join(f'({q(p)}, {rx})' for p, rx in RX.items())})",
         "SELECT pattern_id, length(regex) AS regex_length, count(page_id) AS n_pages "

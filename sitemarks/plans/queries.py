@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from sitemarks.functions.html import page_description, page_resources, page_title
 from sitemarks.functions.urls import normalize_url, url_domain
-from sitemarks.operators import blocking, evidence, results, runs, url_prep, validation
+from sitemarks.operators import blocking, evidence, results, runs, signature_index, url_prep, validation
 from sitemarks.plans import derived
 from sitemarks.session import scratch_path
 from sitemarks.sources import network_log
-from sitemarks.sources.catalog import load_catalog
+from sitemarks.sources.catalog import catalog_frame, load_catalog
 from sitemarks.streaming import blocking as stream_blocking
 from sitemarks.streaming import detection as stream_detection
 from sitemarks.streaming import inputs as stream_inputs
@@ -143,6 +143,17 @@ def catalog_theta_join(spark, sf):
     return evidence.catalog_matches(derived.sites(spark, sf), load_catalog())
 
 
+def catalog_index_join(spark, sf):
+    """The built-in patterns and one for every host label of the archive, through the inverted index."""
+    sites = derived.sites(spark, sf)
+    label = F.regexp_extract("url", "://([a-z]+)[.]", 1)
+    own = derived.table(spark, sf, "pages").select(label.alias("label")).filter("label <> ''").distinct()
+    regex = F.concat(F.lit("[ >]"), F.col("label"), F.lit("[a-z]{2}[ <]"))
+    own = own.select(F.concat(F.lit("label_"), F.col("label")).alias("pattern_id"), regex.alias("regex"))
+    known = catalog_frame(spark, load_catalog()).select("pattern_id", "regex")
+    return signature_index.indexed_matches(sites, known.unionByName(own))
+
+
 def catalog_profile(spark, sf):
     return evidence.catalog_profile(derived.sites(spark, sf), load_catalog())
 
@@ -481,6 +492,7 @@ QUERIES = {
     "cookie_evidence": cookie_evidence,
     "evidence_all": evidence_all,
     "catalog_theta_join": catalog_theta_join,
+    "catalog_index_join": catalog_index_join,
     "catalog_profile": catalog_profile,
     "evidence_by_category": evidence_by_category,
     "prefilter_parity": prefilter_parity,
