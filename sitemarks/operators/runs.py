@@ -25,7 +25,7 @@ BACKOFF_SECONDS, BACKOFF_FACTOR, RATE_LIMIT_SECONDS = 5, 3, 120
 TRANSIENT = ("timeout", "connection", "network", "dns", "5")
 
 
-def _counters() -> dict[str, Column]:
+def result_counters() -> dict[str, Column]:
     """Per result row, what it adds to each counter. Detections count on successes only."""
     ok = F.col("error").isNull()
     return {
@@ -46,7 +46,7 @@ def run_statistics(results: DataFrame, total_urls: int | None = None, elapsed_se
     ids need no second evaluation of the detection. ``total_urls`` defaults to
     the number of results, ``elapsed_seconds`` to the span of their times.
     """
-    counters = _counters()
+    counters = result_counters()
     ids = F.when(F.col("error").isNull(), F.col("hub_ids"))
     rows = results.select(*[c.alias(n) for n, c in counters.items()], "fetched_at", F.posexplode_outer(ids).alias("_pos", "_id"))
     once = F.coalesce("_pos", F.lit(0)) == 0
@@ -60,10 +60,14 @@ def run_statistics(results: DataFrame, total_urls: int | None = None, elapsed_se
         F.count("_id").alias("unique_hub_ids"),
         (F.unix_micros(F.max("_last")) - F.unix_micros(F.min("_first"))).alias("_micros"),
     )
+    return with_rates(df, total_urls, elapsed_seconds)
+
+
+def with_rates(counts: DataFrame, total_urls: int | None, elapsed_seconds: float | None) -> DataFrame:
+    """Counters with ``_micros``, the span of the results' times, to statistics."""
     total = F.col("completed") if total_urls is None else F.lit(total_urls)
     elapsed = F.coalesce(F.col("_micros"), F.lit(0)) / 1e6 if elapsed_seconds is None else F.lit(float(elapsed_seconds))
-    df = df.withColumns({"total_urls": total.cast("bigint"), "elapsed_seconds": elapsed}).drop("_micros")
-    return _with_rates(df)
+    return _with_rates(counts.withColumns({"total_urls": total.cast("bigint"), "elapsed_seconds": elapsed}).drop("_micros"))
 
 
 def _with_rates(df: DataFrame) -> DataFrame:

@@ -312,8 +312,7 @@ _COUNTS = {
     "email_count": "email_tracking",
     **{f"{level}_count": f"confidence = '{level}'" for level in ("definitive", "strong", "moderate", "weak")},
 }
-STATS = RUN + f""",
-counts AS (
+STATS_OF_RUN = f"""counts AS (
   SELECT count(*) AS completed, count(*) FILTER (error IS NULL) AS success_count,
          count(*) FILTER (error IS NOT NULL) AS failure_count,
          {', '.join(f'count(*) FILTER (error IS NULL AND ({c})) AS {n}' for n, c in _COUNTS.items())},
@@ -325,6 +324,7 @@ stats AS (
          CAST(total_urls - completed AS DOUBLE) / (CAST(completed AS DOUBLE) / elapsed_seconds) AS eta_seconds,
          CAST(completed AS DOUBLE) / total_urls * 100 AS percentage
   FROM counts)"""
+STATS = RUN + ",\n" + STATS_OF_RUN
 
 _CLOCK = (
     "CASE WHEN {s} >= 3600 THEN format('{{:d}}:{{:02d}}:{{:02d}}', {s} // 3600, {s} % 3600 // 60, {s} % 60) "
@@ -621,6 +621,18 @@ SELECT original_url, CASE WHEN page_id % 6 = 0 THEN CAST(to_json({'original_url'
 FROM sites""",
     ),
     "run_statistics": with_(STATS, "SELECT * FROM stats"),
+    "stream_outputs": with_(
+        SITES,
+        """
+SELECT original_url, count(*) AS jsonl, count(*) FILTER (page_id % 10 = 9) AS failures, count(*) FILTER (page_id % 10 <> 9) AS completed
+FROM sites GROUP BY original_url""",
+    ),
+    "stream_statistics": with_(
+        ",".join([STATIC, _summary(), RESULTS]) + f""",
+run AS (SELECT * EXCLUDE (error), CASE WHEN page_id % 10 = 9 THEN 'no answer' END AS error FROM results),
+{STATS_OF_RUN.replace('FROM evidence', 'FROM evidence WHERE page_id % 10 <> 9')}""",
+        "SELECT * FROM stats",
+    ),
     "run_status_json": STATUS,
     "confidence_distribution": with_(
         RUN, "SELECT confidence, count(*) AS n_results FROM run WHERE error IS NULL GROUP BY confidence"

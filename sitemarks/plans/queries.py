@@ -21,6 +21,7 @@ from sitemarks.streaming import blocking as stream_blocking
 from sitemarks.streaming import detection as stream_detection
 from sitemarks.streaming import inputs as stream_inputs
 from sitemarks.streaming import progress as stream_progress
+from sitemarks.streaming import sinks as stream_sinks
 
 MAX_PER_DOMAIN = 2
 SNAPSHOT_EVERY = 100
@@ -458,7 +459,34 @@ def stream_retry_queue(spark, sf):
 
 def stream_dedup(spark, sf):
     urls = derived.derive_attempts(_stream(spark, sf, "events")).select("ts", "original_url")
-    return _drained(stream_inputs.stream_dedup(urls, within="60 days"), "stream-dedup").select("original_url")
+    with _rocksdb(spark):
+        return _drained(stream_inputs.stream_dedup(urls), "stream-dedup").select("original_url")
+
+
+def _sunk(spark, sf) -> str:
+    """The folder of a run into all sinks; every tenth page's fetch counts as failed."""
+    rows = stream_detection.stream_detect(derived.derive_sites(_stream(spark, sf, "pages")))
+    rows = rows.withColumn("error", F.when(F.col("page_id") % 10 == 9, "no answer"))
+    folder, checkpoint = scratch_path(spark, "stream-sinks"), scratch_path(spark, "stream-sinks-state")
+    stream_sinks.run_to_sinks(rows, folder, checkpoint).awaitTermination()
+    return folder
+
+
+def stream_outputs(spark, sf):
+    """Per URL how often it is in each committed output of the run."""
+    folder = _sunk(spark, sf)
+    parts = []
+    for output in (stream_sinks.LINES, stream_sinks.FAILED, stream_sinks.COMPLETED):
+        rows = stream_sinks.read_committed(spark, folder, output)
+        url = F.col("value") if output == stream_sinks.COMPLETED else F.get_json_object("value", "$.original_url")
+        parts.append(rows.select(url.alias("original_url"), F.lit(output).alias("output")))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    times = lambda name: F.count_if(F.col("output") == name).alias(name)
+    return every.groupBy("original_url").agg(*[times(n) for n in (stream_sinks.LINES, stream_sinks.FAILED, stream_sinks.COMPLETED)])
+
+
+def stream_statistics(spark, sf):
+    return stream_sinks.committed_statistics(spark, _sunk(spark, sf))
 
 
 def stream_progress_query(spark, sf):
@@ -527,6 +555,8 @@ QUERIES = {
     "stream_block_alerts": stream_block_alerts,
     "stream_retry_queue": stream_retry_queue,
     "stream_dedup": stream_dedup,
+    "stream_outputs": stream_outputs,
+    "stream_statistics": stream_statistics,
     "stream_progress": stream_progress_query,
     "stream_stalls": stream_stalls,
 }

@@ -4,16 +4,19 @@ import random
 import time
 from datetime import datetime, timedelta
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 from test_blocking import SCHEMA, log, walk
 
 from sitemarks.operators.blocking import block_alerts, retry_queue
-from sitemarks.operators.results import detect, failure_results
-from sitemarks.operators.runs import progress_by_window, progress_snapshots, stall_gaps
+from sitemarks.operators.results import detect, failure_results, json_results
+from sitemarks.operators.runs import progress_by_window, progress_snapshots, run_statistics, stall_gaps
+from sitemarks.operators.url_prep import dedup_urls
 from sitemarks.sources.pages import stream_pages
-from sitemarks.streaming import progress
+from sitemarks.streaming import progress, sinks
 from sitemarks.streaming.blocking import end_log, end_markers, stream_block_alerts, stream_retry_queue
 from sitemarks.streaming.detection import run_to_files, stream_detect
-from sitemarks.streaming.inputs import stream_dedup
+from sitemarks.streaming.inputs import stream_dedup, stream_dedup_for
 
 LOADER = '<script id="hs-script-loader" src="//js.hs-scripts.com/906713.js"></script>'
 
@@ -197,3 +200,76 @@ def test_snapshots_of_runs_without_a_name(spark, page_table):
     runs = runs.withColumn("run_id", F.when(F.col("page_id") > 3, "r")).withColumn("fetched_at", F.when(F.col("page_id") != 1, F.col("fetched_at")))
     got = progress_snapshots(runs, every=2, total_urls=100).collect()
     assert sorted((r.run_id or "", r.completed, r.unique_hub_ids) for r in got) == [("", 2, 1), ("", 4, 1), ("r", 2, 1), ("r", 3, 1)]
+
+
+def test_dedup_without_a_bound_loses_nothing(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(datetime(2024, 5, 1) + timedelta(days=rng.randrange(400)), rng.choice([None, *[f"u{k}" for k in range(60)]])) for _ in range(300)]
+    for i in range(0, 300, 50):
+        spark.createDataFrame(rows[i : i + 50], "ts timestamp, original_url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "urls"))
+    stream = stream_dedup(source(spark, tmp_path / "urls", "ts timestamp, original_url string"))
+    got = [r.original_url for r in drain(stream, tmp_path).collect()]
+    batch = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(rows)], "input_pos int, original_url string")
+    assert sorted(got, key=str) == sorted((r.original_url for r in dedup_urls(batch).collect()), key=str)
+
+
+def test_dedup_that_forgets(spark, tmp_path):
+    times = [datetime(2024, 5, 1, 10, 5), datetime(2020, 5, 1), datetime(2024, 5, 1, 10, 1), datetime(2024, 5, 2)]
+    schema, log_path = "ts timestamp, original_url string", str(tmp_path / "urls")
+
+    def once(name, seconds):
+        # One batch a run: a stream with processing time has no last batch by itself.
+        stream = stream_dedup_for(spark.readStream.schema(schema).parquet(log_path), seconds)
+        writer = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state"))
+        writer.trigger(once=True).start().awaitTermination(90)
+        return sorted(((r.original_url, r.ts) for r in spark.read.schema(schema).parquet(str(tmp_path / name)).collect()), key=str)
+
+    spark.createDataFrame([(times[0], "a"), (times[2], "a"), (times[0], "b"), (times[0], None)], schema).write.mode("append").parquet(log_path)
+    first = sorted([("a", times[2]), ("b", times[0]), (None, times[0])], key=str)
+    assert once("long", 3600) == first and once("short", 0.001) == first
+    spark.createDataFrame([(times[1], "a"), (times[3], "c")], schema).write.mode("append").parquet(log_path)  # one of them long past
+    assert once("long", 3600) == sorted([*first, ("c", times[3])], key=str)
+    assert once("short", 0.001) == sorted([*first, ("c", times[3]), ("a", times[1])], key=str)
+
+
+def test_three_sinks_after_a_stop_between_any_two(spark, page_table, tmp_path, monkeypatch):
+    """A run that breaks off after each of the outputs in turn, and goes on: every row once, counters as in one pass."""
+    pages = page_table(*[{"original_url": f"u{i}.com", "html": LOADER if i % 2 else ""} for i in range(12)])
+    for i in range(0, 12, 4):
+        pages.filter(f"page_id >= {i} AND page_id < {i + 4}").coalesce(1).write.mode("append").parquet(str(tmp_path / "archive"))
+    stream = stream_detect(stream_pages(spark, str(tmp_path / "archive"), max_files=1))
+    stream = stream.withColumn("error", F.when(F.col("page_id") % 3 == 0, "no answer"))
+    place, stops = sinks._place, iter([sinks.LINES, sinks.COMPLETED, sinks.COMMITS, sinks.FAILED])
+    stop = next(stops)
+
+    def breaking(folder, output, batch_id):
+        nonlocal stop
+        if output == stop:
+            stop = next(stops, None)
+            raise RuntimeError("broken off here")
+        return place(folder, output, batch_id)
+
+    monkeypatch.setattr(sinks, "_place", breaking)
+    folder, broken = str(tmp_path / "out"), 0
+    for _ in range(5):
+        try:
+            sinks.run_to_sinks(stream, folder, str(tmp_path / "state")).awaitTermination()
+        except StreamingQueryException as error:
+            assert "broken off here" in str(error)
+            broken += 1
+    assert broken == 4
+    results = sinks.read_committed(spark, folder, sinks.RESULTS, stream.schema)
+    whole = detect(pages).withColumn("error", F.when(F.col("page_id") % 3 == 0, "no answer"))
+    assert sorted(map(str, results.collect())) == sorted(map(str, whole.collect()))
+    texts = lambda output: sorted(r.value for r in sinks.read_committed(spark, folder, output).collect())
+    assert texts(sinks.LINES) == sorted(r.value for r in json_results(whole).collect())
+    assert texts(sinks.FAILED) == sorted(r.value for r in json_results(whole.filter("error IS NOT NULL")).collect())
+    assert texts(sinks.COMPLETED) == sorted(f"u{i}.com" for i in range(12) if i % 3)
+    assert sinks.committed_statistics(spark, folder).first().asDict() == run_statistics(whole).first().asDict()
+    # A batch that is written but not committed is not read.
+    sinks.write_batch(whole, 99, folder)
+    assert sinks.read_committed(spark, folder, sinks.COMPLETED).count() == 16
+    import shutil
+
+    shutil.rmtree(f"{folder}/{sinks.COMMITS}/batch_id=99")
+    assert texts(sinks.COMPLETED) == sorted(f"u{i}.com" for i in range(12) if i % 3)
