@@ -12,7 +12,7 @@ input. So neither a frequent id nor repeated rows fall into one partition togeth
 Defined results: a null text has size 1 (no bytes, one separator) and the checksum of
 no bytes; null ids come first; repeated rows get places of their own; fewer rows than
 shards leave shards empty; an empty table gives an empty table; extra columns are left
-out by ``assign`` and kept by ``shard_rows``.
+out by ``assign`` and kept by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -45,13 +45,22 @@ def cut(start: Column, size: Column, total: Column, shards: int) -> Column:
 
 
 def assign(
-    docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", rows_per_part: int = ROWS_PER_PART
+    docs: DataFrame,
+    shards: int = SHARDS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    rows_per_part: int = ROWS_PER_PART,
+    place: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: one row per input row; slots count from 0 in a shard."""
+    """``doc_id, size, text_crc32, shard, slot, place``: one row per input row; slots count from 0 in a shard.
+
+    ``place`` tells rows apart that are equal otherwise: by default their place in the scan.
+    """
+    place = F.monotonically_increasing_id() if place is None else place
     spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), text_size(text).alias("size"),
-        F.crc32(text_of(text)).alias("text_crc32"), F.monotonically_increasing_id().alias("place"),
+        F.crc32(text_of(text)).alias("text_crc32"), place.alias("place"),
     )
     # Texts are read once: from here on a row is four numbers. The written place stays what it is.
     sized = written(rows, "shard-sizes")
@@ -85,10 +94,12 @@ def shard_sizes(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> None:
-    """The rows themselves, as one folder ``shard=N`` each, in slot order within each file.
+    """The rows themselves, as one folder ``shard=N`` each, in slot order within each file; every row once, repeated ones too.
 
-    ``docs`` must be unique by ``doc_id`` here, as rows are found again by it; ``assign`` has no such need.
+    The rows are written with their places first, so that each is found again by a number of its own.
+    Columns named ``shard`` and ``slot`` are replaced.
     """
-    found = assign(docs, shards, doc_id, text).select(F.col("doc_id").alias("_llm_id"), "shard", "slot")
-    joined = docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_llm_id"))).drop("_llm_id")
+    rows = written(docs.drop("shard", "slot").withColumn("_llm_place", F.monotonically_increasing_id()), "shard-rows")
+    found = assign(rows, shards, doc_id, text, place=F.col("_llm_place")).select(F.col("place").alias("_llm_place"), "shard", "slot")
+    joined = rows.join(found, "_llm_place").drop("_llm_place")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
