@@ -19,7 +19,8 @@ by different hashes. Those that linked to a centre are one component, so they ne
 comparison with each other. They are compared with the members that went on, but for
 pairs that cannot matter: both in one component already, or at distances (1 - Jaccard,
 a metric) from the centre that differ by more than a link's. So two members of a key
-that are similar are always in one component.
+that are similar are always in one component. Before any two lines are compared, the sizes of
+their sets and the first hashes of their arcs must allow the similarity asked for.
 
 Defined results: null and empty texts have no lines with a word and stay as they are;
 rows with equal doc_id and text count as one document, and the same lines go from each;
@@ -107,8 +108,35 @@ def _candidates(banded: DataFrame) -> DataFrame:
     return banded.join(least, "key").filter("node <> centre").select("key", "node", "centre")
 
 
+def _marks(shingle: int) -> list[Column]:
+    """Two steps to ``_m``: ``size`` of a line's set, and ``firsts``, the upper halves of the first hashes of its arcs."""
+    arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
+    firsts = f"transform(filter(h, (x, i) -> not {arc('x')} <=> {arc('get(h, i - 1)')}), x -> cast(shiftright(x, 32) as int))"
+    own = F.array(F.array_distinct(shingle_hashes("line", shingle))).alias("_h")
+    return [own, F.expr(f"transform(_h, h -> struct(size(h) as size, {firsts} as firsts))[0]").alias("_m")]
+
+
+def _close(a: str, b: str, least: float) -> Column:
+    """Whether two sizes allow this similarity; rounding has room."""
+    return F.least(a, b) >= F.lit(least - 1e-9) * F.greatest(a, b)
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct ``a, b`` whose sizes and arcs allow this similarity; loses none.
+
+    Where two lines have different first hashes in an arc, the smaller one is in one set only. So their sets differ by
+    at least as many hashes as there are such arcs, which a similarity s allows up to (1 - s) / (1 + s) of both sizes.
+    """
+    left = texts.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("firsts").alias("fa"))
+    right = texts.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("firsts").alias("fb"))
+    apart = F.greatest(F.size("fa"), F.size("fb")) - F.size(F.array_intersect("fa", "fb"))
+    allowed = F.lit((1 - least) / (1 + least) + 1e-9) * (F.col("na") + F.col("nb"))
+    return pairs.join(left, "a").join(right, "b").filter(_close("na", "nb", least) & (apart <= allowed)).select("a", "b")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """``a, b, jaccard``: those of the distinct ``a, b`` whose shingle sets have at least this similarity."""
+    pairs = written(_possible(pairs, texts, least), "line-pairs")
     # Lines travel, not their sets, which are larger and do not compress.
     left = texts.select(F.col("node").alias("a"), F.col("line").alias("u"))
     right = texts.select(F.col("node").alias("b"), F.col("line").alias("v"))
@@ -135,7 +163,7 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return dealt.join(every, [*on, "block"])
 
 
-def _across(stars: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def _across(stars: DataFrame, links: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: pairs of a key, one linked to its centre and one not, that may link and are in two components so far."""
     linked = F.col("jaccard") >= F.lit(similarity)
     roots = components(links)
@@ -145,10 +173,12 @@ def _across(stars: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
         .join(roots.select(F.col("node").alias("centre"), F.col("root").alias("its")), "centre", "left")
         .filter(~F.coalesce(F.col("own") == F.col("its"), F.lit(False)))
         .select("key", "centre", F.col("node").alias("other"), F.col("jaccard").alias("far"))
+        .join(sizes.select(F.col("node").alias("other"), F.col("size").alias("size2")), "other")
     )
     # A link is no longer than 1 - similarity, so the distances to the centre differ by no more; rounding has room.
     may = F.col("jaccard") - F.col("far") <= F.lit(1 - similarity + 1e-9)
-    return _met(stars.filter(linked), beyond, ["key", "centre"]).filter(may).select(*_unordered("node", "other")).distinct()
+    near = stars.filter(linked).join(sizes, "node")
+    return _met(near, beyond, ["key", "centre"]).filter(may & _close("size", "size2", similarity)).select(*_unordered("node", "other")).distinct()
 
 
 def line_links(
@@ -173,7 +203,10 @@ def line_links(
     banded = written(banded, "line-bands")
     nodes = banded.select("node").distinct()
     lines = _lines(docs).select(_node().alias("node"), "line").join(nodes, "node", "left_semi")
-    texts = written(lines.groupBy("node").agg(F.first("line").alias("line")), "line-texts")
+    one = lines.groupBy("node").agg(F.first("line").alias("line"))
+    hashed, marks = _marks(shingle)
+    texts = written(one.select("node", "line", hashed).select("node", "line", marks).select("node", "line", "_m.*"), "line-texts")
+    sizes = texts.select("node", "size")
 
     # What is farther from a centre than two links cannot link to what is linked to the centre.
     least = max(0.0, 2 * similarity - 1 - 1e-9)
@@ -193,13 +226,15 @@ def line_links(
         if banded.isEmpty():
             break
     else:
-        pairs = _met(banded, banded.withColumnRenamed("node", "other"), ["key"]).filter("node < other")
+        sized = written(banded.join(sizes, "node"), "line-bands")
+        other = sized.select("key", F.col("node").alias("other"), F.col("size").alias("size2"))
+        pairs = _met(sized, other, ["key"]).filter((F.col("node") < F.col("other")) & _close("size", "size2", similarity))
         pairs = pairs.select(*_unordered("node", "other")).distinct()
         found.append(written(_compared(pairs, texts, shingle, similarity).select("a", "b"), "line-links"))
     links = _union(found).distinct()
     if not judged:
         return links
-    across = written(_across(_union(judged), links, similarity), "line-pairs")
+    across = written(_across(_union(judged), links, sizes, similarity), "line-pairs")
     if across.isEmpty():
         return links
     return links.unionByName(_compared(across, texts, shingle, similarity).select("a", "b")).distinct()
