@@ -46,7 +46,7 @@ from sitemarks.session import written
 
 SHINGLE = 3
 PERCENT = 90
-ROUNDS = 2
+ROUNDS = 4
 #: Documents of a chunk that hold a shingle, from which on it is counted.
 LOCAL = 2
 #: A chunk: so many documents, or shingles.
@@ -285,15 +285,26 @@ def _across(tokens: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     ``own`` has ``gid, root``: the components of a group's members. A list is first reduced to its components.
     """
     rows = tokens.join(own, "gid")
-    held = rows.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = rows.groupBy("token", "root").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("groups"), F.min(F.struct("gid", "n", "pos")).alias("g")
+    )
     mixed = held.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first < last").select("token")
     held = written(held.join(mixed, "token", "left_semi"), "join-held")
-    other = held.select("token", F.col("root").alias("root2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    one = held.select("token", "root", "low", "high", "groups", *[F.col(f"g.{f}").alias(t) for f, t in (("gid", "a"), ("n", "na"), ("pos", "pa"))])
+    two = held.select(
+        "token", F.col("root").alias("root2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("groups").alias("groups2"),
+        *[F.col(f"g.{f}").alias(t) for f, t in (("gid", "b"), ("n", "nb"), ("pos", "pb"))],
+    )
     close = (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
-    roots = held.join(other, "token").filter((F.col("root") < F.col("root2")) & close).select("token", "root", "root2")
+    # Where both components have one group in the list, that pair is judged at once.
+    single = (F.col("groups") == 1) & (F.col("groups2") == 1)
+    met = one.join(two, "token").filter((F.col("root") < F.col("root2")) & close & (~single | _may(percent)))
+    met = written(met.select("token", "root", "root2", "a", "b", single.alias("single")), "join-roots")
+    roots = met.filter("NOT single").select("token", "root", "root2")
     left = _side(rows, "a", "token", "root")
     right = _side(rows.withColumnRenamed("root", "root2"), "b", "token", "root2")
-    met = roots.join(left, ["token", "root"]).join(right, ["token", "root2"]).filter(_may(percent) & (F.col("a") != F.col("b")))
+    wide = roots.join(left, ["token", "root"]).join(right, ["token", "root2"]).filter(_may(percent))
+    met = met.filter("single").select("a", "b").unionByName(wide.select("a", "b")).filter("a <> b")
     inside = own.groupBy("gid").agg(F.count("*").alias("roots")).filter("roots > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     return _ordered_pairs(met).unionByName(inside)
 
