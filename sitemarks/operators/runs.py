@@ -217,7 +217,7 @@ def progress_snapshots(
     ``results`` carries a run column and each original URL once per run (inputs are
     deduplicated before a run). Completion order is ``fetched_at``, then the original URL.
     """
-    measures = _counters()
+    measures = result_counters()
     order = ["fetched_at", "original_url"]
     # Detection is evaluated once: all steps below read this narrow written table.
     narrow = written(
