@@ -396,10 +396,13 @@ def retry_queue(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, all of it in one micro-batch.
+
+    A table at rest has no order of arrival, and after a first part the watermark would drop older rows of a second.
+    """
     schema = derived.table(spark, sf, name).schema
-    # One file at a time: a keyed operator holds a key's share of one micro-batch.
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
-    return reader.parquet(sf)
+    # As a pattern the path may name one file or a folder of files; a plain one must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 def _drained(stream: DataFrame, name: str) -> DataFrame:

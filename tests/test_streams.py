@@ -273,3 +273,17 @@ def test_three_sinks_after_a_stop_between_any_two(spark, page_table, tmp_path, m
 
     shutil.rmtree(f"{folder}/{sinks.COMMITS}/batch_id=99")
     assert texts(sinks.COMPLETED) == sorted(f"u{i}.com" for i in range(12) if i % 3)
+
+
+def test_wired_streams_read_tables_of_many_files(spark, tmp_path):
+    """A table may be a folder; its files may be in any order of time, and no row of them is late."""
+    from sitemarks.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for table, key in (("pages", "page_id"), ("events", "event_id")):
+        rows = spark.read.parquet(f"{sf}/{table}.parquet")
+        for part in (2, 0, 1):
+            rows.filter(F.col(key) % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{table}.parquet"))
+    for name in ("stream_outputs", "stream_detection", "stream_progress", "stream_retry_queue"):
+        whole, parts = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
+        assert whole and parts == whole, name
