@@ -13,6 +13,7 @@ the results nor another pass.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,17 +68,26 @@ def run_to_sinks(results: DataFrame, folder: str, checkpoint: str, pretty: bool
     )
 
 
+def _read(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
+    """What was written there; no rows where nothing was, as after a run over a source without files."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def commits(spark: SparkSession, folder: str) -> DataFrame:
     """One row per committed batch, with its counters."""
-    return spark.read.schema(f"{_marker_ddl()}, {BATCH} bigint").parquet(f"{folder}/{COMMITS}")
+    return _read(spark, f"{folder}/{COMMITS}", f"{_marker_ddl()}, {BATCH} bigint")
 
 
 def read_committed(spark: SparkSession, folder: str, output: str, schema: StructType | str = "value string") -> DataFrame:
     """An output without the batches that are not committed. Text outputs have one column, ``value``."""
     schema = spark.createDataFrame([], schema).schema
     own = StructType([*schema.fields, StructField(BATCH, LongType())])
-    reader = spark.read.schema(own)
-    rows = reader.parquet(f"{folder}/{output}") if output in (RESULTS, IDS) else reader.text(f"{folder}/{output}")
+    rows = _read(spark, f"{folder}/{output}", own, "parquet" if output in (RESULTS, IDS) else "text")
     return rows.join(commits(spark, folder).select(BATCH), BATCH, "left_semi").select(*schema.fieldNames())
 
 

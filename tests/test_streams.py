@@ -287,3 +287,14 @@ def test_wired_streams_read_tables_of_many_files(spark, tmp_path):
     for name in ("stream_outputs", "stream_detection", "stream_progress", "stream_retry_queue"):
         whole, parts = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
         assert whole and parts == whole, name
+
+
+def test_nothing_committed_is_no_rows(spark, page_table, tmp_path):
+    """A run over a source without files commits nothing; its readers say so, with the counters of no results."""
+    (tmp_path / "archive").mkdir()
+    stream = stream_detect(stream_pages(spark, str(tmp_path / "archive")))
+    sinks.run_to_sinks(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    for output, schema in ((sinks.RESULTS, stream.schema), (sinks.LINES, "value string")):
+        assert sinks.read_committed(spark, str(tmp_path / "out"), output, schema).collect() == []
+    whole = run_statistics(detect(page_table("")).limit(0).withColumn("error", F.lit(None).cast("string")))
+    assert sinks.committed_statistics(spark, str(tmp_path / "out")).first().asDict() == whole.first().asDict()
