@@ -4,16 +4,17 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_blocking import SCHEMA, log, walk
 
-from sitemarks.operators.blocking import block_alerts, retry_queue
+from sitemarks.operators.blocking import alert_rows, block_alerts, retry_queue
 from sitemarks.operators.results import detect, failure_results, json_results
 from sitemarks.operators.runs import progress_by_window, progress_snapshots, run_statistics, stall_gaps
 from sitemarks.operators.url_prep import dedup_urls
 from sitemarks.sources.pages import stream_pages
-from sitemarks.streaming import progress, sinks
+from sitemarks.streaming import blocking, progress, sinks
 from sitemarks.streaming.blocking import end_log, end_markers, stream_block_alerts, stream_retry_queue
 from sitemarks.streaming.detection import run_to_files, stream_detect
 from sitemarks.streaming.inputs import stream_dedup, stream_dedup_for
@@ -298,3 +299,123 @@ def test_nothing_committed_is_no_rows(spark, page_table, tmp_path):
         assert sinks.read_committed(spark, str(tmp_path / "out"), output, schema).collect() == []
     whole = run_statistics(detect(page_table("")).limit(0).withColumn("error", F.lit(None).cast("string")))
     assert sinks.committed_statistics(spark, str(tmp_path / "out")).first().asDict() == whole.first().asDict()
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Map(dict):
+    calls = 0
+
+    def getValue(self, place):
+        self.calls += 1
+        return self[place]
+
+    def updateValue(self, place, value):
+        self.calls += 1
+        self[place] = value
+
+    def removeKey(self, place):
+        self.calls += 1
+        del self[place]
+
+    def keys(self):
+        self.calls += 1 + len(self)
+        return iter(list(super().keys()))
+
+
+class _Handle:
+    """State of one key and its timers, as a processor sees them."""
+
+    def __init__(self):
+        self.map, self.timers, self.registered = _Map(), set(), 0
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def getMapState(self, name, key, value):
+        return self.map
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.registered += 1
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def _watched(batches):
+    """The alerts of one key's micro-batches of frames, each followed by the watermark given with it."""
+    watch, handle, found = blocking.BlockWatch(5, 20, 0.6, 50, 5, 60), _Handle(), []
+    watch.init(handle)
+    for frames, watermark in batches:
+        list(watch.handleInputRows(("r", "1"), iter(frames), None))
+        for at in sorted(t for t in handle.timers if t <= watermark):
+            found += list(watch.handleExpiredTimer(("r", "1"), _Watermark(watermark), _Watermark(at)))
+            handle.timers.remove(at)
+    assert not handle.map or min(handle.timers) <= (min(us for c in handle.map.values() for us in c[0]) // 60_000_000 + 1) * 60_000
+    return pd.concat(found, ignore_index=True), handle
+
+
+def _attempts(n, seconds):
+    """Attempts at random times, some dense hours among sparse days, in no order; ids beyond what a double holds."""
+    rng = random.Random(n)
+    times = sorted(rng.randrange(seconds) if i % 2 else 7200 + rng.randrange(5400) for i in range(n))
+    rows = pd.DataFrame({
+        "us": [1_704_067_200_000_000 + t * 1_000_000 for t in times],
+        "attempt_id": [2**60 + i for i in range(n)],
+        "is_blocking": [rng.random() < 0.85 for _ in range(n)],
+        "domain": [rng.choice(["a", "b", "c", None]) for _ in range(n)],
+        "ends": [False] * n,
+    })
+    rows["domain"] = rows["domain"].astype(object).where(rows["domain"].notna(), None)
+    whole, _ = alert_rows(rows.rename(columns={"us": "ts"}), 0, 0, 0, 5, 20, 0.6)
+    return rows, whole
+
+
+def _same(got, whole):
+    columns = list(whole.columns)
+    return got[columns].astype(str).values.tolist() == whole.astype(str).values.tolist() and len(whole) > 20
+
+
+def test_work_on_waiting_rows_grows_with_them_not_with_their_square():
+    for n in (2_000, 8_000):
+        rows, whole = _attempts(n, 30 * 86_400)
+        shuffled = rows.sample(frac=1, random_state=1)
+        got, handle = _watched([([shuffled[i : i + 1000] for i in range(0, n, 1000)], 0), ([], 4_000_000_000_000)])
+        assert _same(got, whole) and not handle.map
+        # An entry is written, listed, read and removed; a bucket of its own for each row would make 4 n and, listed for each timer, n * n.
+        assert handle.map.calls < n + 4 * 720 + 1 and handle.registered <= 1
+
+
+def test_watermarks_within_slots_let_go_of_whole_buckets(monkeypatch):
+    """Batches of rows up to two hours out of order; sparse and dense entries of one slot, few rows held at a time."""
+    monkeypatch.setattr(blocking, "HELD_ROWS", 150)
+    rows, whole = _attempts(6_000, 86_400)
+    rng = random.Random(9)
+    late = rows.iloc[sorted(range(len(rows)), key=lambda i: rows["us"].iloc[i] + rng.uniform(0, 7_200e6))]
+    batches, top = [], 0
+    for i in range(0, len(late), 400):
+        part = late[i : i + 400]
+        top = max(top, int(part["us"].max()))
+        batches.append(([part[:130], part[130:]], top // 1000 - 7_200_000))
+    got, handle = _watched([*batches, ([], 4_000_000_000_000)])
+    assert _same(got, whole) and not handle.map
