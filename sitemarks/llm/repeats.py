@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -45,8 +46,8 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _PAIR = np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def words_of(text: pa.Buffer | None) -> list[bytes]:
+    return [] if text is None else bytes(text).split()
 
 
 class _Names(dict):
@@ -138,9 +139,9 @@ def keys_of(names: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np
     return keys
 
 
-def windows_of(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The 80-bit hashes of all windows: 64 bits and 16 bits."""
-    starts = np.arange(max(0, len(names) - window + 1))
+def windows_of(names: np.ndarray, window: int = WINDOW, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The 80-bit hashes of all windows, or of those that begin at ``starts``: 64 bits and 16 bits."""
+    starts = np.arange(max(0, len(names) - window + 1)) if starts is None else starts
     one, two = (Ranges(names, b).of(starts, starts + window) for b in _BASES)
     return one.view(np.int64), (two >> np.uint64(48)).astype(np.int16, casting="unsafe")
 
@@ -174,45 +175,45 @@ class Texts:
 _WORDS = 100_000
 
 
-def _chunks(batches: Iterator[pd.DataFrame], column: str, read) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Rows and their words, about ``_WORDS`` words at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: str, read) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows and their words, about ``_WORDS`` words at a time; of a batch only these are Python objects."""
     for batch in batches:
         at, size, texts = 0, 0, []
         for k, value in enumerate(batch[column], 1):
-            texts.append(read(value))
+            texts.append(read(value.as_buffer()))
             size += len(texts[-1])
             if size >= _WORDS or k == len(batch):
-                yield batch.iloc[at:k], texts
+                yield batch.slice(at, k - at), texts
                 at, size, texts = k, 0, []
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id, body``: texts compressed, so that the joins by id move less."""
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=3)
-        return pd.Series([None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+        return pa.array([None if t is None else pack.compress(t) for t in (x.as_buffer() for x in texts)], pa.binary())
 
     return docs.select("doc_id", packed("text").alias("body"))
 
 
-def _unpacked(body: bytes | None) -> list[bytes]:
+def _unpacked(body: pa.Buffer | None) -> list[bytes]:
     return [] if body is None else zstandard.ZstdDecompressor().decompress(body).split()
 
 
 def _shared_keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """``doc_id, keys``: the keys that a document shares with one of another id."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words in _chunks(batches, "text", words_of):
             texts = Texts(words, window)
             keys, text = texts.keys(window, rounds), texts.text[texts.starts]
             # Neighbouring windows mostly share their key.
             new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))[: len(keys)]
-            yield pd.DataFrame({"key": keys[new], "doc_id": rows["doc_id"].to_numpy(np.int64)[text[new]]})
+            yield pa.RecordBatch.from_pydict({"key": keys[new], "doc_id": rows["doc_id"].to_numpy()[text[new]]})
 
-    rows = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").mapInPandas(emit, "key long, doc_id long")
+    rows = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").mapInArrow(emit, "key long, doc_id long")
     key = Window.partitionBy("key")
     shared = rows.select("*", (F.min("doc_id").over(key) < F.max("doc_id").over(key)).alias("more")).filter("more")
     return shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
@@ -221,17 +222,17 @@ def _shared_keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
 def _repeated(packed: DataFrame, shared: DataFrame, window: int, rounds: int) -> DataFrame:
     """``doc_id, gone``: the windows of a document that begin in one of a smaller id, too, by the first 64 bits of their hashes."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words in _chunks(batches, "body", _unpacked):
             texts = Texts(words, window)
             # A key that two documents share is in the list of each that has it.
-            known = np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]])
+            known = rows["keys"].flatten().to_numpy()
             starts = texts.starts[np.isin(texts.keys(window, rounds), known)]
-            one, two = windows_of(texts.names, window)
-            frame = pd.DataFrame({"a": one[starts], "b": two[starts], "doc_id": rows["doc_id"].to_numpy(np.int64)[texts.text[starts]]})
-            yield frame.drop_duplicates()  # a document's window once
+            one, two = windows_of(texts.names, window, starts)
+            frame = pd.DataFrame({"a": one, "b": two, "doc_id": rows["doc_id"].to_numpy()[texts.text[starts]]})
+            yield pa.RecordBatch.from_pandas(frame.drop_duplicates(), preserve_index=False)  # a document's window once
 
-    rows = packed.join(shared, "doc_id").select("doc_id", "body", "keys").mapInPandas(emit, "a long, b short, doc_id long")
+    rows = packed.join(shared, "doc_id").select("doc_id", "body", "keys").mapInArrow(emit, "a long, b short, doc_id long")
     least = F.min("doc_id").over(Window.partitionBy("a", "b"))
     later = rows.withColumn("least", least).filter("doc_id > least").select("doc_id", "a")
     # Among the windows of one document, the first 64 bits are enough to find them again.
@@ -251,21 +252,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     packed = _packed(own)
     gone = written(_repeated(packed.filter("body IS NOT NULL"), shared, window, rounds), "repeat-windows")
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts_words in _chunks(batches, "body", _unpacked):
             rows = []
-            for doc, body, gone in zip(batch["doc_id"], batch["body"], batch["gone"]):
-                words, lost = _unpacked(body), None
-                if gone is not None and len(words) >= window:
-                    lost = _lost(words, np.asarray(gone, np.int64), window)
+            for words, gone in zip(texts_words, part["gone"]):
+                lost = None
+                if gone.is_valid and len(words) >= window:
+                    lost = _lost(words, gone.values.to_numpy(), window)
                 kept = words if lost is None else [w for w, x in zip(words, lost) if not x]
                 text = b" ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if texts else None))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-            yield frame.astype({"doc_id": "Int64"})
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text if texts else None))
+            counts, gone_counts, digests, bodies = zip(*rows)
+            columns = [part["doc_id"], pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(digests, pa.string())]
+            kept = pa.array(bodies, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, kept], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     joined = packed.join(gone, "doc_id", "left").select("doc_id", "body", "gone")
-    return joined.mapInPandas(finish, f"doc_id long, {_OUT}")
+    return joined.mapInArrow(finish, f"doc_id long, {_OUT}")
 
 
 def _lost(words: list[bytes], gone: np.ndarray, window: int) -> np.ndarray:
