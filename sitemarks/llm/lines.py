@@ -51,14 +51,22 @@ ARC_BITS = 6
 _NULL_ID = -(2**63)
 
 
+def normal(text: Column) -> Column:
+    """A text whose lines are lower-cased, their white space single blanks, none at a line's ends."""
+    for c in SPACES.replace("\n", "").strip(" "):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    # Plain searches of whole texts; the regex meets only texts with a run of blanks.
+    one = bind(text, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    return F.lower(F.trim(F.replace(F.replace(one, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc, copy, line_no, line``: every line with a word; ``doc, copy`` names the document."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
-    rows = docs.select(doc, F.xxhash64("text").alias("copy"), text_of().alias("text"))
-    split = rows.select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    # Single blanks are left alone, so that most lines need no new string.
-    single = F.regexp_replace(F.btrim("line", F.lit(SPACES)), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
-    return split.withColumn("line", F.lower(single)).filter("line <> ''")
+    rows = docs.select(doc, F.xxhash64("text").alias("copy"), normal(text_of()).alias("text"))
+    # Not posexplode: Spark would filter on the size first, which makes every text normal a second time.
+    split = rows.select("doc", "copy", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return split.filter("line <> ''")
 
 
 def _node() -> Column:
@@ -71,6 +79,10 @@ def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
     pattern = f"(?s)(?=(.{{{shingle},{PIECE + shingle - 1}}})).{{1,{PIECE}}}"
     windows = f"transform(sequence(1, length(p) - {shingle - 1}), i -> xxhash64(substring(p, i, {shingle})))"
     every = f"flatten(transform(regexp_extract_all({line}, '{pattern}', 1), p -> {windows}))"
+    # In ASCII text characters are bytes, of which a window is cut without counting; its hash is the same.
+    plain = f"sequence(1, octet_length(b) - {shingle - 1}), i -> xxhash64(substring(b, i, {shingle}))"
+    plain = f"transform(array(cast({line} as binary)), b -> transform({plain}))[0]"
+    every = f"if(octet_length({line}) = length({line}), {plain}, {every})"
     return F.expr(f"sort_array(if(length({line}) < {shingle}, array(xxhash64({line})), {every}))")
 
 
@@ -85,7 +97,7 @@ def band_keys(hashes: str, bands: int = BANDS, rows: int = ROWS) -> Column:
     if bands * rows > arcs:
         raise ValueError(f"{bands} bands of {rows} rows need more than {arcs} arcs")
     arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
-    firsts = f"filter({hashes}, (x, i) -> not {arc('x')} <=> {arc(f'get({hashes}, i - 1)')})"
+    firsts = f"filter({hashes}, (x, i) -> coalesce({arc(f'(x ^ get({hashes}, i - 1))')} <> 0, true))"
     below = f"if(i = 0, {-arcs // 2 - 1}L, {arc('get(f, i - 1)')})"
     points = f"""transform(array({firsts}), f -> concat(
         flatten(transform(f, (x, i) -> array_repeat(x, cast({arc('x')} - {below} as int)))),
@@ -111,7 +123,7 @@ def _candidates(banded: DataFrame) -> DataFrame:
 def _marks(shingle: int) -> list[Column]:
     """Two steps to ``_m``: ``size`` of a line's set, and ``firsts``, the upper halves of the first hashes of its arcs."""
     arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
-    firsts = f"transform(filter(h, (x, i) -> not {arc('x')} <=> {arc('get(h, i - 1)')}), x -> cast(shiftright(x, 32) as int))"
+    firsts = f"transform(filter(h, (x, i) -> coalesce({arc('(x ^ get(h, i - 1))')} <> 0, true)), x -> cast(shiftright(x, 32) as int))"
     own = F.array(F.array_distinct(shingle_hashes("line", shingle))).alias("_h")
     return [own, F.expr(f"transform(_h, h -> struct(size(h) as size, {firsts} as firsts))[0]").alias("_m")]
 

@@ -91,3 +91,22 @@ def test_case_and_white_space_do_not_count(spark):
     assert _got(spark, texts) == {1, 2, 3, 4}
     docs = spark.createDataFrame([(0, line.upper() + " \n" + line + "\n\n" + texts[5])], "doc_id bigint, text string")
     assert lines.dedup_lines(docs).first().text == line.upper() + " \n\n" + texts[5]
+
+
+def test_texts_are_made_normal_once(spark):
+    """Per pass and whole text; as the rule says for one line, whatever stands at a line's ends."""
+    blanks, r = " \t\x0b\f\r", random.Random(3)
+    texts = ["".join(r.choices(["\n", *blanks, "A", "\u0130x", "\u00c9", "O\u03a3", "\u03a3", "\u00a0", "\u0085", "  "], k=r.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (7, "")], "doc_id bigint, text string")
+    single = F.regexp_replace(F.btrim("line", F.lit("\n" + blanks)), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
+    each = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    expected = each.withColumn("line", F.lower(single)).filter("line <> ''").collect()
+    got = lines._lines(docs)
+    assert len(expected) > 500 and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_ascii_windows_are_cut_from_bytes(spark):
+    """Lines of one byte a character need no counting of characters; others are cut as before."""
+    plan = spark.range(1).select(F.lit("x" * 40).alias("line")).select(lines.shingle_hashes("line").alias("h"))
+    assert "as binary" in plan._jdf.queryExecution().logical().toString().lower()
