@@ -302,20 +302,37 @@ def _slices(texts: pa.Array):
     yield texts.slice(start).to_pylist()
 
 
+def encoded(own: Encoder, texts: pa.Array) -> pa.Array:
+    """The ids of a batch's texts, in one buffer that grows and that the result takes over: they are there once."""
+    ends, values = [0], bytearray()
+    for part in _slices(texts):
+        for t in part:
+            if t is not None:
+                values += own.encode(t).tobytes()
+            ends.append(len(values) // 4)
+    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids, mask=texts.is_null())
+
+
+def decoded(model: Model, rows: pa.Array) -> pa.Array:
+    """The texts of a batch's ids, as ``encoded`` in one buffer, not as Python strings beside it."""
+    ends, values, at, valid = [0], bytearray(), rows.offsets.to_pylist(), rows.is_valid()
+    for i, known in enumerate(valid.to_pylist()):
+        if known:
+            values += decode_ids(model, rows.values[at[i] : at[i + 1]].to_pylist()).encode()
+        ends.append(len(values))
+    bits = np.packbits(valid.to_numpy(zero_copy_only=False), bitorder="little").tobytes()
+    buffers = [pa.py_buffer(bits), pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(values)]
+    return pa.Array.from_buffers(pa.string(), len(rows), buffers)
+
+
 def encode(docs: DataFrame, model: Model, codes: DataFrame | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of a text, as an array of ints."""
     table = _broadcast(docs, model, codes, text)
 
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        own, sizes, values = table.value, [], []
-        for part in _slices(texts):
-            ids = [own.encode(t) for t in part]
-            sizes += [None if x is None else len(x) for x in ids]
-            values.append(np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]))
-        ends = np.cumsum([0, *[n or 0 for n in sizes]]).astype(np.int32)
-        null = pa.array([n is None for n in sizes], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)), mask=null)
+        return encoded(table.value, texts)
 
     return docs.withColumn(out, of(F.col(text)))
 
@@ -389,8 +406,7 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("string")
     def of(rows: pa.Array) -> pa.Array:
-        own = table.value
-        return pa.array([decode_ids(own, r.as_py()) if r.is_valid else None for r in rows], pa.string())
+        return decoded(table.value, rows)
 
     return df.withColumn(out, of(F.col(ids)))
 

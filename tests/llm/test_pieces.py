@@ -1,7 +1,9 @@
 """Pieces end to end: both kinds of models against the library, the query's columns, and what is refused."""
 
 import hashlib
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from sitemarks.llm import pieces
@@ -98,3 +100,20 @@ def test_marks_of_the_format_are_blanks(spark):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     assert {r.doc_id: r.ids for r in pieces.encode(docs, model).collect()}[1] == sp.encode("a▁b")
+
+
+def test_a_batch_is_held_once():
+    """Ids and decoded texts of a batch are one buffer each, not Python objects beside it."""
+    model = pieces.load_model(pieces.default_model())
+    own = pieces.Encoder({}, model)
+    text = "naïve 漢字 \U0001f389 words\n and more, " * 40
+    texts = pa.array([text, None, "", "x"] * 500)
+    ids = pieces.encoded(own, texts)
+    assert ids.type == pa.list_(pa.int32()) and ids.null_count == 500 and ids[3].as_py() == own.encode("x").tolist()
+    tracemalloc.start()
+    found = pieces.decoded(model, ids)
+    size, peak = found.nbytes, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.equals(texts) and pieces.decoded(model, ids.slice(1, 3)).equals(texts.slice(1, 3))
+    assert pieces.decoded(model, ids.slice(0, 0)).equals(texts.slice(0, 0)) and pieces.encoded(own, texts.slice(0, 0)).equals(ids.slice(0, 0))
+    assert peak < 2 * size
