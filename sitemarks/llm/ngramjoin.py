@@ -59,11 +59,21 @@ REMEMBERED = 1 << 20
 _NULL_ID = -(2**63)
 
 
+class Met(dict):
+    """Hashes of words that a worker has met; a new one is hashed when it is looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Sets:
     """Shingle sets as sorted arrays of 64-bit hashes."""
 
     def __init__(self, shingle: int = SHINGLE) -> None:
-        self.shingle, self.met = shingle, {}
+        self.shingle, self.met = shingle, Met()
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -71,21 +81,15 @@ class Sets:
             return np.zeros(0, np.uint64)
         if len(words) < self.shingle:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-        met, digest = self.met, xxhash.xxh3_64_intdigest
-        try:
-            hashes = [met[w] for w in words]
-        except KeyError:
-            if len(met) > REMEMBERED:
-                met.clear()
-            met.update((w, digest(w)) for w in set(words))
-            hashes = [met[w] for w in words]
-        one = np.array(hashes, np.uint64)
+        one = np.fromiter(map(self.met.__getitem__, words), np.uint64, len(words))
         size = len(one) - self.shingle + 1
         out = np.zeros(size, np.uint64)
         for k in range(self.shingle):
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + one[k : k + size]
         out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return np.unique(out ^ (out >> np.uint64(32)))
+        out ^= out >> np.uint64(32)
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def _signed(value: int) -> int:

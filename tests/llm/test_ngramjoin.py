@@ -120,3 +120,13 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op13_ngram_join"](spark, sf).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected(rows)
+
+
+def test_only_new_words_are_hashed(monkeypatch):
+    sets, digest, hashed = ngramjoin.Sets(), ngramjoin.xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(ngramjoin.xxhash, "xxh3_64_intdigest", lambda *a: hashed.append(a[0]) or digest(*a))
+    one, two = (" ".join(f"w{i}" for i in range(n)) for n in (50, 53))
+    assert len(sets.of(one)) == 48 and len(sets.of(two)) == 51
+    assert len(hashed) == 53
+    monkeypatch.setattr(ngramjoin, "REMEMBERED", 5)
+    assert (ngramjoin.Sets().of(two) == sets.of(two)).all()
