@@ -258,7 +258,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: tuple[int, in
     """Documents beyond the coverage limit go; from the others, the spans that reach a window's length go."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("_llm_row"), F.col("text"))
-    found = find_hits(rows, benchmark, **parameters).filter(~F.coalesce(contaminated(coverage=coverage), F.lit(False)))
+    # The generator keeps the filter above it, which would read every text a second time, in Python workers of its own.
+    found = find_hits(rows, benchmark, **parameters).select("_llm_row", "text", F.explode(F.array("_llm_found")).alias("_llm_found"))
+    found = found.filter(~F.coalesce(contaminated(coverage=coverage), F.lit(False)))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -102,3 +102,12 @@ def test_odd_records(spark):
     assert sorted(r.offset for r in fixity.audit(one, one.limit(0))[1].collect()) == [0, 1, 5]
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "h"), (2, "u", "")], "page_id bigint, url string, html string")
     assert fixity.warc_records(pages).count() == 3
+
+
+def test_decontaminate_reads_texts_once(spark):
+    """One node of Python finds the hits, one cuts them out."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([("x", "d e f")], "item_id string, text string")
+    found = contamination.decontaminate(docs, benchmark)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 2
+    assert sorted(map(tuple, found.collect())) == [(1, "a b c"), (2, None)]
