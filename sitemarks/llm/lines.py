@@ -13,14 +13,15 @@ a band key. With 10 bands of 4, lines at similarity 0.8 share a key with probabi
 0.995, at 0.9 with more than 0.9999 (many shingles; short lines somewhat less).
 
 Inside a key every member is compared with the key's centre, by exact Jaccard of whole
-sets. Members that do not link to a centre go on, with a new centre, for ``star_rounds``;
-what is left after that is compared pair by pair, in blocks. Keys choose their centres
-by different hashes. Those that linked to a centre are one component, so they need no
-comparison with each other. They are compared with the members that went on, but for
-pairs that cannot matter: both in one component already, or at distances (1 - Jaccard,
-a metric) from the centre that differ by more than a link's. So two members of a key
-that are similar are always in one component. Before any two lines are compared, the sizes of
-their sets and the first hashes of their arcs must allow the similarity asked for.
+sets. Members that do not link to a centre go on, with a new centre, for ``star_rounds``.
+Keys choose their centres by different hashes. Keys that then still hold several components
+go through an exact prefix join: their members' shingles are counted, each member is filed
+under the rarest fifth or so of its own, compared with the centres of these lists first, and then
+members of different components that meet there, at places that allow the similarity asked for,
+are compared. So two members of a key that
+are similar are always in one component, and a passage that many different lines hold pairs
+none of them. Before any two lines are compared, the sizes of their sets and the first hashes
+of their arcs must allow the similarity as well.
 
 Defined results: null and empty texts have no lines with a word and stay as they are;
 rows with equal doc_id and text count as one document, and the same lines go from each;
@@ -73,8 +74,8 @@ def _node() -> Column:
     return F.xxhash64("line")
 
 
-def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
-    """Sorted hashes of all windows of a line, possibly with repeats."""
+def _window_hashes(line: str, shingle: int) -> str:
+    """Hashes of all windows of a line as they come, possibly with repeats."""
     # Pieces with the windows that begin in them: in text that is not ASCII, substring counts from the start.
     pattern = f"(?s)(?=(.{{{shingle},{PIECE + shingle - 1}}})).{{1,{PIECE}}}"
     windows = f"transform(sequence(1, length(p) - {shingle - 1}), i -> xxhash64(substring(p, i, {shingle})))"
@@ -83,30 +84,55 @@ def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
     plain = f"sequence(1, octet_length(b) - {shingle - 1}), i -> xxhash64(substring(b, i, {shingle}))"
     plain = f"transform(array(cast({line} as binary)), b -> transform({plain}))[0]"
     every = f"if(octet_length({line}) = length({line}), {plain}, {every})"
-    return F.expr(f"sort_array(if(length({line}) < {shingle}, array(xxhash64({line})), {every}))")
+    return f"if(length({line}) < {shingle}, array(xxhash64({line})), {every})"
 
 
-def band_keys(hashes: str, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """The band keys of a sorted array of hashes.
+def shingle_hashes(line: str, shingle: int = SHINGLE) -> Column:
+    """Sorted hashes of all windows of a line, possibly with repeats."""
+    return F.expr(f"sort_array({_window_hashes(line, shingle)})")
+
 
-    A hash falls into an arc of the circle by its highest bits. The first hash of an arc is
-    the successor of the arc's beginning and of those of the empty arcs before it; past
-    the last, the first of all follows.
-    """
+def _points(bands: int, rows: int) -> list[list[int]]:
+    """Per band the beginnings of its arcs, as signed numbers."""
     arcs = 1 << ARC_BITS
     if bands * rows > arcs:
         raise ValueError(f"{bands} bands of {rows} rows need more than {arcs} arcs")
-    arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
-    firsts = f"filter({hashes}, (x, i) -> coalesce({arc(f'(x ^ get({hashes}, i - 1))')} <> 0, true))"
-    below = f"if(i = 0, {-arcs // 2 - 1}L, {arc('get(f, i - 1)')})"
-    points = f"""transform(array({firsts}), f -> concat(
-        flatten(transform(f, (x, i) -> array_repeat(x, cast({arc('x')} - {below} as int)))),
-        array_repeat(f[0], cast({arcs // 2 - 1}L - {arc('element_at(f, -1)')} as int))))[0]"""
     # A band's points lie far apart: in a short line, neighbouring points have the same successor.
     step = arcs // rows
-    values = lambda b: ", ".join(f"p[{b * step // bands + r * step}]" for r in range(rows))
+    return [[(b * step // bands + r * step - arcs // 2) << (64 - ARC_BITS) for r in range(rows)] for b in range(bands)]
+
+
+def _is_hash(x: str) -> str:
+    """Whether this is no point: a point has zeros below its arc's number."""
+    return f"shiftleft({x}, {ARC_BITS}) <> 0"
+
+
+def _successors(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``node, next``: for each point, in their order, what follows it among hashes and points, and last the first hash.
+
+    The points are sorted among the hashes and then searched for, which is generated code; a function of every window
+    would be called for each of them.
+    """
+    points = sorted(sum(_points(bands, rows), []))
+    # The least long has no literal.
+    literals = [f"({x + 1}L - 1L)" for x in points]
+    every = F.expr(f"sort_array(concat({_window_hashes('line', shingle)}, array({', '.join(literals)})))")
+    after = [f"get(s, cast(array_position(s, {x}) as int))" for x in literals]
+    # Beside this filter Spark makes a method of each search, not one of all, which would be too long to be compiled.
+    first = f"get(filter(slice(s, 1, {len(points) + 1}), x -> {_is_hash('x')}), 0)"
+    found = lines.select(_node().alias("node"), every.alias("s"))
+    return found.select("node", F.expr(f"array({', '.join([*after, first])})").alias("next"))
+
+
+def band_keys(successors: str, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """The band keys of what follows the points. If another point does, what follows that; past the last, the first of all."""
+    own = _points(bands, rows)
+    place = {x: i for i, x in enumerate(sorted(sum(own, [])))}
+    later = f"filter(slice({successors}, i + 2, {len(place) + 1}), y -> {_is_hash('y')})"
+    full = f"transform({successors}, (x, i) -> if({_is_hash('x')}, x, get({later}, 0)))"
+    values = lambda b: ", ".join(f"p[{place[x]}]" for x in own[b])
     keys = ", ".join(f"xxhash64({b}, {values(b)})" for b in range(bands))
-    return F.expr(f"transform(array({points}), p -> array({keys}))[0]")
+    return F.expr(f"transform(array({full}), p -> array({keys}))[0]")
 
 
 def _candidates(banded: DataFrame) -> DataFrame:
@@ -150,17 +176,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     """``a, b, jaccard``: those of the distinct ``a, b`` whose shingle sets have at least this similarity."""
     pairs = written(_possible(pairs, texts, least), "line-pairs")
     # Lines travel, not their sets, which are larger and do not compress.
-    left = texts.select(F.col("node").alias("a"), F.col("line").alias("u"))
-    right = texts.select(F.col("node").alias("b"), F.col("line").alias("v"))
-    own = lambda line: F.array_distinct(shingle_hashes(line, shingle))
-    shared = lambda s: F.size(F.array_intersect(s["x"], s["y"]))
-    jaccard = bind(
-        F.struct(own("u").alias("x"), own("v").alias("y")),
-        lambda s: bind(shared(s), lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n)),
-    )
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("u"), F.col("size").alias("na"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("v"), F.col("size").alias("nb"))
+    # The sizes of the sets are known, so what they share is all to find out, without sorting and in generated code.
+    shared = F.size(F.array_intersect(F.expr(_window_hashes("u", shingle)), F.expr(_window_hashes("v", shingle))))
     # The generator keeps the filter above it, which would compute the sets again.
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(F.array(jaccard)).alias("jaccard"))
-    return both.filter(F.col("jaccard") >= F.lit(least))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.explode(F.array(shared)).alias("n"))
+    jaccard = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
+    return both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= F.lit(least))
 
 
 def _unordered(a: str, b: str) -> list[Column]:
@@ -175,22 +198,72 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return dealt.join(every, [*on, "block"])
 
 
-def _across(stars: DataFrame, links: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of a key, one linked to its centre and one not, that may link and are in two components so far."""
-    linked = F.col("jaccard") >= F.lit(similarity)
+def _open(banded: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root``: the members of keys that hold two components so far."""
     roots = components(links)
-    beyond = (
-        stars.filter(~linked)
-        .join(roots.select("node", F.col("root").alias("own")), "node", "left")
-        .join(roots.select(F.col("node").alias("centre"), F.col("root").alias("its")), "centre", "left")
-        .filter(~F.coalesce(F.col("own") == F.col("its"), F.lit(False)))
-        .select("key", "centre", F.col("node").alias("other"), F.col("jaccard").alias("far"))
-        .join(sizes.select(F.col("node").alias("other"), F.col("size").alias("size2")), "other")
+    held = written(banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-held")
+    mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return held.join(mixed, "key", "left_semi").select("node", "root").distinct()
+
+
+def _prefixes(rest: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``token, node, root, size, pos``: the rarest shingles of each set, as far as another set has them.
+
+    Similar sets have a common shingle among the first ``size - ceil(similarity * size) + 1`` of each, in any order
+    that is the same for all. Rare ones come first: a passage that many lines hold is in no prefix of theirs.
+    """
+    # Not explode: Spark would filter on the size first, which computes the hashes a second time.
+    own = F.explode_outer(F.array_distinct(F.expr(_window_hashes("line", shingle))))
+    every = written(texts.join(rest.select("node"), "node", "left_semi").select("node", own.alias("token")), "line-shingles")
+    often = every.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    met = every.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+    # Shingles that no other set has come first and need no row; the size has room for rounding.
+    first = F.col("size") - F.ceil(F.lit(similarity - 1e-9) * F.col("size")) + 1
+    alone = F.col("size") - F.size("met")
+    cut = met.join(texts.select("node", "size"), "node").join(rest, "node").withColumn("alone", alone)
+    cut = cut.select("node", "root", "size", "alone", F.slice("met", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int")).alias("met"))
+    return cut.select("node", "root", "size", "alone", F.posexplode("met").alias("i", "m")).select(
+        F.col("m.token").alias("token"), "node", "root", "size", (F.col("alone") + F.col("i")).alias("pos")
     )
-    # A link is no longer than 1 - similarity, so the distances to the centre differ by no more; rounding has room.
-    may = F.col("jaccard") - F.col("far") <= F.lit(1 - similarity + 1e-9)
-    near = stars.filter(linked).join(sizes, "node")
-    return _met(near, beyond, ["key", "centre"]).filter(may & _close("size", "size2", similarity)).select(*_unordered("node", "other")).distinct()
+
+
+def _may(similarity: float) -> Column:
+    """Whether sizes and places of a common shingle allow a link, if that shingle is the first in common; loses none."""
+    size, size2, pos, pos2 = (F.col(c) for c in ("size", "size2", "pos", "pos2"))
+    enough = F.lit(1 + similarity - 1e-9) * F.least(size - pos, size2 - pos2) >= F.lit(similarity) * (size + size2)
+    # Of the smaller set, what both share is the larger part.
+    rest = lambda n: n - F.ceil(F.lit(2 * similarity / (1 + similarity) - 1e-9) * n)
+    early = F.when(size <= size2, pos <= rest(size)).otherwise(pos2 <= rest(size2))
+    return _close("size", "size2", similarity) & enough & early
+
+
+def _other(prefixes: DataFrame) -> DataFrame:
+    renamed = [F.col(c).alias(to) for c, to in (("node", "other"), ("root", "root2"), ("size", "size2"), ("pos", "pos2"))]
+    return prefixes.select("token", *renamed)
+
+
+def _list_stars(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: members of a shingle's list with the list's centre."""
+    # The same hash for all lists, so that those of one family mostly share a centre.
+    rank = F.xxhash64("node")
+    own = prefixes.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "node", "root", "size", "pos")).alias("c"))
+    centres = _other(own.select("token", "c.*"))
+    met = prefixes.join(centres, "token").filter((F.col("root") != F.col("root2")) & _may(similarity))
+    return met.select(*_unordered("node", "other")).distinct()
+
+
+def _mixed(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists that hold several components by now, with these."""
+    known = prefixes.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(known.select(*prefixes.columns), "line-lists")
+    mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    return written(known.join(mixed, "token", "left_semi"), "line-lists")
+
+
+def _across(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs that may link and are in two components so far."""
+    met = _met(prefixes, _other(prefixes), ["token"]).filter((F.col("root") < F.col("root2")) & _may(similarity))
+    return met.select(*_unordered("node", "other")).distinct()
 
 
 def line_links(
@@ -203,9 +276,8 @@ def line_links(
 ) -> DataFrame:
     """``a, b``: verified links between the hashes of distinct lines, enough to connect what shares a key and is similar."""
     signed = (
-        _lines(docs)
-        .select(_node().alias("node"), shingle_hashes("line", shingle).alias("hashes"))
-        .select("node", band_keys("hashes", bands, rows).alias("keys"))
+        _successors(_lines(docs), shingle, bands, rows)
+        .select("node", band_keys("next", bands, rows).alias("keys"))
         # Not explode: Spark would filter on the size first, which computes the keys a second time.
         .select("node", F.explode_outer("keys").alias("key"))
     )
@@ -218,37 +290,31 @@ def line_links(
     one = lines.groupBy("node").agg(F.first("line").alias("line"))
     hashed, marks = _marks(shingle)
     texts = written(one.select("node", "line", hashed).select("node", "line", marks).select("node", "line", "_m.*"), "line-texts")
-    sizes = texts.select("node", "size")
 
     # What is farther from a centre than two links cannot link to what is linked to the centre.
     least = max(0.0, 2 * similarity - 1 - 1e-9)
     linked = F.col("jaccard") >= F.lit(similarity)
-    found, judged = [], []
+    found, waiting = [], banded
     for _ in range(star_rounds):
-        stars = written(_candidates(banded), "line-stars")
+        stars = written(_candidates(waiting), "line-stars")
         pairs = stars.select(*_unordered("node", "centre")).distinct()
-        near = written(_compared(pairs, texts, shingle, least), "line-near")
-        found.append(near.filter(linked).select("a", "b"))
-        ends = near.select(F.col("a").alias("node"), F.col("b").alias("centre"), "jaccard").unionByName(
-            near.select(F.col("b").alias("node"), F.col("a").alias("centre"), "jaccard")
-        )
-        stars = written(stars.join(ends, ["node", "centre"], "left"), "line-stars")
-        judged.append(stars.filter("jaccard IS NOT NULL"))
-        banded = written(stars.filter(~F.coalesce(linked, F.lit(False))).select("key", "node"), "line-bands")
-        if banded.isEmpty():
+        found.append(written(_compared(pairs, texts, shingle, similarity), "line-near").select("a", "b"))
+        linked = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = linked.select(F.col("a").alias("node"), F.col("b").alias("centre"))
+        waiting = written(stars.join(linked, ["node", "centre"], "left_anti").select("key", "node"), "line-bands")
+        if waiting.isEmpty():
             break
-    else:
-        sized = written(banded.join(sizes, "node"), "line-bands")
-        other = sized.select("key", F.col("node").alias("other"), F.col("size").alias("size2"))
-        pairs = _met(sized, other, ["key"]).filter((F.col("node") < F.col("other")) & _close("size", "size2", similarity))
-        pairs = pairs.select(*_unordered("node", "other")).distinct()
-        found.append(written(_compared(pairs, texts, shingle, similarity).select("a", "b"), "line-links"))
-    links = _union(found).distinct()
-    if not judged:
+    links = _union([banded.selectExpr("node AS a", "node AS b").limit(0), *found]).distinct()
+    rest = written(_open(banded, links), "line-rest")
+    if rest.isEmpty():
         return links
-    across = written(_across(_union(judged), links, sizes, similarity), "line-pairs")
-    if across.isEmpty():
+    lists = written(_prefixes(rest, texts, shingle, similarity), "line-lists")
+    found.append(written(_compared(_list_stars(lists, similarity), texts, shingle, similarity), "line-near").select("a", "b"))
+    links = _union(found).distinct()
+    lists = _mixed(lists, links)
+    if lists.isEmpty():
         return links
+    across = written(_across(lists, similarity), "line-pairs")
     return links.unionByName(_compared(across, texts, shingle, similarity).select("a", "b")).distinct()
 
 

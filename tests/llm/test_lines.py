@@ -110,3 +110,32 @@ def test_ascii_windows_are_cut_from_bytes(spark):
     """Lines of one byte a character need no counting of characters; others are cut as before."""
     plan = spark.range(1).select(F.lit("x" * 40).alias("line")).select(lines.shingle_hashes("line").alias("h"))
     assert "as binary" in plan._jdf.queryExecution().logical().toString().lower()
+
+
+def test_common_passage_in_one_key(spark, monkeypatch):
+    """Lines that share a key and a long passage, but little else, are not compared pair by pair; near copies among them are found."""
+    r = random.Random(17)
+    own = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = own(120)
+    texts = [own(45) + passage + own(45) for _ in range(140)]
+    texts += [x[:-6] + own(6) for x in texts[:10]]
+    compared, pairs = lines._compared, []
+    monkeypatch.setattr(lines, "_compared", lambda p, *rest: pairs.append(p.distinct().count()) or compared(p, *rest))
+    monkeypatch.setattr(lines, "band_keys", lambda hashes, bands, rows: F.expr("array(1L)"))
+    assert _got(spark, texts) == _removed(texts)
+    assert sum(pairs) < 8 * len(texts) < len(texts) ** 2 / 10
+
+
+def test_searched_successors_make_the_keys(spark):
+    """The keys of arcs' first hashes, by plain Python."""
+    texts = [*_long_words()[:30], "tiny", "x" * 9, "ten chars!"]
+    frame = spark.createDataFrame([(x,) for x in texts], "line string").withColumn("h", lines.shingle_hashes("line"))
+    got = {r.node: r.k for r in lines._successors(frame, lines.SHINGLE, 10, 4).select("node", lines.band_keys("next").alias("k")).collect()}
+    rows = []
+    for r in frame.select("line", F.xxhash64("line").alias("node"), "h").collect():
+        hashes, step = sorted(r.h), 16
+        points = [[(b * step // 10 + i * step - 32) << 58 for i in range(4)] for b in range(10)]
+        rows.append((r.node, [[b, *[next((h for h in hashes if h >= p), hashes[0]) for p in own]] for b, own in enumerate(points)]))
+    keyed = spark.createDataFrame(rows, "node bigint, v array<array<bigint>>")
+    key = F.expr("transform(v, x -> xxhash64(cast(x[0] as int), x[1], x[2], x[3], x[4]))")
+    assert {r.node: r.k for r in keyed.select("node", key.alias("k")).collect()} == got
