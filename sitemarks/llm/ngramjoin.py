@@ -18,8 +18,9 @@ Method:
 5. What is left is expanded to members, and their whole sets are compared.
 
 No list of a shingle's groups is paired as a whole at once. First each list, and each
-group, is compared with one member, its centre, for ``ROUNDS`` rounds. Then pairs that lie
-in different components so far are all compared: rows of a list meet by the components
+group, is compared with one member, its centre, for ``ROUNDS`` rounds. While large components
+then still meet in lists, these are compared with several centres of other components. Then pairs
+that lie in different components so far are all compared: rows of a list meet by the components
 that the list holds, so a family of near copies is one entry there, however large.
 
 Shingles and sets are compared by 64-bit hashes of their words and 128-bit digests. With
@@ -47,6 +48,8 @@ from sitemarks.session import written
 SHINGLE = 3
 PERCENT = 90
 ROUNDS = 4
+#: Further rounds, of as many centres a list and twice as many each time, while large components meet in lists.
+CENTRE_ROUNDS, CENTRES = 4, 32
 #: Documents of a chunk that hold a shingle, from which on it is counted.
 LOCAL = 2
 #: A chunk: so many documents, or shingles.
@@ -283,13 +286,13 @@ def _star(tokens: DataFrame, turn: int, percent: int) -> DataFrame:
     return _ordered_pairs(_side(tokens, "a", "token").join(centre, "token").filter((F.col("a") != F.col("b")) & _may(percent)))
 
 
-def _across(tokens: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of groups of one list with members in different components, one group with itself included.
+def _entries(tokens: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """``token, root, root2, a, b, single, groups``: pairs of components that meet in a list.
 
-    ``own`` has ``gid, root``: the components of a group's members. A list is first reduced to its components.
+    ``own`` has ``gid, root``: the components of a group's members. A list is first reduced to its components. Where both
+    have one group in the list (``single``), that pair ``a, b`` has been judged. ``groups`` are those of ``root`` there.
     """
-    rows = tokens.join(own, "gid")
-    held = rows.groupBy("token", "root").agg(
+    held = tokens.join(own, "gid").groupBy("token", "root").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("groups"), F.min(F.struct("gid", "n", "pos")).alias("g")
     )
     mixed = held.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first < last").select("token")
@@ -300,10 +303,27 @@ def _across(tokens: DataFrame, own: DataFrame, percent: int) -> DataFrame:
         *[F.col(f"g.{f}").alias(t) for f, t in (("gid", "b"), ("n", "nb"), ("pos", "pb"))],
     )
     close = (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
-    # Where both components have one group in the list, that pair is judged at once.
     single = (F.col("groups") == 1) & (F.col("groups2") == 1)
     met = one.join(two, "token").filter((F.col("root") < F.col("root2")) & close & (~single | _may(percent)))
-    met = written(met.select("token", "root", "root2", "a", "b", single.alias("single")), "join-roots")
+    return written(met.select("token", "root", "root2", "a", "b", single.alias("single"), "groups"), "join-roots")
+
+
+def _centred(tokens: DataFrame, own: DataFrame, met: DataFrame, turn: int, percent: int) -> DataFrame:
+    """``a, b``: groups of the lists in which large components meet, with some ``CENTRES`` of other components, twice as many every round."""
+    lists = met.filter("NOT single").select("token").distinct()
+    rows = tokens.join(lists, "token", "left_semi").join(own, "gid")
+    size = rows.groupBy("token").agg(F.count("*").alias("groups"))
+    # The same hash for all lists, so that those of one family mostly share their centres.
+    rank = F.shiftrightunsigned(F.xxhash64(F.lit(turn), F.lit("centres"), "gid"), 33) / F.lit(2.0**31)
+    centres = rows.join(size, "token").filter(rank * F.col("groups") < CENTRES << turn)
+    right = _side(centres.withColumnRenamed("root", "root2"), "b", "token", "root2")
+    pairs = _side(rows, "a", "token", "root").join(right, "token").filter((F.col("root") != F.col("root2")) & (F.col("a") != F.col("b")) & _may(percent))
+    return _ordered_pairs(pairs)
+
+
+def _across(tokens: DataFrame, own: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of groups of one list with members in different components, one group with itself included."""
+    rows = tokens.join(own, "gid")
     roots = met.filter("NOT single").select("token", "root", "root2")
     left = _side(rows, "a", "token", "root")
     right = _side(rows.withColumnRenamed("root", "root2"), "b", "token", "root2")
@@ -351,11 +371,21 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         found = written(_verified(pairs.join(done, ["a", "b"], "left_anti"), rows, shingle, percent), "join-links")
         links.append(found)
         done = done.unionByName(pairs)
-    linked = _union(links)
-    roots = components(linked)
-    own = member.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    own = written(own.select("doc", "gid", "root"), "join-roots")
-    across = written(_across(tokens, own.select("gid", "root").distinct(), percent), "join-pairs")
+    rows_of_lists = tokens.count()
+    for turn in range(CENTRE_ROUNDS + 1):
+        roots = components(_union(links))
+        own = member.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        own = written(own.select("doc", "gid", "root"), "join-roots")
+        held = own.select("gid", "root").distinct()
+        met = _entries(tokens, held, percent)
+        # A family that is not one component yet would be paired with itself below.
+        wide = met.filter("NOT single").agg(F.sum("groups")).first()[0] or 0
+        if turn == CENTRE_ROUNDS or 2 * wide <= rows_of_lists:
+            break
+        pairs = written(_filtered(_centred(tokens, held, met, turn, percent), groups, order, percent), "join-pairs")
+        links.append(written(_verified(pairs.join(done, ["a", "b"], "left_anti"), rows, shingle, percent), "join-links"))
+        done = done.unionByName(pairs)
+    across = written(_across(tokens, held, met, percent), "join-pairs")
     apart = written(_filtered(across.filter("a <> b"), groups, order, percent).unionByName(across.filter("a = b")), "join-pairs")
     left = own.select(F.col("gid").alias("a"), F.col("doc").alias("x"), F.col("root").alias("root_x"))
     right = own.select(F.col("gid").alias("b"), F.col("doc").alias("y"), F.col("root").alias("root_y"))

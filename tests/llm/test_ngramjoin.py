@@ -89,6 +89,19 @@ def test_chains_in_one_list(spark, monkeypatch):
     assert found(spark, rows) == expected(rows)
 
 
+def test_family_that_hangs_together_loosely(spark, monkeypatch):
+    """Members link where they share an edit, to a few others only; the one component is found without all pairs."""
+    base = [f"b{i}" for i in range(120)]
+    member = lambda *edits: " ".join(f"e{i}" if (i - 5) // 7 in edits and i % 7 == 5 else w for i, w in enumerate(base))
+    rows = list(enumerate(member(i, j) for i in range(16) for j in range(i)))
+    verified, pairs = ngramjoin._verified, []
+    monkeypatch.setattr(ngramjoin, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    monkeypatch.setattr(ngramjoin, "CENTRES", 4, raising=False)
+    monkeypatch.setattr(ngramjoin.Order, "ranks", lambda self, x: (x % np.uint64(7)).astype(np.int64))
+    assert found(spark, rows, rounds=0) == expected(rows)
+    assert sum(pairs) < len(rows) * (len(rows) - 1) / 4
+
+
 def test_equal_prefixes(spark, monkeypatch):
     """Sets of one size that differ behind their prefixes only: one group, expanded where it holds several components."""
     base = [f"b{i}" for i in range(200)]
