@@ -382,6 +382,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         wide = met.filter("NOT single").agg(F.sum("groups")).first()[0] or 0
         if turn == CENTRE_ROUNDS or 2 * wide <= rows_of_lists:
             break
+        # Where no two components allow a link now, none will: they only merge.
+        tokens = written(tokens.join(met.select("token").distinct(), "token", "left_semi"), "join-tokens")
         pairs = written(_filtered(_centred(tokens, held, met, turn, percent), groups, order, percent), "join-pairs")
         links.append(written(_verified(pairs.join(done, ["a", "b"], "left_anti"), rows, shingle, percent), "join-links"))
         done = done.unionByName(pairs)
