@@ -42,23 +42,30 @@ SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
 STAR_ROUNDS = 3
-#: Characters of a line whose windows are cut at a time.
-PIECE = 64
+#: Windows that are cut from one piece of a line that is not ASCII.
+PIECE = 8
 #: Members of a key that are compared as one block with the others.
 BLOCK = 2048
+#: Members up to which a key that holds several components has these compared pair by pair; so a member has fewer pairs than that per key.
+PAIRED = 32
 #: Arcs of the circle of hashes, 2 ** ARC_BITS; no fewer than ``bands * rows``.
 ARC_BITS = 6
 
 _NULL_ID = -(2**63)
 
 
+def _replaced(text: Column, old: str, new: str) -> Column:
+    """Looking for a text is several times cheaper than replacing it, and most texts hold none of these."""
+    return bind(text, lambda x: F.when(F.contains(x, F.lit(old)), F.replace(x, F.lit(old), F.lit(new))).otherwise(x))
+
+
 def normal(text: Column) -> Column:
     """A text whose lines are lower-cased, their white space single blanks, none at a line's ends."""
     for c in SPACES.replace("\n", "").strip(" "):
-        text = F.replace(text, F.lit(c), F.lit(" "))
+        text = _replaced(text, c, " ")
     # Plain searches of whole texts; the regex meets only texts with a run of blanks.
     one = bind(text, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
-    return F.lower(F.trim(F.replace(F.replace(one, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))))
+    return F.lower(F.trim(_replaced(_replaced(one, " \n", "\n"), "\n ", "\n")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -76,10 +83,13 @@ def _node() -> Column:
 
 def _window_hashes(line: str, shingle: int) -> str:
     """Hashes of all windows of a line as they come, possibly with repeats."""
-    # Pieces with the windows that begin in them: in text that is not ASCII, substring counts from the start.
-    pattern = f"(?s)(?=(.{{{shingle},{PIECE + shingle - 1}}})).{{1,{PIECE}}}"
-    windows = f"transform(sequence(1, length(p) - {shingle - 1}), i -> xxhash64(substring(p, i, {shingle})))"
-    every = f"flatten(transform(regexp_extract_all({line}, '{pattern}', 1), p -> {windows}))"
+    # In text that is not ASCII, substring counts from the start, so the line is cut into pieces of PIECE windows first, the last of
+    # them from its end. Fewer windows than that are counted out.
+    full = PIECE + shingle - 1
+    pieces = f"concat(regexp_extract_all({line}, '(?s)(?=(.{{{full}}})).{{{PIECE}}}', 1), array(right({line}, {full})))"
+    each = ", ".join(f"xxhash64(substring(p, {i}, {shingle}))" for i in range(1, PIECE + 1))
+    short = f"transform(sequence(1, length({line}) - {shingle - 1}), i -> xxhash64(substring({line}, i, {shingle})))"
+    every = f"if(length({line}) < {full}, {short}, flatten(transform({pieces}, p -> array({each}))))"
     # In ASCII text characters are bytes, of which a window is cut without counting; its hash is the same.
     plain = f"sequence(1, octet_length(b) - {shingle - 1}), i -> xxhash64(substring(b, i, {shingle}))"
     plain = f"transform(array(cast({line} as binary)), b -> transform({plain}))[0]"
@@ -108,7 +118,7 @@ def _is_hash(x: str) -> str:
 
 
 def _successors(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``node, next``: for each point, in their order, what follows it among hashes and points, and last the first hash.
+    """``node, next``: for each point, in their order, the hash that follows it, past the last one the first of all.
 
     The points are sorted among the hashes and then searched for, which is generated code; a function of every window
     would be called for each of them.
@@ -121,18 +131,20 @@ def _successors(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
     # Beside this filter Spark makes a method of each search, not one of all, which would be too long to be compiled.
     first = f"get(filter(slice(s, 1, {len(points) + 1}), x -> {_is_hash('x')}), 0)"
     found = lines.select(_node().alias("node"), every.alias("s"))
-    return found.select("node", F.expr(f"array({', '.join([*after, first])})").alias("next"))
+    found = found.select("node", F.expr(f"array({', '.join([*after, first])})").alias("next"))
+    # Where another point follows, what follows that. Few long lines have such points.
+    later = f"filter(slice(next, i + 2, {len(points) + 1}), y -> {_is_hash('y')})"
+    full = f"transform(next, (x, i) -> if(coalesce({_is_hash('x')}, false), x, get({later}, 0)))"
+    whole = " AND ".join(_is_hash(f"next[{i}]") for i in range(len(points)))
+    return found.select("node", F.expr(f"if(coalesce({whole}, false), next, {full})").alias("next"))
 
 
 def band_keys(successors: str, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """The band keys of what follows the points. If another point does, what follows that; past the last, the first of all."""
+    """The band keys of the hashes that follow the points."""
     own = _points(bands, rows)
     place = {x: i for i, x in enumerate(sorted(sum(own, [])))}
-    later = f"filter(slice({successors}, i + 2, {len(place) + 1}), y -> {_is_hash('y')})"
-    full = f"transform({successors}, (x, i) -> if({_is_hash('x')}, x, get({later}, 0)))"
-    values = lambda b: ", ".join(f"p[{place[x]}]" for x in own[b])
-    keys = ", ".join(f"xxhash64({b}, {values(b)})" for b in range(bands))
-    return F.expr(f"transform(array({full}), p -> array({keys}))[0]")
+    values = lambda b: ", ".join(f"{successors}[{place[x]}]" for x in own[b])
+    return F.expr(f"array({', '.join(f'xxhash64({b}, {values(b)})' for b in range(bands))})")
 
 
 def _candidates(banded: DataFrame) -> DataFrame:
@@ -146,10 +158,14 @@ def _candidates(banded: DataFrame) -> DataFrame:
     return banded.join(least, "key").filter("node <> centre").select("key", "node", "centre")
 
 
-def _marks(shingle: int) -> list[Column]:
-    """Two steps to ``_m``: ``size`` of a line's set, and ``firsts``, the upper halves of the first hashes of its arcs."""
+def _marks(shingle: int, similarity: float) -> list[Column]:
+    """Two steps to ``_m``: ``size`` of a line's set, and ``firsts``, the upper halves of the first hashes of its arcs.
+
+    Sets so large that all arcs may differ in two similar ones have no ``firsts``, which could not tell them apart.
+    """
     arc = lambda x: f"shiftright({x}, {64 - ARC_BITS})"
     firsts = f"transform(filter(h, (x, i) -> coalesce({arc('(x ^ get(h, i - 1))')} <> 0, true)), x -> cast(shiftright(x, 32) as int))"
+    firsts = f"if(size(h) * {1 - similarity + 1e-9!r}D < {1 << ARC_BITS}, {firsts}, cast(array() as array<int>))"
     own = F.array(F.array_distinct(shingle_hashes("line", shingle))).alias("_h")
     return [own, F.expr(f"transform(_h, h -> struct(size(h) as size, {firsts} as firsts))[0]").alias("_m")]
 
@@ -199,11 +215,19 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _open(banded: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root``: the members of keys that hold two components so far."""
+    """``key, node, root, members``: the keys that hold two components so far."""
     roots = components(links)
-    held = written(banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-held")
-    mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return held.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    held = written(banded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "line-held")
+    mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    return held.join(mixed.filter("low < high").select("key", "members"), "key")
+
+
+def _inside(held: DataFrame, tried: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs within keys that are in two components so far, but for those that were compared."""
+    sized = held.join(texts.select("node", "size"), "node").select("key", "node", "root", "size")
+    other = [F.col(c).alias(to) for c, to in (("node", "other"), ("root", "root2"), ("size", "size2"))]
+    met = sized.join(sized.select("key", *other), "key").filter((F.col("root") < F.col("root2")) & _close("size", "size2", similarity))
+    return met.select(*_unordered("node", "other")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def _prefixes(rest: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -230,7 +254,7 @@ def _prefixes(rest: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def _may(similarity: float) -> Column:
     """Whether sizes and places of a common shingle allow a link, if that shingle is the first in common; loses none."""
     size, size2, pos, pos2 = (F.col(c) for c in ("size", "size2", "pos", "pos2"))
-    enough = F.lit(1 + similarity - 1e-9) * F.least(size - pos, size2 - pos2) >= F.lit(similarity) * (size + size2)
+    enough = F.lit(1 + similarity + 1e-9) * F.least(size - pos, size2 - pos2) >= F.lit(similarity) * (size + size2)
     # Of the smaller set, what both share is the larger part.
     rest = lambda n: n - F.ceil(F.lit(2 * similarity / (1 + similarity) - 1e-9) * n)
     early = F.when(size <= size2, pos <= rest(size)).otherwise(pos2 <= rest(size2))
@@ -288,24 +312,34 @@ def line_links(
     nodes = banded.select("node").distinct()
     lines = _lines(docs).select(_node().alias("node"), "line").join(nodes, "node", "left_semi")
     one = lines.groupBy("node").agg(F.first("line").alias("line"))
-    hashed, marks = _marks(shingle)
+    hashed, marks = _marks(shingle, similarity)
     texts = written(one.select("node", "line", hashed).select("node", "line", marks).select("node", "line", "_m.*"), "line-texts")
 
-    # What is farther from a centre than two links cannot link to what is linked to the centre.
-    least = max(0.0, 2 * similarity - 1 - 1e-9)
-    linked = F.col("jaccard") >= F.lit(similarity)
-    found, waiting = [], banded
-    for _ in range(star_rounds):
+    def near(pairs: DataFrame) -> DataFrame:
+        return written(_compared(pairs, texts, shingle, similarity), "line-near").select("a", "b")
+
+    found, waiting, held = [banded.selectExpr("node AS a", "node AS b").limit(0)], banded, banded
+    for turn in range(star_rounds):
         stars = written(_candidates(waiting), "line-stars")
         pairs = stars.select(*_unordered("node", "centre")).distinct()
-        found.append(written(_compared(pairs, texts, shingle, similarity), "line-near").select("a", "b"))
-        linked = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = linked.select(F.col("a").alias("node"), F.col("b").alias("centre"))
-        waiting = written(stars.join(linked, ["node", "centre"], "left_anti").select("key", "node"), "line-bands")
+        found.append(near(pairs))
+        both = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = both.select(F.col("a").alias("node"), F.col("b").alias("centre"))
+        waiting = stars.join(linked, ["node", "centre"], "left_anti").select("key", "node")
+        if turn == 0:
+            # Most keys have few members, and all that is left of these are few pairs.
+            held = written(_open(banded, found[-1]), "line-open")
+            found.append(near(_inside(held.filter(F.col("members") <= PAIRED), pairs, texts, similarity)))
+            held = held.filter(F.col("members") > PAIRED)
+            waiting = waiting.join(held.select("key").distinct(), "key", "left_semi")
+            held = held.select("key", "node")
+        waiting = written(waiting, "line-bands")
         if waiting.isEmpty():
             break
-    links = _union([banded.selectExpr("node AS a", "node AS b").limit(0), *found]).distinct()
-    rest = written(_open(banded, links), "line-rest")
+    links = _union(found).distinct()
+    if held.isEmpty():
+        return links
+    rest = written(_open(held, links).select("node", "root").distinct(), "line-rest")
     if rest.isEmpty():
         return links
     lists = written(_prefixes(rest, texts, shingle, similarity), "line-lists")

@@ -139,3 +139,57 @@ def test_searched_successors_make_the_keys(spark):
     keyed = spark.createDataFrame(rows, "node bigint, v array<array<bigint>>")
     key = F.expr("transform(v, x -> xxhash64(cast(x[0] as int), x[1], x[2], x[3], x[4]))")
     assert {r.node: r.k for r in keyed.select("node", key.alias("k")).collect()} == got
+
+
+def test_few_members_are_compared_directly(spark, monkeypatch):
+    """What is left of a key with few members after its centre are a few pairs, for which no shingle is filed."""
+    r = random.Random(23)
+    own = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    base = [own(400), own(90), own(60)]
+    texts = [x[: len(x) - k] + own(k) for x in base for k in (0, 5, 9, 14, 22, 40)]
+    assert len(texts) <= lines.PAIRED
+    monkeypatch.setattr(lines, "band_keys", lambda hashes, bands, rows: F.expr("array(1L)"))
+    filed, prefixes = [], lines._prefixes
+    monkeypatch.setattr(lines, "_prefixes", lambda *a: filed.append(a) or prefixes(*a))
+    assert _got(spark, texts) == _removed(texts) and not filed
+    monkeypatch.setattr(lines, "PAIRED", 4)
+    assert _got(spark, texts) == _removed(texts) and filed
+
+
+def test_places_allow_every_similar_pair(spark):
+    """Sets that share what follows a place in both, exactly as many as the similarity asks for included."""
+    rows = []
+    for size in range(1, 41):
+        for size2 in range(1, 41):
+            shared = -(-4 * (size + size2) // 9)  # the least for 0.8
+            if shared <= min(size, size2):
+                rows += [(size, size2, pos, pos2) for pos in range(size - shared + 1) for pos2 in range(size2 - shared + 1)]
+    frame = spark.createDataFrame(rows, "size int, size2 int, pos int, pos2 int")
+    assert frame.filter(~lines._may(0.8)).count() == 0
+    assert frame.filter(lines._may(0.8).isNull()).count() == 0
+
+
+def test_windows_of_other_text_are_cut_from_pieces(spark):
+    """Of lines that are not ASCII, whatever their length is; pieces are cut, not counted through per window."""
+    r = random.Random(29)
+    texts = ["".join(r.choices("abä一\U0001f389", k=n)) + "ä" for n in range(70)]
+    frame = spark.createDataFrame([(x, sorted(_windows(x))) for x in texts], "line string, w array<string>")
+    own = F.array_distinct(lines.shingle_hashes("line"))
+    assert frame.filter(own != F.expr("sort_array(transform(w, x -> xxhash64(x)))")).count() == 0
+    assert lines._window_hashes("line", 9).count("xxhash64(substring(p, ") == lines.PIECE
+
+
+def test_large_sets_have_no_firsts(spark):
+    """All arcs may differ between large sets that are similar, so first hashes would not tell them apart."""
+    r = random.Random(31)
+    frame = spark.createDataFrame([("".join(r.choices("abcdefgh", k=n)),) for n in (20, 200, 320, 340, 900)], "line string")
+    hashed, marks = lines._marks(lines.SHINGLE, 0.8)
+    got = frame.select("line", hashed).select("line", marks).select(F.length("line").alias("n"), F.size("_m.firsts").alias("k")).collect()
+    assert {r.n: r.k > 0 for r in got} == {20: True, 200: True, 320: True, 340: False, 900: False}
+
+
+def test_band_keys_are_generated_code(spark):
+    """No function of lambda variables makes the keys of a line whose points are all followed by hashes."""
+    frame = spark.range(1).select(F.expr("array_repeat(id, 41)").alias("next"))
+    plan = frame.select(lines.band_keys("next").alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
