@@ -2,7 +2,7 @@
 
 Rounds of star contraction: every node hands its larger neighbours to its smallest
 one, then every node hands its smaller neighbours to the smallest of them. Each round
-is two aggregations with map-side combine and two joins; nothing is gathered per
+is two aggregations with map-side combine and two joins, and rounds end when all is stars; nothing is gathered per
 node, so a node with millions of links is no different from others. Each round's
 links are written to the shared folder, which cuts the lineage.
 """
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from sitemarks.session import written
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], int(row["s"] or 0)
+def _done(links: DataFrame) -> bool:
+    """Whether every larger end has one link, to an end that is no larger one itself: whole components, one star each."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.filter(F.col("up") + F.col("down") > F.greatest(F.lit(1), "down")).isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -48,12 +51,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(
         own.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
-    state = _state(now)
-    while state[0]:
+    while not _done(now):
         now = written(_small_star(_large_star(now)), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
     # Now every node but the roots has one row, with its root.
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -117,8 +117,8 @@ def _is_hash(x: str) -> str:
     return f"shiftleft({x}, {ARC_BITS}) <> 0"
 
 
-def _successors(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``node, next``: for each point, in their order, the hash that follows it, past the last one the first of all.
+def _successors(lines: DataFrame, shingle: int, bands: int, rows: int, *own: str) -> DataFrame:
+    """``node, next`` and ``own`` columns: for each point, in their order, the hash that follows it, past the last one the first of all.
 
     The points are sorted among the hashes and then searched for, which is generated code; a function of every window
     would be called for each of them.
@@ -130,13 +130,13 @@ def _successors(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
     after = [f"get(s, cast(array_position(s, {x}) as int))" for x in literals]
     # Beside this filter Spark makes a method of each search, not one of all, which would be too long to be compiled.
     first = f"get(filter(slice(s, 1, {len(points) + 1}), x -> {_is_hash('x')}), 0)"
-    found = lines.select(_node().alias("node"), every.alias("s"))
-    found = found.select("node", F.expr(f"array({', '.join([*after, first])})").alias("next"))
+    found = lines.select(_node().alias("node"), *own, every.alias("s"))
+    found = found.select("node", *own, F.expr(f"array({', '.join([*after, first])})").alias("next"))
     # Where another point follows, what follows that. Few long lines have such points.
     later = f"filter(slice(next, i + 2, {len(points) + 1}), y -> {_is_hash('y')})"
     full = f"transform(next, (x, i) -> if(coalesce({_is_hash('x')}, false), x, get({later}, 0)))"
     whole = " AND ".join(_is_hash(f"next[{i}]") for i in range(len(points)))
-    return found.select("node", F.expr(f"if(coalesce({whole}, false), next, {full})").alias("next"))
+    return found.select("node", *own, F.expr(f"if(coalesce({whole}, false), next, {full})").alias("next"))
 
 
 def band_keys(successors: str, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -214,9 +214,8 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return dealt.join(every, [*on, "block"])
 
 
-def _open(banded: DataFrame, links: DataFrame) -> DataFrame:
+def _open(banded: DataFrame, roots: DataFrame) -> DataFrame:
     """``key, node, root, members``: the keys that hold two components so far."""
-    roots = components(links)
     held = written(banded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "line-held")
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     return held.join(mixed.filter("low < high").select("key", "members"), "key")
@@ -276,9 +275,9 @@ def _list_stars(prefixes: DataFrame, similarity: float) -> DataFrame:
     return met.select(*_unordered("node", "other")).distinct()
 
 
-def _mixed(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists that hold several components by now, with these."""
-    known = prefixes.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = prefixes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known.select(*prefixes.columns), "line-lists")
     mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     return written(known.join(mixed, "token", "left_semi"), "line-lists")
@@ -290,21 +289,28 @@ def _across(prefixes: DataFrame, similarity: float) -> DataFrame:
     return met.select(*_unordered("node", "other")).distinct()
 
 
-def line_links(
+def line_links(docs: DataFrame, **parameters) -> DataFrame:
+    """``a, b``: hashes of distinct lines, with the components that verified links make, which connect what shares a key and is similar."""
+    return _signed_and_links(docs, **parameters)[1]
+
+
+def _signed_and_links(
     docs: DataFrame,
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
     star_rounds: int = STAR_ROUNDS,
-) -> DataFrame:
-    """``a, b``: verified links between the hashes of distinct lines, enough to connect what shares a key and is similar."""
-    signed = (
-        _successors(_lines(docs), shingle, bands, rows)
-        .select("node", band_keys("next", bands, rows).alias("keys"))
-        # Not explode: Spark would filter on the size first, which computes the keys a second time.
-        .select("node", F.explode_outer("keys").alias("key"))
-    )
+) -> tuple[DataFrame, DataFrame]:
+    """``node, doc, copy, line_no`` of every line, written with its keys so that no text is read again for its place, and the links."""
+    place = ["doc", "copy", "line_no"]
+    signed = _successors(_lines(docs), shingle, bands, rows, *place)
+    signed = written(signed.select("node", *place, band_keys("next", bands, rows).alias("keys")), "line-keys")
+    return signed.drop("keys"), _links(docs, signed, shingle, similarity, star_rounds)
+
+
+def _links(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float, star_rounds: int) -> DataFrame:
+    signed = signed.select("node", F.explode("keys").alias("key"))
     # One row per key and node; then only the keys that two nodes share, written once.
     shared = F.count("*").over(Window.partitionBy("key")) > 1
     banded = signed.repartition("key").distinct().withColumn("more", shared).filter("more").drop("more")
@@ -318,7 +324,8 @@ def line_links(
     def near(pairs: DataFrame) -> DataFrame:
         return written(_compared(pairs, texts, shingle, similarity), "line-near").select("a", "b")
 
-    found, waiting, held = [banded.selectExpr("node AS a", "node AS b").limit(0)], banded, banded
+    none = banded.selectExpr("node AS a", "node AS b").limit(0)
+    found, waiting, held = [none], banded, banded
     for turn in range(star_rounds):
         stars = written(_candidates(waiting), "line-stars")
         pairs = stars.select(*_unordered("node", "centre")).distinct()
@@ -328,28 +335,33 @@ def line_links(
         waiting = stars.join(linked, ["node", "centre"], "left_anti").select("key", "node")
         if turn == 0:
             # Most keys have few members, and all that is left of these are few pairs.
-            held = written(_open(banded, found[-1]), "line-open")
-            found.append(near(_inside(held.filter(F.col("members") <= PAIRED), pairs, texts, similarity)))
+            roots = components(found[-1])
+            held = written(_open(banded, roots), "line-open")
+            found = [_stars(roots), near(_inside(held.filter(F.col("members") <= PAIRED), pairs, texts, similarity))]
             held = held.filter(F.col("members") > PAIRED)
             waiting = waiting.join(held.select("key").distinct(), "key", "left_semi")
             held = held.select("key", "node")
         waiting = written(waiting, "line-bands")
         if waiting.isEmpty():
             break
-    links = _union(found).distinct()
     if held.isEmpty():
-        return links
-    rest = written(_open(held, links).select("node", "root").distinct(), "line-rest")
+        return _union(found).distinct()
+    roots = components(_union(found))
+    rest = written(_open(held, roots).select("node", "root").distinct(), "line-rest")
     if rest.isEmpty():
-        return links
+        return _stars(roots)
     lists = written(_prefixes(rest, texts, shingle, similarity), "line-lists")
-    found.append(written(_compared(_list_stars(lists, similarity), texts, shingle, similarity), "line-near").select("a", "b"))
-    links = _union(found).distinct()
-    lists = _mixed(lists, links)
+    roots = components(_stars(roots).unionByName(near(_list_stars(lists, similarity))))
+    lists = _mixed(lists, roots)
     if lists.isEmpty():
-        return links
+        return _stars(roots)
     across = written(_across(lists, similarity), "line-pairs")
-    return links.unionByName(_compared(across, texts, shingle, similarity).select("a", "b")).distinct()
+    return _stars(roots).unionByName(_compared(across, texts, shingle, similarity).select("a", "b"))
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Components as links, to which later ones are added."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -365,9 +377,10 @@ def kept_lines(docs: DataFrame, **parameters) -> DataFrame:
     Documents none of whose lines is first have no row. Only first lines are grouped by
     document, so neither a frequent line nor a large component is ever one group's rows.
     """
-    roots = components(line_links(docs, **parameters))
+    every, links = _signed_and_links(docs, **parameters)
+    roots = components(links)
     place = F.struct("doc", "copy", "line_no")
-    first = _lines(docs).select(_node().alias("node"), place.alias("place")).groupBy("node").agg(F.min("place").alias("place"))
+    first = every.select("node", place.alias("place")).groupBy("node").agg(F.min("place").alias("place"))
     named = first.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "place")
     kept = named.groupBy("root").agg(F.min("place").alias("place")).select("place.*")
     return kept.groupBy("doc", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("keep"))

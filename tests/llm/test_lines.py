@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from sitemarks.llm import lines
+from sitemarks.llm import components, lines
 
 
 def _windows(line):
@@ -193,3 +193,23 @@ def test_band_keys_are_generated_code(spark):
     frame = spark.range(1).select(F.expr("array_repeat(id, 41)").alias("next"))
     plan = frame.select(lines.band_keys("next").alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_places_are_read_with_the_keys(spark, monkeypatch):
+    """Texts are cut into lines to sign them and to compare them, not to place them once more."""
+    made, own = [], lines._lines
+    monkeypatch.setattr(lines, "_lines", lambda docs: made.append(1) or own(docs))
+    assert _got(spark, ["one line and the same again", "One line  and the same again", "another"]) == {1}
+    assert len(made) == 2
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Components that are stars already, as those that are carried on, cost no further contraction."""
+    rounds, own = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda links: rounds.append(1) or own(links))
+    stars = [(10 * i, 10 * i + k) for i in range(5) for k in range(1, 6)] + [(99, 99)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {**{b: a for a, b in stars}, **{10 * i: 10 * i for i in range(5)}} and not rounds
+    path = [(i, i + 1) for i in range(40)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(41), 0) and rounds
