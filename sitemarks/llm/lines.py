@@ -13,10 +13,11 @@ a band key. With 10 bands of 4, lines at similarity 0.8 share a key with probabi
 0.995, at 0.9 with more than 0.9999 (many shingles; short lines somewhat less).
 
 Inside a key every member is compared with the key's centre, by exact Jaccard of whole
-sets. Members that do not link to a centre go on, with a new centre, for ``star_rounds``.
-Keys choose their centres by different hashes. Keys that then still hold several components
-go through an exact prefix join: their members' shingles are counted, each member is filed
-under the rarest fifth or so of its own, compared with the centres of these lists first, and then
+sets. What then holds several components is compared pair by pair, if the key has few
+members. In larger ones, members that do not link to a centre go on, with a new centre, for
+``star_rounds``. Keys choose their centres by different hashes. Large keys that then still hold
+several components go through an exact prefix join: their members' shingles are counted, each
+member is filed under the rarest fifth or so of its own, compared with the centres of these lists first, and then
 members of different components that meet there, at places that allow the similarity asked for,
 are compared. So two members of a key that
 are similar are always in one component, and a passage that many different lines hold pairs
